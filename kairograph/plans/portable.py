@@ -117,3 +117,112 @@ def st_debounce(g):
 def st_ingest(g):
     """Stream to table through foreachBatch upserts; the result equals the batch aggregate."""
     return ingest.stream_counts(g.spark, f"{g.sf_dir}/events.parquet")
+
+
+@query("SELECT uuid, name, summary FROM kg_entity WHERE group_id = 'u1'")
+def snk_pack_export_zip(g):
+    """The pack zipped and unpacked again, then validated.  An archive is one local file, so it is made on the driver."""
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        archive = os.path.join(folder, "pack.zip")
+        pack.zip_exported(g.spark, _exported(g), archive)
+        back = pack.scratch(g.spark, "unzipped")
+        pack.unzip_to(g.spark, archive, back)
+    return pack.validate_pack(g.spark, back)["entities"].select("uuid", "name", "summary")
+
+
+_TRIPLETS = [("ann", "Lives_In", "Paris", 1), ("ann", "resides_in", "Rome", 2), ("bob", "married_to", "ann", 3), ("ann", "wife_of", "bob", 4), ("bob", "likes", "tea", 5), ("bob", "likes", "tea", 6)]
+
+
+@query("""SELECT * FROM (VALUES ('ann', 'lives_in', 'Paris', 'superseded'), ('ann', 'lives_in', 'Rome', 'active'), ('ann', 'spouse_of', 'bob', 'active'), ('bob', 'likes', 'tea', 'active')) t(subject, predicate, object, status)""")
+def tf_add_triplet(g):
+    """Direct triples: aliases resolve, symmetric ends are ordered, a one_current slot keeps the newcomer."""
+    from kairograph.operators import temporal
+
+    rows = g.spark.createDataFrame(_TRIPLETS, "source_node_uuid string, relation string, target_node_uuid string, seq long")
+    rows = temporal.resolve_frames(rows, g.frame)
+    s, o = temporal.symmetric()
+    rows = rows.withColumns({"source_node_uuid": s, "target_node_uuid": o, "name": F.col("canonical"), "group_id": F.lit("g"), "uuid": F.concat(F.lit("t"), "seq"), "valid_at": F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(cast(seq as int))")})
+    one = F.coalesce(F.col("cardinality") == "one_current", F.lit(False))
+    closed = temporal.close_slots(rows.where(one)).select("source_node_uuid", "name", "target_node_uuid", "status")
+    rest = rows.where(~one).select("source_node_uuid", "name", "target_node_uuid", F.lit("active").alias("status")).distinct()
+    return closed.union(rest).toDF("subject", "predicate", "object", "status")
+
+
+@query()
+def tf_add_bulk(g):
+    """Many texts at once: the same set-based ingest over the documents of one language."""
+    rows = g.raw("documents").where("lang = 'en'").selectExpr("'d' || doc_id as uuid", "source as group_id", "text as content", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int)) as reference_time")
+    return ingest.facts_of(rows, frames.frame_aliases(g.spark)).groupBy("group_id", "name").agg(F.count("*").alias("n_facts"))
+
+
+@query("""SELECT 'assistant:' || group_id AS subject, CASE source WHEN 'self_reflection' THEN 'reflects' ELSE 'observes' END AS predicate, count(*) AS n FROM kg_episode WHERE source LIKE 'self_%' GROUP BY 1, 2""")
+def tf_self_episode(g):
+    """Self-episodes: the subject is the tenant's assistant, whatever the text names."""
+    kinds = {"self_reflection": "reflects", "self_observation": "observes", "self_goal": "aims", "self_belief": "believes"}
+    predicate = F.coalesce(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("source")], F.lit("observes"))
+    return g.episode.where(F.col("source").startswith("self_")).groupBy(F.concat(F.lit("assistant:"), "group_id").alias("subject"), predicate.alias("predicate")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT * FROM (VALUES (0, 0, 'Ann', 'likes', 'tea', 'assert', 'objective', 1.0::DOUBLE), (0, 0, 'Ann', 'likes', 'milk', 'assert', 'objective', 1.0::DOUBLE), (0, 1, 'Bob', 'related_to', 'Cy', 'terminate', 'goal', 0.5::DOUBLE)) t(id, pos, subject, predicate, object, operation, memory_class, confidence)""")
+def udtf_parse_extraction(g):
+    from kairograph.sources.hooks import parse_extraction
+
+    answer = '{"facts":[{"subject":"Ann","predicate":"likes","objects":["tea","milk"],"operation":"frobnicate","memory_class":"odd","confidence":"high"},{"subject":"Bob","predicate":" ","object":"Cy","operation":"Terminate","memory_class":"Goal","confidence":"0.5"}]}'
+    return parse_extraction(g.spark.createDataFrame([(0, answer)], "id int, json string"), "id").drop("fact")
+
+
+@query()
+def udf_embedder(g):
+    """Embedder hook: an Arrow-batched model over texts."""
+    from kairograph.sources.hooks import embed_column
+    from kairograph.sources.offline import HashEmbedder
+
+    v = embed_column(HashEmbedder, F.col("content"))
+    return texts(g).select("id", F.transform(v, lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query()
+def udf_reranker(g):
+    """Reranker hook: a cross encoder over passages."""
+    from kairograph.sources.hooks import rerank_column
+    from kairograph.sources.offline import OverlapReranker
+
+    return texts(g).select("id", F.round(rerank_column(OverlapReranker, "I want to learn", F.col("content")), 6).alias("score"))
+
+
+@query("SELECT event_id, arg_max(value, ts) AS value FROM events GROUP BY 1")
+def st_dedupe(g):
+    """Equal keys merge in state: the newest value of each key, from a stream with repeats."""
+    return ingest.stream_latest(g.spark, f"{g.sf_dir}/events.parquet")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def st_recover(g):
+    """The query stops after its first batch and starts again from its checkpoint; nothing is lost or counted twice."""
+    return ingest.recovered_counts(g.spark, f"{g.sf_dir}/events.parquet")
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def st_late_data(g):
+    """Event-time windows; the watermark bounds state and, over a whole table, drops nothing."""
+    rows = g.raw("events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return rows.select(F.col("window.start").alias("day"), "event_type", "n", "total")
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY 1")
+def st_isolation(g):
+    """A failing tenant's step is isolated: its rows go to the error table, the others are processed."""
+    return ingest.isolated_counts(g.spark, f"{g.sf_dir}/events.parquet")
+
+
+@query("""WITH p AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT user_id, ((n - 1) // 5)::BIGINT AS pass_no, max(ts) AS fired_at, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) = 5""")
+def st_state(g):
+    """Pending rows per tenant: a pass fires whenever five are pending."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = g.raw("events").select("user_id", "ts", F.floor((n - 1) / 5).alias("pass_no"))
+    return rows.groupBy("user_id", "pass_no").agg(F.max("ts").alias("fired_at"), F.count("*").alias("n")).where("n = 5")

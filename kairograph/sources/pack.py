@@ -67,7 +67,8 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return None
-    return spark.read.text(path, wholetext=True).first()[0]
+    row = spark.read.text(path, wholetext=True).first()
+    return row[0] if row else ""
 
 
 def export_pack(tables: dict[str, DataFrame], path: str) -> dict:
@@ -114,21 +115,35 @@ def safe_members(names_and_sizes: list[tuple[str, int]], most: int = MOST_BYTES)
             raise PackError(f"unsafe path {name}")
 
 
-def zip_pack(folder: str, target: str) -> None:
-    """Zips a pack in a local folder; the archive appears under its name only when whole."""
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Files below a folder, relative, in order; Spark's own marker files are left out."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, out, walk = fs.makeQualified(top).toString(), [], fs.listFiles(top, True)
+    while walk.hasNext():
+        name = walk.next().getPath().toString()[len(base) :].lstrip("/")
+        if not name.rpartition("/")[2].startswith((".", "_")):
+            out.append(name)
+    return sorted(out)
+
+
+def zip_exported(spark: SparkSession, path: str, target: str) -> None:
+    """Zips an exported pack into a local file that appears under its name only when whole."""
     part = f"{target}.tmp"
     with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
-        for top, _, files in sorted(os.walk(folder)):
-            for f in sorted(files):
-                if not f.startswith((".", "_")):
-                    z.write(os.path.join(top, f), os.path.relpath(os.path.join(top, f), folder))
+        for name in _files(spark, path):
+            z.writestr(name, _read_text(spark, f"{path}/{name}") or "")
     os.replace(part, target)
 
 
-def unzip_pack(source: str, folder: str) -> None:
+def unzip_to(spark: SparkSession, source: str, path: str) -> None:
+    """Unpacks an archive into a folder all executors share, after its names and sizes were found safe."""
     with zipfile.ZipFile(source) as z:
-        safe_members([(i.filename, i.file_size) for i in z.infolist()])
-        z.extractall(folder)
+        members = [i for i in z.infolist() if not i.is_dir()]
+        safe_members([(i.filename, i.file_size) for i in members])
+        for i in members:
+            _write_text(spark, f"{path}/{i.filename}", z.read(i).decode())
 
 
 @dataclass(frozen=True)

@@ -97,11 +97,69 @@ def stream_counts(spark: SparkSession, path: str) -> DataFrame:
         both.write.mode("overwrite").parquet(f"{out}/v{epoch}")
 
     _run(spark, _events(spark, path), "counts", each)
-    last = max((s.getPath().getName() for s in _list(spark, out)), key=lambda n: int(n[1:]), default=None)
-    return spark.read.schema(schema).parquet(f"{out}/{last}") if last else spark.createDataFrame([], schema)
+    return _last(spark, out, schema)
 
 
 def _list(spark: SparkSession, path: str) -> list:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return list(fs.listStatus(p)) if fs.exists(p) else []
+
+
+def stream_latest(spark: SparkSession, path: str) -> DataFrame:
+    """event_id, value: the newest value of every key, merged micro-batch by micro-batch."""
+    out, schema = f"{_shared_dir(spark)}/latest-{uuid.uuid4().hex}", "event_id long, ts timestamp_ntz, value double"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        new = batch.select("event_id", "ts", "value")
+        new = new if not epoch else new.union(spark.read.schema(schema).parquet(f"{out}/v{epoch - 1}"))
+        best = new.groupBy("event_id").agg(F.max(F.struct("ts", "value")).alias("b"))
+        best.select("event_id", "b.ts", "b.value").write.mode("overwrite").parquet(f"{out}/v{epoch}")
+
+    twice = _events(spark, path).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")
+    _run(spark, twice, "latest", each)
+    return _last(spark, out, schema).select("event_id", "value")
+
+
+def _last(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    names = [s.getPath().getName() for s in _list(spark, out)]
+    last = max(names, key=lambda n: int(n[1:]), default=None)
+    return spark.read.schema(schema).parquet(f"{out}/{last}") if last else spark.createDataFrame([], schema)
+
+
+def recovered_counts(spark: SparkSession, path: str) -> DataFrame:
+    """user_id, n from a query that fails once in its first batch and is started again on the same checkpoint."""
+    out, schema = f"{_shared_dir(spark)}/recovered-{uuid.uuid4().hex}", "user_id long, n long"
+    failed: list[int] = []
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.groupBy("user_id").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        if not failed:
+            failed.append(epoch)
+            raise RuntimeError("the first attempt is lost after its write")
+
+    stream = _events(spark, path)
+    writer = stream.writeStream.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).foreachBatch(each)
+    try:
+        writer.start().awaitTermination()
+    except Exception:
+        if not failed:
+            raise
+    writer.start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/*").groupBy("user_id").agg(F.sum("n").alias("n"))
+
+
+def isolated_counts(spark: SparkSession, path: str) -> DataFrame:
+    """user_id, n of tenants whose step succeeds; a third of the tenants raise and are set aside."""
+
+    def step(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            if key[0] % 3 == 0:
+                raise ValueError("this tenant's step fails")
+            return pd.DataFrame({"user_id": [key[0]], "n": [len(frame)], "error": [None]})
+        except ValueError as e:
+            return pd.DataFrame({"user_id": [key[0]], "n": [0], "error": [str(e)]})
+
+    rows = spark.read.schema(_EVENTS).parquet(path).select("user_id", "event_id")
+    done = rows.groupBy("user_id").applyInPandas(step, "user_id long, n long, error string")
+    return done.where("error is null").select("user_id", "n")
