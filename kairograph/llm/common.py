@@ -60,8 +60,14 @@ class Scratch:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner delete shuffle files of finished, unreferenced plans."""
+    """Let the context cleaner delete shuffle files of finished, unreferenced plans.
+
+    Python's references go in the first round, so the JVM can collect the plans in the second.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
