@@ -145,15 +145,23 @@ def stagnant(edges: DataFrame, now: Column, least: int = STAGNANT_LEAST, facts:
         F.col("source_node_uuid").alias("subject"),
         memory_class(F.col("memory_class")).alias("klass"),
         F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.nullif(F.col("canonical_name"), F.lit("")), F.col("name")).alias("topic"),
-        F.struct("uuid", "fact").alias("f"),
+        "uuid",
+        "fact",
     )
-    out = rows.groupBy("subject", "klass", "topic").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("f")).alias("fs")).where(F.col("n") >= least)
-    return out.select("subject", "klass", "topic", "n", cluster_summary(F.transform("fs", lambda x: x["fact"]), facts).alias("summary"), F.lit(0.5).alias("confidence"))
+    return first_facts(rows, ["subject", "klass", "topic"], [F.col("uuid")], facts).where(F.col("n") >= least).withColumn("confidence", F.lit(0.5))
 
 
-def cluster_summary(facts: Column, first: int = 5) -> Column:
-    head = F.concat_ws("; ", F.slice(facts, 1, first))
-    return F.when(F.size(facts) > first, F.concat(head, F.lit("; and "), (F.size(facts) - first).cast("string"), F.lit(" related"))).otherwise(head)
+def first_facts(rows: DataFrame, keys: list[str], order: list[Column], first: int = 5) -> DataFrame:
+    """keys, n, summary: the first facts of each group and how many more there are.
+
+    The rank is limited before anything is gathered, so a group of any size hands on ``first`` texts; its
+    size is a count that combines before the shuffle.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    heads = rows.withColumn("r", rank).where(F.col("r") <= first).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "fact"))), lambda x: x["fact"]), "; ").alias("head"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    more = F.when(F.col("n") > first, F.concat(F.lit("; and "), (F.col("n") - first).cast("string"), F.lit(" related"))).otherwise("")
+    return heads.join(counts, keys).select(*keys, "n", F.concat("head", more).alias("summary"))
 
 
 def top_terms(texts: DataFrame, key: list[str], text: str, k: int) -> DataFrame:

@@ -17,14 +17,32 @@ def _shared_dir(spark: SparkSession) -> str:
     import tempfile
 
     own = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
-    spark.sparkContext.setCheckpointDir(own)
+    if own not in _OWN:
+        import atexit
+        import shutil
+
+        _OWN.add(own)
+        spark.sparkContext.setCheckpointDir(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return own
 
 
+_OWN: set[str] = set()
+
+
 def _written(df: DataFrame) -> DataFrame:
     path = f"{_shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def _dropped(df: DataFrame) -> None:
+    """Deletes a table of an earlier round that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, source: str = "source_node_uuid", target: str = "target_node_uuid") -> DataFrame:
@@ -38,14 +56,17 @@ def components(edges: DataFrame, source: str = "source_node_uuid", target: str =
     both = _written(pairs.union(pairs.select("b", "a")).distinct())
     labels = _written(edges.select(F.explode(F.array(source, target)).alias("node")).distinct().select("node", F.col("node").alias("component")))
     while True:
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        hop = labels.join(around, labels["node"] == around["a"], "left").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
+        around = both.join(labels.select("node", "component"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
+        hop = labels.select("node", "component").join(around, F.col("node") == F.col("a"), "left").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
         hop = _written(hop)
         jump = hop.select(F.col("node").alias("j"), F.col("component").alias("further"))
         new = _written(hop.join(jump, hop["component"] == jump["j"]).select("node", F.least("component", "further").alias("component"), "old"))
-        if not new.where("component <> old").take(1):
+        done = not new.where("component <> old").take(1)
+        for old in (labels, hop, *([both] if done else [])):
+            _dropped(old)
+        if done:
             return new.select("node", "component")
-        labels = new.select("node", "component")
+        labels = new
 
 
 def communities(edges: DataFrame, names: DataFrame, least: int = 2) -> DataFrame:

@@ -226,3 +226,9 @@ def st_state(g):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = g.raw("events").select("user_id", "ts", F.floor((n - 1) / 5).alias("pass_no"))
     return rows.groupBy("user_id", "pass_no").agg(F.max("ts").alias("fired_at"), F.count("*").alias("n")).where("n = 5")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def st_shutdown(g):
+    """A running query is stopped after it took in what there is; its table is whole."""
+    return ingest.stopped_counts(g.spark, f"{g.sf_dir}/events.parquet")

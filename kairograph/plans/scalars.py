@@ -243,11 +243,10 @@ def sc_parse_json_loose(g):
 @query("""WITH r AS (SELECT source_node_uuid AS node, fact, row_number() OVER (PARTITION BY source_node_uuid ORDER BY valid_at DESC, uuid) AS k, count(*) OVER (PARTITION BY source_node_uuid) AS n FROM kg_fact)
 SELECT node, string_agg(fact, '; ' ORDER BY k) FILTER (k <= 5) || CASE WHEN any_value(n) > 5 THEN '; and ' || (any_value(n) - 5) || ' related' ELSE '' END AS summary FROM r GROUP BY node""")
 def sc_cluster_summary(g):
-    from kairograph.operators.cognition import cluster_summary
+    from kairograph.operators.cognition import first_facts
 
-    order = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("valid_at").cast("timestamp"))).alias("t"), "uuid", "fact")))
-    rows = g.fact.groupBy(F.col("source_node_uuid").alias("node")).agg(order.alias("f"))
-    return rows.select("node", cluster_summary(F.transform("f", lambda x: x["fact"])).alias("summary"))
+    rows = g.fact.select(F.col("source_node_uuid").alias("node"), "fact", "valid_at", "uuid")
+    return first_facts(rows, ["node"], [F.desc("valid_at"), F.col("uuid")]).select("node", "summary")
 
 
 @query(r"""SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '\b([A-Z][a-zA-Z0-9_-]+(?:\s+[A-Z][a-zA-Z0-9_-]+)*)\b', 1)).list_sort(), '|') AS names FROM documents WHERE lang = 'en' AND doc_id % 7 = 0""")

@@ -139,6 +139,14 @@ def hs_rr_node_distance(g):
     return _hits(S.hybrid(g.vec, QUERY_TEXT, vector(g), ntz(NOW), S.SearchConfig(focal="n4")))
 
 
+@query(f"""WITH {fused_sql()}, nb AS (SELECT DISTINCT target_node_uuid AS n FROM kg_vec WHERE source_node_uuid = 'n11'),
+d AS (SELECT uuid, CASE WHEN 'n11' IN (source_node_uuid, target_node_uuid) THEN 1 WHEN source_node_uuid IN (SELECT n FROM nb) OR target_node_uuid IN (SELECT n FROM nb) THEN 2 ELSE 99 END AS depth FROM kg_vec)
+SELECT uuid, round(r.score, 9) AS score FROM rrf r JOIN kg_vec v USING (uuid) JOIN d USING (uuid) WHERE {VALID_SQL} ORDER BY depth, r.score DESC, uuid LIMIT 10""")
+def hs_rr_dispatch(g):
+    """A focal node wins over the reranker that was asked for."""
+    return _hits(S.hybrid(g.vec, QUERY_TEXT, vector(g), ntz(NOW), S.SearchConfig(focal="n11", reranker="episode_mentions")))
+
+
 @query()
 def hs_rr_mmr(g):
     return _hits(S.hybrid(g.vec, QUERY_TEXT, vector(g), ntz(NOW), S.SearchConfig(reranker="mmr")))
@@ -154,12 +162,19 @@ def hs_search(g):
     return _hits(S.search(g.vec, QUERY_TEXT, vector(g), ntz(NOW), "normal", ["v1", "v3"]))
 
 
-@query(f"""WITH {fused_sql()}, hits AS (SELECT uuid, source_node_uuid, target_node_uuid, r.score FROM rrf r JOIN kg_vec USING (uuid) WHERE {VALID_SQL} ORDER BY r.score DESC, uuid LIMIT 10)
-SELECT 'edge' AS kind, uuid, round(score, 9) AS score FROM hits UNION ALL SELECT 'node', n, round(max(score), 9) FROM (SELECT source_node_uuid AS n, score FROM hits UNION ALL SELECT target_node_uuid, score FROM hits) GROUP BY n""")
+@query(f"""WITH {fused_sql()}, hits AS (SELECT uuid, source_node_uuid, target_node_uuid, label, r.score FROM rrf r JOIN kg_vec USING (uuid) WHERE {VALID_SQL} ORDER BY r.score DESC, uuid LIMIT 10)
+SELECT 'edge' AS kind, uuid, round(score, 9) AS score FROM hits UNION ALL SELECT 'node', n, round(max(score), 9) FROM (SELECT source_node_uuid AS n, score FROM hits UNION ALL SELECT target_node_uuid, score FROM hits) GROUP BY n
+UNION ALL SELECT 'community', 'community:' || label, round(max(score), 9) FROM hits GROUP BY label""", "hs_search_")
 def hs_search_bundle(g):
-    hits = S.hybrid(g.vec, QUERY_TEXT, vector(g), ntz(NOW)).select("uuid", "source_node_uuid", "target_node_uuid", "score")
-    nodes = hits.select(F.explode(F.array("source_node_uuid", "target_node_uuid")).alias("uuid"), "score").groupBy("uuid").agg(F.max("score").alias("score"))
-    return hits.select(F.lit("edge").alias("kind"), "uuid", F.round("score", 9).alias("score")).union(nodes.select(F.lit("node"), "uuid", F.round("score", 9)))
+    """Edges, their endpoints, and the communities they lie in."""
+    hits = S.hybrid(g.vec, QUERY_TEXT, vector(g), ntz(NOW)).select("uuid", "source_node_uuid", "target_node_uuid", "label", "score")
+    found = F.array(
+        F.struct(F.lit("edge").alias("kind"), F.col("uuid").alias("uuid")),
+        F.struct(F.lit("node").alias("kind"), F.col("source_node_uuid").alias("uuid")),
+        F.struct(F.lit("node").alias("kind"), F.col("target_node_uuid").alias("uuid")),
+        F.struct(F.lit("community").alias("kind"), F.concat(F.lit("community:"), "label").alias("uuid")),
+    )
+    return hits.select(F.explode(found).alias("f"), "score").groupBy("f.kind", "f.uuid").agg(F.round(F.max("score"), 9).alias("score"))
 
 
 @query(f"""WITH n AS (SELECT uuid, name, summary, (c * 1.0) AS score FROM (SELECT *, mention_count AS c FROM kg_entity)), {bm25_sql('kg_entity', 'uuid', 'summary', 'machinery customer 7', 50)},

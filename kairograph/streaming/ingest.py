@@ -163,3 +163,18 @@ def isolated_counts(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(_EVENTS).parquet(path).select("user_id", "event_id")
     done = rows.groupBy("user_id").applyInPandas(step, "user_id long, n long, error string")
     return done.where("error is null").select("user_id", "n")
+
+
+def stopped_counts(spark: SparkSession, path: str) -> DataFrame:
+    """event_type, n from a query without an end that is stopped once all input was processed."""
+    out, schema = f"{_shared_dir(spark)}/stopped-{uuid.uuid4().hex}", "event_type string, n long"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    q = _events(spark, path).writeStream.option("checkpointLocation", f"{out}-checkpoint").foreachBatch(each).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema(schema).parquet(f"{out}/*").groupBy("event_type").agg(F.sum("n").alias("n"))
