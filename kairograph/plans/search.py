@@ -222,7 +222,7 @@ _MENTIONS = [(1, "u1", "U-1", 3), (2, "u2", "  user 2", 4), (3, "u3", "Stranger"
 
 @query("""WITH m(mention_id, group_id, name, vec) AS (VALUES (1, 'u1', 'U-1', 3), (2, 'u2', '  user 2', 4), (3, 'u3', 'Stranger', 5), (4, 'u4', 'Nobody', 6), (5, 'u5', 'object 3', 7)),
 ents AS (SELECT group_id, uuid, name FROM kg_entity WHERE uuid LIKE 'user:%' OR uuid LIKE '%obj%'),
-vecs AS (SELECT 'u' || (vec_id % 8) AS group_id, 'user:' || vec_id AS uuid, embedding::DOUBLE[] AS v FROM embeddings),
+vecs AS (SELECT 'u' || (vec_id % 8) AS group_id, 'user:' || vec_id AS uuid, embedding::DOUBLE[] AS v FROM embeddings WHERE 'user:' || vec_id IN (SELECT uuid FROM ents)),
 k AS (SELECT *, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS key FROM m),
 a AS (SELECT group_id, normalized_alias AS key, min(entity_uuid) AS by_alias FROM kg_alias GROUP BY 1, 2), b AS (SELECT group_id, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS key, min(uuid) AS by_name FROM ents GROUP BY 1, 2),
 s AS (SELECT k.*, by_alias, by_name FROM k LEFT JOIN a USING (group_id, key) LEFT JOIN b USING (group_id, key)),
