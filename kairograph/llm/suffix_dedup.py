@@ -271,14 +271,16 @@ def _compare(parts_n: int, contexts: bool):
             yield from _pack((mix64(ids ^ mix64(hashes)) % np.uint64(parts_n)).astype(np.int64), kind, none, none, ids, hashes, pos)
 
         for _, parts in runs(batches, ["bucket"]):
-            held = []
+            held, done = [], []
             for part in parts(64):
                 for row in part.to_pylist():
                     got = _unpack(row)
                     if row["kind"] == SETTLED:
-                        yield from marks(SETTLED, *got[2:])
+                        done.append(got[2:])
                     else:
                         held.append((*got, np.full(len(got[2]), row["kind"] == ENTRIES)))
+            if done:
+                yield from marks(SETTLED, *(np.concatenate(c) for c in zip(*done)))
             if not held:
                 continue
             name, wide, ids, hashes, pos, several = (np.concatenate(c) for c in zip(*held))
@@ -383,7 +385,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a place is (id, hash of the text, offset): rows repeated with one id are told apart by their text
     read = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    buckets = max(-(-size // RANGE), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(-(-size // RANGE), 2 * spark.sparkContext.defaultParallelism)
     long = read.where(F.octet_length("text") >= length)
 
     def compared(entries: DataFrame, contexts: bool, before: int) -> DataFrame:
