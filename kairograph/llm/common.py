@@ -31,10 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     own = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
-    spark.sparkContext.setCheckpointDir(own)
+    if own not in _OWN:
+        import atexit
+        import shutil
+
+        _OWN.add(own)
+        spark.sparkContext.setCheckpointDir(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return own
 
 
+_OWN: set[str] = set()
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` deletes what is no longer read."""
 
