@@ -2,6 +2,12 @@
 
 Every stage works on all that its predecessor kept and is written as Parquet
 and read again, so a lost executor costs at most one stage's tasks.
+
+Defined results: null texts are empty; a null id is an id of its own that sorts
+last in exact dedup and is never dropped as a near copy; rows repeated with one
+id and text are exact copies, so one stays; an empty table gives an empty
+result in every stage; extra columns, whatever their names, are carried through
+all stages but the last.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, MIX_WEIGHTS, "lang", F.col("n_chars"), MIX_SEED).drop("copy", "rate", "shuffle_key")
+    return mixing.mix(docs, MIX_WEIGHTS, "lang", F.col("n_chars"), MIX_SEED).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ Defined results: groups that the weights do not name, null included, take part
 with the rate ``default_rate``; sizes count null as 0, and a group of size 0
 has the rate 0; rows repeated with one id get the same count each; a null id
 hashes as the empty string; an empty table gives an empty result; the caller's
-columns stay as they are (the operator's own are ``copy``, ``rate`` and
-``shuffle_key``; clashing input columns raise).
+columns stay as they are and the operator's own are ``copy``, ``rate`` and
+``shuffle_key``, each followed by underscores where the caller has that name.
 """
 
 from __future__ import annotations
@@ -57,10 +57,20 @@ def rates(docs: DataFrame, weights: dict[str, float], group_col: str, size: Colu
     return {g: total * w / whole / sizes[g] if sizes.get(g) else 0.0 for g, w in weights.items()}
 
 
+def own_names(taken: list[str]) -> tuple[str, ...]:
+    """copy, rate, shuffle_key, with underscores behind a name that is taken."""
+    names = {c.lower() for c in taken}
+    out = []
+    for name in ("copy", "rate", "shuffle_key"):
+        while name in names:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def mix(docs: DataFrame, weights: dict[str, float], group_col: str, size: Column, seed: int = 0, total: float | None = None, default_rate: float = 1.0, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with copy (from 0), rate and shuffle_key, replicated and globally shuffled."""
-    if clash := {"copy", "rate", "shuffle_key"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns of the operator are taken: {sorted(clash)}")
+    copy_name, rate_name, key_name = own_names(docs.columns)
     rate = rates(docs, weights, group_col, size, total)
     u = uniform(F.lit(seed), F.col(id_col))
     count, mean = poisson_quantile(u, default_rate), F.lit(float(default_rate))
@@ -68,6 +78,6 @@ def mix(docs: DataFrame, weights: dict[str, float], group_col: str, size: Column
         same = F.col(group_col) == group
         count, mean = F.when(same, poisson_quantile(u, r)).otherwise(count), F.when(same, F.lit(r)).otherwise(mean)
     copies = F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")))
-    out = docs.withColumn("rate", mean).withColumn("copy", copies)
-    out = out.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    out = docs.withColumn(rate_name, mean).withColumn(copy_name, copies)
+    out = out.withColumn(key_name, F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy_name)))
+    return out.repartition(key_name).sortWithinPartitions(key_name)

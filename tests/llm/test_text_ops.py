@@ -54,8 +54,9 @@ def test_mix_rates_and_edges(spark):
     assert abs(share["b"] / (share["a"] + share["b"]) - 0.75) < 0.03
     assert abs(sum(share.values()) / 30_000 - 1) < 0.06
     assert mixing.mix(docs.limit(0), {"a": 1.0}, "src", F.col("size")).count() == 0
-    with pytest.raises(ValueError, match="taken"):
-        mixing.mix(docs.withColumn("Rate", F.lit(1)), {"a": 1.0}, "src", F.col("size"))
+    clash = mixing.mix(docs.withColumn("Rate", F.lit(1)).withColumn("copy", F.lit("x")), {"a": 1.0}, "src", F.col("size"))
+    assert clash.columns == ["doc_id", "src", "text", "size", "Rate", "copy", "rate_", "copy_", "shuffle_key"]
+    assert {(r["Rate"], r["copy"]) for r in clash.limit(50).collect()} == {(1, "x")}
 
 
 def test_native_operators_run_no_python(spark, tiny):
@@ -295,3 +296,24 @@ def test_pipeline(spark, tiny):
     assert seen["quality_classifier"] >= seen["exact_dedup"] >= seen["minhash_near_dedup"] > 0
     assert seen["byte_bpe"] == seen["mix_sources"]
     assert corpus_pipeline.run(spark, tiny).count() == seen["byte_bpe"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, tiny):
+    import corpus_pipeline
+
+    fine = "The words of this text are fine and many. " * 6
+    rows = [(1, fine, "en", "s", 1), (1, fine, "en", "s", 1), (None, fine + "x", None, None, None), (2, None, "en", None, 0), (3, "", None, "s", 0), (4, fine.upper() * 400, "de", "s", 9), (5, "a\tb", "fr", "t", 3), (6, "a b", "fr", "t", 3)]
+    odd = spark.createDataFrame([(*r, 7, "k", 0.5, 8) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id long, copy string, score double, label long")
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, odd, tiny), stage(spark, odd.limit(0), tiny)
+        assert none.count() == 0
+        got = out.collect()
+        if name != "byte_bpe":
+            assert out.columns == odd.columns
+            assert all((r.id, r["copy"], r.score, r.label) == (7, "k", 0.5, 8) for r in got)
+        if name == "exact_dedup":
+            assert sorted((r.doc_id for r in got), key=repr) == sorted([1, None, 2, 4, 5], key=repr)
+        if name == "byte_bpe":
+            assert len(got) == len(rows)
+    near = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, odd, tiny).collect()
+    assert None in {r.doc_id for r in near}
