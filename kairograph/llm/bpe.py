@@ -20,11 +20,16 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 200_000
+from .common import give_back
+from .textblocks import text_buffers
+
+CACHE_WORDS = 100_000
+BLOCK_BYTES = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -98,21 +103,29 @@ class ByteBpe:
         for w, ids in zip(hard, self.model.encode(mapped, num_threads=1)):
             self.cache[w] = tuple(ids)
 
-    def encode_words(self, text: str) -> Iterator[tuple[int, ...]]:
-        words = self.split(text)
+    def encode(self, text: str) -> list[int]:
+        words, out = self.split(text), []
         for at in range(0, len(words), 100_000):
             part = words[at : at + 100_000]
             if new := set(part).difference(self.cache):
                 self._learn(set(part) if len(self.cache) + len(new) > self.cache_words else new)
-            yield from map(self.cache.__getitem__, part)
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.encode_words(text)))
+            out.extend(chain.from_iterable(map(self.cache.__getitem__, part)))
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of consecutive rows with about BLOCK_BYTES of text each; one row is never split."""
+    offsets = text_buffers(batch.column(1))[1]
+    at, n = 0, batch.num_rows
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
+        yield batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at)
+        at = to
+
+
 def load_ranks(spark, path: str) -> dict[bytes, int]:
     """The rank file, read by the driver; a vocabulary is bounded (tens of thousands of entries)."""
     return read_ranks(path)
@@ -138,16 +151,21 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker_bpe(vocabulary, pattern, ranks)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py())
-                joined = " ".join(map(str, ids)).encode()
-                row = (len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
-                rows.append((*row, ids) if with_ids else row)
-            columns = list(zip(*rows)) if rows else [()] * (3 + with_ids)
-            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(arrays) + 1])
+            for ids_, texts in _blocks(batch):
+                rows, tokens, ends = [], [], [0]
+                for text in texts:
+                    ids = bpe.encode(text.as_py())
+                    joined = " ".join(map(str, ids)).encode()
+                    rows.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
+                    if with_ids:
+                        tokens.append(np.array(ids, np.int32))
+                        ends.append(ends[-1] + len(ids))
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens))))
+                yield pa.RecordBatch.from_arrays([ids_, *arrays], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(arrays) + 1])
+        bpe.cache.clear()
+        give_back()
 
     schema = f"id {ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

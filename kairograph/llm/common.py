@@ -80,3 +80,19 @@ def release_shuffles(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+def give_back() -> None:
+    """At the end of a task: memory that is free inside the worker goes back to the machine.
+
+    Python workers outlive their tasks, and the next task may belong to another operator.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a libc that trims
+        pass

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, give_back
 
 SPACES = r"[\x20\x09-\x0D]+"
 HELD_BYTES = 64 << 20
@@ -195,6 +195,8 @@ def _local_owners(kind: pa.DataType, budget: int):
                     yield out
                 tries, held = {}, 0
         yield from flush(own)
+        tries.clear()
+        give_back()
 
     return run
 
@@ -226,6 +228,7 @@ def _global_owners(kind: pa.DataType, budget: int):
         settle()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        give_back()
 
     return run
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, release_shuffles
+from .common import Scratch, give_back, release_shuffles
 from .components import components
 from .textblocks import doc_bytes, mix64, runs, shingles
 
@@ -97,6 +97,7 @@ def _sketch(width: int, kind: pa.DataType):
                     ],
                     ["id", "n_shingles", "sid", "sig"],
                 )
+        give_back()
 
     return run
 
@@ -155,6 +156,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             out = []
     if out:
         yield _pairs(out)
+    give_back()
 
 
 def _pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -184,6 +186,7 @@ def _confirm(width: int, percent: int):
                 out = []
         if out:
             yield _pairs(out)
+        give_back()
 
     return run
 

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 TRAIN_ROWS = 20_000
 BROADCAST_GROUPS = 50_000
 FEATURES = ("log_words", "distinct", "adjacent", "upper", "bang", "symbol", "pipe", "digit", "word_length", "short_lines", "stops", "distinct_x_log")
@@ -113,6 +115,7 @@ def evidence(model: Model, text: Column) -> Column:
         for t in texts:
             x = np.array([features(v) for v in t], dtype=float).reshape(-1, len(FEATURES))
             yield pd.Series(model.log_odds(x))
+        give_back()
 
     return score(F.coalesce(text, F.lit("")))
 
