@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kairograph.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from kairograph.llm.common import Scratch, read_table
-from kairograph.llm.queries import MIX_SEED, MIX_WEIGHTS, tokenizer_file, tokenizer_pattern
+from kairograph.llm.queries import MIX_SEED, SOURCE_WEIGHTS, tokenizer_file, tokenizer_pattern
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, MIX_WEIGHTS, "lang", F.col("n_chars"), MIX_SEED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.mix(docs, SOURCE_WEIGHTS, "source", F.col("n_chars"), MIX_SEED).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

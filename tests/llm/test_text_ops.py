@@ -65,6 +65,21 @@ def test_native_operators_run_no_python(spark, tiny):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_registered_mixes_weigh_sources(spark, tmp_path):
+    import corpus_pipeline
+
+    hot = [(k, f"text {k}", "en", "src0" if k % 3 else f"src{1 + k // 3 % 19}", 10) for k in range(6000)]
+    rare = [(6000, "rare", "en", "src20", 10), (6001, "none", "de", None, 10)]  # no weight: rate 1
+    docs = spark.createDataFrame(hot + rare, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (dict(corpus_pipeline.STAGES)["mix_sources"](spark, docs, ""), queries.op2_mix_by_source(spark, str(tmp_path))):
+        n = {r.source: r.n for r in out.where("doc_id < 6000").groupBy("source").agg(F.count("*").alias("n")).collect()}
+        for source, w in queries.SOURCE_WEIGHTS.items():
+            assert abs(n[source] / sum(n.values()) - w / sum(queries.SOURCE_WEIGHTS.values())) < 0.02
+    rate = {r.source: r.rate for r in out.select("source", "rate").distinct().collect()}
+    assert rate["src0"] == round(6000 * 2 / 25 / 4000, 9) and rate.get("src20", 1.0) == rate.get(None, 1.0) == 1.0
+
+
 # -- 3 ---------------------------------------------------------------------------------------------------------------
 
 HARD = ["", "a", "~0", "~1<[~2~", "<|end|>", "<|turn|>user<|text|>x<|end|>", "</s>[INST] ok [/INST]", "tab\tnew\nline", "é😀", "|>", "x" * 50_000]
