@@ -1,0 +1,13 @@
+"""Text searches over the whole texts of ``kg_vec``; those without the suffix read the 400 characters that their SQL reads."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from . import search  # noqa: F401  registers the plans
+from .registry import PLANS, query
+
+NAMES = ("hs_fts_edges", "hs_rrf", "hs_hybrid", "hs_hybrid_filtered", "hs_rr_cross_encoder", "hs_rr_episode_mentions", "hs_rr_node_distance", "hs_rr_dispatch", "hs_rr_mmr", "hs_decay", "hs_search", "hs_search_", "hs_recall")
+
+for _name in NAMES:
+    query(name=f"{_name.rstrip('_')}{'_bundle' * _name.endswith('_')}_whole")(lambda g, plan=PLANS[_name]: plan(replace(g, whole=True)))

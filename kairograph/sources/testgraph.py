@@ -136,6 +136,8 @@ TABLES = {
     "kg_alias": [("customer", "true", ALIAS)],
     "kg_vec": [("embeddings JOIN documents ON vec_id = doc_id", "true", VEC)],
 }
+#: graph tables of which ``TABLES`` reads a part, with the whole texts
+WHOLE = {"kg_vec": [("embeddings JOIN documents ON vec_id = doc_id", "true", VEC | {"fact": "text"})]}
 _FRAMES_SQL = "kg_frame"
 NOW = "2024-02-10 00:00:00"
 
@@ -168,17 +170,18 @@ def with_tables(sql: str) -> str:
 
 @dataclass(frozen=True)
 class Graph:
-    """Graph tables of one data directory."""
+    """Graph tables of one data directory; ``whole`` takes those of ``WHOLE`` instead of their namesakes."""
 
     spark: SparkSession
     sf_dir: str
+    whole: bool = False
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def table(self, name: str) -> DataFrame:
         out = None
-        for source, where, columns in TABLES[name]:
+        for source, where, columns in (TABLES | WHOLE if self.whole else TABLES)[name]:
             if " JOIN " in source:
                 left, right, on = source.replace(" ON ", " JOIN ").split(" JOIN ")
                 a, b = on.split(" = ")
