@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from kairograph import catalog
 
@@ -24,3 +25,12 @@ def test_text_search_reads_whole_texts(spark, tmp_path):
     got = {r.uuid: r.score for r in catalog.queries()["hs_fts_edges_whole"](spark, str(tmp_path)).collect()}
     assert set(got) == {"vec:0", "vec:1", "vec:3", "vec:4", "vec:5"}
     assert all(abs(got[u] - want[u]) < 2e-6 for u in got)
+
+
+def test_names_of_all_documents(spark, tmp_path):
+    texts = ["Ann Lee met Bob and Ann Lee", "Anna Maria wohnt in Bonn", "Jean Paul vit a Lyon", "Juan X vive en Madrid", "no names", ""]
+    rows = [(k, t, lang) for k, (t, lang) in enumerate(zip(texts, ("en", "de", "fr", "es", "en", "en")), 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {k: "|".join(sorted(set(re.findall(r"\b[A-Z][a-zA-Z0-9_-]+(?:\s+[A-Z][a-zA-Z0-9_-]+)*\b", t)))) for k, t, _ in rows}
+    got = {r.doc_id: r.names for r in catalog.queries()["sc_entity_regex_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and got[2] == "Anna Maria|Bonn"
