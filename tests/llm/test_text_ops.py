@@ -59,6 +59,23 @@ def test_mix_rates_and_edges(spark):
     assert {(r["Rate"], r["copy"]) for r in clash.limit(50).collect()} == {(1, "x")}
 
 
+def test_mix_draws_null_and_repeated_ids_separately(spark, monkeypatch):
+    rows = [(None, f"text {k}", "a", 1) for k in range(10_000)] + [(None, "", "a", 1) for _ in range(5_000)] + [(7, "same", "a", 1)] * 5_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rank string, rows int").repartition(6)
+    for most in (mixing.BROADCAST_KEYS, 0):  # 0: joined by a shuffle
+        monkeypatch.setattr(mixing, "BROADCAST_KEYS", most)
+        out = mixing.mix(docs, {}, "rank", F.col("rows"), seed=3)
+        got = out.groupBy("doc_id", F.col("text") == "", F.col("text") == "same").agg(F.count("*").alias("n"), F.count_distinct("shuffle_key").alias("keys")).collect()
+        assert len(got) == 3 and sum(r.n for r in got) == sum(r["keys"] for r in got)
+        for r in got:
+            want = 10_000 if r.doc_id is None and not r[1] else 5_000
+            assert abs(r.n / want - 1) < 0.06
+        sizes = [len(p) for p in out.select("doc_id").rdd.glom().collect()]
+        assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    again = mixing.mix(docs.repartition(3), {}, "rank", F.col("rows"), seed=3)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, out.collect()))
+
+
 def test_native_operators_run_no_python(spark, tiny):
     for name in ("op2_mix_sources", "op3_chat_format"):
         plan = queries.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
@@ -72,7 +89,7 @@ def test_registered_mixes_weigh_sources(spark, tmp_path):
     rare = [(6000, "rare", "en", "src20", 10), (6001, "none", "de", None, 10)]  # no weight: rate 1
     docs = spark.createDataFrame(hot + rare, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    for out in (dict(corpus_pipeline.STAGES)["mix_sources"](spark, docs, ""), queries.op2_mix_by_source(spark, str(tmp_path))):
+    for out in (dict(corpus_pipeline.STAGES)["mix_sources"](spark, docs, ""), queries.op2_mix_sources(spark, str(tmp_path))):
         n = {r.source: r.n for r in out.where("doc_id < 6000").groupBy("source").agg(F.count("*").alias("n")).collect()}
         for source, w in queries.SOURCE_WEIGHTS.items():
             assert abs(n[source] / sum(n.values()) - w / sum(queries.SOURCE_WEIGHTS.values())) < 0.02
