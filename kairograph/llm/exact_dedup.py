@@ -3,29 +3,34 @@
 Texts are equal when identical after every ``[\\x20\\x09-\\x0D]+`` became one
 space.  Two levels of owners keep hot groups apart:
 
-1. Per input partition, texts go into compressed radix tries keyed by (length,
-   content hash).  A trie's terminal node holds the smallest identifier and the
-   rows that ended there, so a task passes on one row per distinct text it saw,
-   however many copies there were.  When the held bytes exceed the budget the
-   owners so far are passed on and the tries start afresh.
-2. These owners are dealt by (length, content hash), sorted, and each partition
-   inserts the full byte strings of one key after the other into one trie, so
-   equality is always decided on whole strings, never on hashes.  A trie over
-   its budget spills its largest subtree to a file and settles it afterwards.
+1. Each input partition inserts its texts into one compressed radix trie.  A
+   terminal holds the smallest identifier and the count of the rows that ended
+   there, never the rows: these are sent on one by one with the number of their
+   terminal.  A task so passes on one owner per distinct text it holds, however
+   many copies there were.
+2. Owners are dealt by (length, content hash) and sorted, and each partition
+   inserts its full byte strings into one trie, so equality is always decided on
+   whole strings, never on hashes.  Terminals keep the smallest identifier and
+   add up the counts.
+
+A trie over its budget spills its largest subtree: the subtree's terminals are
+sent on and forgotten.  On level 1 a later copy becomes an owner of its own,
+which level 2 unites; on level 2 rows come sorted and spills fall between two
+keys, when no string in the trie has another copy to come.  No file outside
+Spark's shuffles and the shared folder is written.
 
 The result goes back to the rows by a join on the level-1 owner, which has at
 most one input partition's rows; nobody gathers a whole group.
 
 Defined results: a null text equals the empty text; a null id sorts after all
-others; of rows repeated with one id and text exactly one is kept; an empty
-table gives an empty result; extra columns are not read.
+others; of rows repeated with one id and text exactly one is kept; a text of any
+length is one key and never split; an empty table gives an empty result; extra
+columns are not read.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -36,6 +41,8 @@ from .common import Scratch, give_back
 
 SPACES = r"[\x20\x09-\x0D]+"
 HELD_BYTES = 64 << 20
+NODE_BYTES = 256  # what a node costs besides its label
+BATCH = 2000
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -53,181 +60,180 @@ def common_prefix(a: bytes, b: bytes) -> int:
 
 
 class _Node:
-    __slots__ = ("label", "children", "members", "file", "held")
+    __slots__ = ("label", "children", "end", "held")
 
-    def __init__(self, label: bytes, members: list | None = None):
+    def __init__(self, label: bytes):
         self.label = label
         self.children: dict[int, _Node] = {}
-        self.members = members  # of a terminal node
-        self.file = None  # of a spilled subtree
-        self.held = len(label)
+        self.end = None  # of a terminal: what its string owns
+        self.held = len(label) + NODE_BYTES  # bytes of the whole subtree
 
 
 class PatriciaTrie:
-    """Compressed radix trie over byte strings; a terminal gathers the members inserted with its string."""
+    """Compressed radix trie over byte strings; ``end`` of a terminal is made once and changed by the caller."""
 
-    def __init__(self, budget: int = HELD_BYTES, folder: str | None = None):
-        self.root, self.budget, self.folder = _Node(b""), budget, folder
+    def __init__(self, budget: int = HELD_BYTES):
+        self.root, self.budget = _Node(b""), budget
 
-    def insert(self, key: bytes, members: list) -> None:
+    def insert(self, key: bytes, make: Callable[[], list]) -> list:
+        """The end of the string's terminal, made by ``make`` where the string is new."""
         node, at, path = self.root, 0, [self.root]
-        while True:
-            if at == len(key):
-                node.members = (node.members or []) + members
-                return
+        while at < len(key):
             child = node.children.get(key[at])
             if child is None:
-                leaf = _Node(key[at:], list(members))
+                leaf = _Node(key[at:])
                 node.children[key[at]] = leaf
-                self._grow(path, len(leaf.label))
-                return
-            if child.file is not None:
-                self._write(child, key[at:], members)
-                return
+                self._grow(path, leaf.held)
+                node, at = leaf, len(key)
+                break
             rest = key[at : at + len(child.label)]
             n = len(rest) if rest == child.label else common_prefix(rest, child.label)
             if n < len(child.label):
                 top = _Node(child.label[:n])
                 child.label = child.label[n:]
+                child.held -= n
                 top.children[child.label[0]] = child
-                top.held = child.held
+                top.held += child.held
                 node.children[key[at]] = top
-                child.held -= n
+                self._grow(path, NODE_BYTES)
                 child = top
             node, at = child, at + n
             path.append(node)
+        if node.end is None:
+            node.end = make()
+        return node.end
 
-    def _grow(self, path: list[_Node], n: int) -> None:
+    @staticmethod
+    def _grow(path: list[_Node], n: int) -> None:
         for node in path:
             node.held += n
-        if self.root.held > self.budget and self.root.children:
-            self._spill(max(self.root.children.values(), key=lambda c: c.held))
 
-    @staticmethod
-    def _write(node: _Node, key: bytes, members: list) -> None:
-        import pickle
-
-        pickle.dump((key, members), node.file)
+    @property
+    def full(self) -> bool:
+        return self.root.held > self.budget and (bool(self.root.children) or self.root.end is not None)
 
-    def _spill(self, node: _Node) -> None:
-        if node.file is not None:
+    def spill(self) -> Iterator[tuple[bytes, list]]:
+        """Takes the largest subtree below the root, or the root's own end, out of the trie: its (string, end)."""
+        if not self.root.children:
+            yield from self._terminals(self.root, b"")
+            self.root = _Node(b"")
             return
-        file = tempfile.TemporaryFile(dir=self.folder)  # lives within the task only
-        kept = list(self._terminals(node, b""))
-        self.root.held -= node.held
-        node.children, node.members, node.file, node.held = {}, None, file, 0
-        node.label = b""
-        for key, members in kept:
-            self._write(node, key, members)
-
-    def _terminals(self, node: _Node, before: bytes) -> Iterator[tuple[bytes, list]]:
+        first, largest = max(self.root.children.items(), key=lambda c: c[1].held)
+        del self.root.children[first]
+        self.root.held -= largest.held
+        yield from self._terminals(largest, b"")
+
+    def terminals(self) -> Iterator[tuple[bytes, list]]:
+        """(string, end) of every terminal."""
+        yield from self._terminals(self.root, b"")
+
+    @staticmethod
+    def _terminals(node: _Node, before: bytes) -> Iterator[tuple[bytes, list]]:
         stack = [(node, before)]
         while stack:
             node, before = stack.pop()
             key = before + node.label
-            if node.file is not None:
-                import pickle
-
-                node.file.seek(0)
-                size = os.fstat(node.file.fileno()).st_size
-                # first bytes are equal, so the subtree splits below the first edge; doubling ends the recursion
-                inner = PatriciaTrie(max(2 * self.budget, 1), self.folder)
-                while node.file.tell() < size:
-                    inner.insert(*pickle.load(node.file))
-                node.file.close()
-                yield from inner._terminals(inner.root, before)
-                continue
-            if node.members is not None:
-                yield key, node.members
+            if node.end is not None:
+                yield key, node.end
             stack += [(c, key) for c in node.children.values()]
 
-    def terminals(self) -> Iterator[tuple[bytes, list]]:
-        """(string, members) of every terminal."""
-        yield from self._terminals(self.root, b"")
 
+def _smaller(a: tuple, b: tuple) -> bool:
+    """Of (id, uid): null ids last."""
+    return (a[0] is None, 0 if a[0] is None else a[0], a[1]) < (b[0] is None, 0 if b[0] is None else b[0], b[1])
+
+
+class _Rows:
+    """Tuples gathered into record batches; every yielded batch has at most ``BATCH`` rows."""
+
+    def __init__(self, fields: list[tuple[str, pa.DataType]]):
+        self.names, self.types = [f[0] for f in fields], [f[1] for f in fields]
+        self.rows: list[tuple] = []
+
+    def add(self, row: tuple) -> Iterator[pa.RecordBatch]:
+        self.rows.append(row)
+        if len(self.rows) >= BATCH:
+            yield from self.flush()
 
-def _smallest(members: list[tuple]) -> tuple:
-    return min(members, key=lambda m: (m[0] is None, m[0] if m[0] is not None else 0, m[1]))
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            columns = [pa.array(c, t) for c, t in zip(zip(*self.rows), self.types)]
+            self.rows = []
+            yield pa.RecordBatch.from_arrays(columns, self.names)
 
 
-_OWNERS = "owner long, n_bytes int, hash long, text binary, text_sha256 string, id {id}, uid long, members array<struct<id:{id},uid:long>>"
+#: rows of documents have owner, id, uid; rows of owners the others too, with the smallest id and uid
+_LOCAL = "owner long, id {id}, uid long, n long, n_bytes int, hash long, text binary, text_sha256 string"
 
 
 def _local_owners(kind: pa.DataType, budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seq = TaskContext.get().partitionId() << 33, 0
-        tries: dict[tuple, PatriciaTrie] = {}
-        held = 0
-
-        def flush(own: int) -> Iterator[pa.RecordBatch]:
-            rows = []
-            for (n, h), trie in tries.items():
-                for key, members in trie.terminals():
-                    ident, uid, sha = _smallest(members)
-                    rows.append((base | own, n, h, key, sha, ident, uid, [{"id": m[0], "uid": m[1]} for m in members]))
-                    own += 1
-                    if len(rows) >= 500:
-                        yield batch_of(rows)
-                        rows = []
-            if rows:
-                yield batch_of(rows)
-
-        def batch_of(rows: list) -> pa.RecordBatch:
-            pair = pa.list_(pa.struct([("id", kind), ("uid", pa.int64())]))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string(), kind, pa.int64(), pair)
-            names = ("owner", "n_bytes", "hash", "text", "text_sha256", "id", "uid", "members")
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-        own = 0
+        base, seq, owners = TaskContext.get().partitionId() << 33, 0, 0
+        trie = PatriciaTrie(budget)
+        fields = [("owner", pa.int64()), ("id", kind), ("uid", pa.int64()), ("n", pa.int64()), ("n_bytes", pa.int32()), ("hash", pa.int64()), ("text", pa.binary()), ("text_sha256", pa.string())]
+        members, out = _Rows(fields), _Rows(fields)
+
+        def send(ends: Iterator[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
+            for key, (owner, ident, uid, n, h, sha) in ends:
+                yield from out.add((owner, ident, uid, n, len(key), h, key, sha))
+
         for batch in batches:
-            for ident, text, h, sha in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                raw = text.as_py().encode()
-                trie = tries.get((len(raw), h))
-                if trie is None:
-                    trie = tries[len(raw), h] = PatriciaTrie(budget)
-                before = trie.root.held
-                trie.insert(raw, [(ident, base | seq, sha)])
-                held += trie.root.held - before
+            texts = batch.column(1)
+            for k, (ident, h, sha) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                uid = base | seq
                 seq += 1
-            if held > budget:
-                for out in flush(own):
-                    own += out.num_rows
-                    yield out
-                tries, held = {}, 0
-        yield from flush(own)
-        tries.clear()
+                end = trie.insert(texts[k].as_py().encode(), lambda: [base | owners, ident, uid, 0, h, sha])
+                owners += not end[3]
+                end[3] += 1
+                if _smaller((ident, uid), (end[1], end[2])):
+                    end[1], end[2] = ident, uid
+                yield from members.add((end[0], ident, uid, None, None, None, None, None))
+                while trie.full:
+                    yield from send(trie.spill())
+        yield from send(trie.terminals())
+        yield from out.flush()
+        yield from members.flush()
+        trie.root = None
         give_back()
 
     return run
 
 
+#: rows of owners have owner, terminal; rows of terminals the others, with the smallest id and uid
+_GLOBAL = "owner long, terminal long, keep_id {id}, keep_uid long, group_size long"
+
+
 def _global_owners(kind: pa.DataType, budget: int):
-    names = ["owner", "keep_id", "keep_uid", "group_size"]
-    types = [pa.int64(), kind, pa.int64(), pa.int64()]
+    """Rows sorted by (n_bytes, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, at, rows = PatriciaTrie(budget), None, []
+        base, terminals = TaskContext.get().partitionId() << 33, 0
+        trie, at = PatriciaTrie(budget), None
+        fields = [("owner", pa.int64()), ("terminal", pa.int64()), ("keep_id", kind), ("keep_uid", pa.int64()), ("group_size", pa.int64())]
+        owners, out = _Rows(fields), _Rows(fields)
 
-        def settle() -> None:
-            for _, members in trie.terminals():
-                ident, uid, *_ = _smallest(members)
-                size = sum(m[3] for m in members)
-                rows.extend((m[2], ident, uid, size) for m in members)
+        def send(ends: Iterator[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
+            for _, end in ends:
+                yield from out.add((None, *end))
 
         for batch in batches:
-            n_bytes, hashes, ids, uids, owners, counts = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6))
-            texts = batch.column(2)
-            for k in range(batch.num_rows):
-                if (n_bytes[k], hashes[k]) != at:
-                    settle()
-                    trie, at = PatriciaTrie(budget), (n_bytes[k], hashes[k])
-                trie.insert(texts[k].as_py(), [(ids[k], uids[k], owners[k], counts[k])])
-            if len(rows) > 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                rows.clear()
-        settle()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            texts = batch.column("text")
+            columns = [batch.column(c).to_pylist() for c in ("n_bytes", "hash", "id", "uid", "owner", "n")]
+            for k, (n_bytes, h, ident, uid, owner, n) in enumerate(zip(*columns)):
+                if (n_bytes, h) != at:
+                    while trie.full:  # no string so far has another copy to come
+                        yield from send(trie.spill())
+                    at = (n_bytes, h)
+                end = trie.insert(texts[k].as_py(), lambda: [base | terminals, ident, uid, 0])
+                terminals += not end[3]
+                end[3] += n
+                if _smaller((ident, uid), (end[1], end[2])):
+                    end[1], end[2] = ident, uid
+                yield from owners.add((owner, end[0], None, None, None))
+        yield from send(trie.terminals())
+        yield from out.flush()
+        yield from owners.flush()
+        trie.root = None
         give_back()
 
     return run
@@ -244,19 +250,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
     read = docs.select(F.col(id_col).alias("id"), norm.alias("text"))
     read = read.select("id", "text", F.xxhash64("text").alias("hash"), F.sha2("text", 256).alias("sha"))
-    local = scratch.keep(read.mapInArrow(_local_owners(kind, budget), _OWNERS.format(id=ddl)))
-    owners = (
-        local.select("n_bytes", "hash", "text", "id", "uid", "owner", F.size("members").cast("long").alias("n"))
-        .repartition("n_bytes", "hash")
-        .sortWithinPartitions("n_bytes", "hash")
-        .mapInArrow(_global_owners(kind, budget), f"owner long, keep_id {ddl}, keep_uid long, group_size long")
-    )
-    members = local.select("owner", "text_sha256", F.explode("members").alias("m"))
-    return members.join(owners, "owner").select(
-        F.col("m.id").alias(id_col),
+    local = scratch.keep(read.mapInArrow(_local_owners(kind, budget), _LOCAL.format(id=ddl)))
+    owners = local.where(F.col("n").isNotNull())
+    dealt = owners.select("n_bytes", "hash", "text", "id", "uid", "owner", "n").repartition("n_bytes", "hash").sortWithinPartitions("n_bytes", "hash")
+    settled = scratch.keep(dealt.mapInArrow(_global_owners(kind, budget), _GLOBAL.format(id=ddl)))
+    ends = settled.where(F.col("owner").isNull()).select("terminal", "keep_id", "keep_uid", "group_size")
+    groups = settled.where(F.col("owner").isNotNull()).select("owner", "terminal").join(ends, "terminal")
+    groups = groups.join(owners.select("owner", "text_sha256"), "owner")
+    members = local.where(F.col("n").isNull()).select("owner", "id", "uid")
+    return members.join(groups, "owner").select(
+        F.col("id").alias(id_col),
         "keep_id",
         "group_size",
-        (F.col("m.uid") == F.col("keep_uid")).alias("kept"),
+        (F.col("uid") == F.col("keep_uid")).alias("kept"),
         "text_sha256",
     )
 

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kairograph.llm import exact_dedup, near_dedup, suffix_dedup
 from kairograph.llm.common import Scratch
@@ -28,15 +29,54 @@ def documents(spark, texts, extra=True):
 
 def test_trie_spills_and_keeps_every_terminal():
     rng = random.Random(1)
-    words = ["".join(rng.choice("ab") for _ in range(12)).encode() for _ in range(400)]
-    for budget in (1, 200, 1 << 20):
-        trie = exact_dedup.PatriciaTrie(budget)
+    words = ["".join(rng.choice("ab") for _ in range(12)).encode() for _ in range(400)] + [b""]
+    for budget in (1, 4000, 1 << 20):
+        trie, got, spills = exact_dedup.PatriciaTrie(budget), defaultdict(list), 0
         for k, w in enumerate(words):
-            trie.insert(w, [(k, k)])
+            trie.insert(w, list).append(k)
+            while trie.full:
+                spills += 1
+                for key, end in trie.spill():
+                    got[key] += end
+            assert trie.root.held == sum(len(n.label) + exact_dedup.NODE_BYTES for n in nodes(trie.root))
+        for key, end in trie.terminals():
+            got[key] += end
         expected = defaultdict(list)
         for k, w in enumerate(words):
-            expected[w].append((k, k))
-        assert {k: sorted(v) for k, v in trie.terminals()} == expected
+            expected[w].append(k)
+        assert got == expected
+        assert (spills > 0) == (budget < 1 << 20)
+
+
+def nodes(node):
+    yield node
+    for child in node.children.values():
+        yield from nodes(child)
+
+
+def test_exact_spills_by_subtree_at_the_default_budget(spark):
+    """Distinct long texts exceed the budget in the workers; copies before and after the spill are one group."""
+    n, size = 30, 4 << 20
+    texts = F.concat(F.chr(F.lit(65) + F.col("id") % n), F.repeat(F.chr(F.lit(97) + F.col("id") % n % 7), size))
+    docs = spark.range(2 * n, numPartitions=1).select(F.col("id").alias("doc_id"), texts.alias("text"))
+    assert n * size > exact_dedup.HELD_BYTES
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()}
+    assert got == {k: (k % n, 2, k < n) for k in range(2 * n)}
+
+
+def test_exact_is_linear_in_copies():
+    """A terminal holds no rows, so a copy costs the same whether it is the second or the millionth."""
+    import time
+
+    trie, took = exact_dedup.PatriciaTrie(), []
+    for _ in range(2):
+        start = time.perf_counter()
+        for _ in range(500_000):
+            trie.insert(b"one text", lambda: [0])[0] += 1
+        took.append(time.perf_counter() - start)
+    (key, end), held = next(trie.terminals()), trie.root.held
+    assert (key, end) == (b"one text", [1_000_000]) and held < 1000
+    assert took[1] < 5 * took[0]
 
 
 def test_common_prefix():
