@@ -37,7 +37,8 @@ def tokenizer_pattern() -> str:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+    """The contract's columns, and n_passages: repeated passages of over 50 words, of which many are shorter than 400 bytes."""
+    return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"), passages=suffix_dedup.PASSAGE_WORDS)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,14 +20,18 @@ depth and no further:
 * *Compare adjacent prefixes.* The strings that reach those samples are sorted
   by the name of their full ``length`` bytes; neighbours that are equal repeat.
 
+Equality is decided by names throughout, never by the bytes themselves, and
+names stand in no lexical order: no suffix array of whole suffixes is built.
+The symbols are bytes, or words for ``passages``; the steps are the same.
+
 Two independent families of names take part in every decision (about 100 bits
 for contexts, 96 and more for strings).  Names travel as packed arrays, one row
 per task and name range, sorted with numpy where they meet; copies that meet in
 one task are settled there and leave one entry, so a string repeated by a third
-of the corpus arrives once per task.
+of the corpus arrives once per task.  Ranges of names go one to one to tasks.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose
-nothing; rows repeated with one id and text are rows of their own and repeat
+nothing; a text of any length is one block and never cut; rows repeated with one id and text are rows of their own and repeat
 each other; ids are integers, a null id stays null; an empty table gives an
 empty result; extra columns are not read.
 """
@@ -44,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, release_shuffles
-from .textblocks import mix64, runs, text_buffers
+from .textblocks import mix64, runs, text_buffers, word_hashes
 
 #: Perfect difference sets by modulus.
 DIFFERENCE_SETS = {
@@ -58,11 +62,12 @@ DIFFERENCE_SETS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
     133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
 }
-BLOCK = 2 << 20  # bytes whose names are held at once; a longer text is one block
-FLUSH = 24 << 20  # bytes of text whose samples are packed together
+BLOCK = 2 << 20  # symbols whose names are held at once; a longer text is one block
+FLUSH = 2 << 20  # entries that are packed together
 RANGE = 24 << 20  # bytes of text for each range of names
+PASSAGE_WORDS = 50  # a passage of over 50 words holds a string of as many
 STRIDE = 1 << 16
-GAP = 255  # no byte of UTF-8
+GAP = 255  # no byte of UTF-8; where symbols are hashes of words, no hash but by chance
 
 _rng = np.random.default_rng(400)
 _FAMILIES = [(_rng.integers(1, 1 << 63, 256, dtype=np.uint64), _rng.integers(1, 1 << 62, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) for _ in range(2)]
@@ -102,7 +107,8 @@ def names(data: np.ndarray, p: Plan, family: int) -> np.ndarray:
     out = np.empty(max(n, 0), np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, n, STRIDE):
-            x = value[data[at : min(at + STRIDE, n) + p.window - 1]]
+            x = data[at : min(at + STRIDE, n) + p.window - 1]
+            x = value[x] if data.dtype == np.uint8 else mix64(x ^ value[0])
             step = 1
             for _ in range(p.depth):
                 t = x[: -2 * step] * a
@@ -166,8 +172,8 @@ class _Entries:
     def __init__(self, buckets: int):
         self.buckets, self.held, self.parts = buckets, 0, []
 
-    def add(self, size: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held += size
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held += len(columns[0])
         self.parts.append(columns)
         if self.held >= FLUSH:
             yield from self.flush()
@@ -191,9 +197,14 @@ class _Entries:
         yield from _pack(bucket[rest], SETTLED, none, none, ids[rest], hashes[rest], pos[rest])
 
 
-def _blocks(batch: pa.RecordBatch, p: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, data with gaps around every text, starts of the texts in it) for texts long enough."""
+def _symbols(batch: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all texts, offsets per text): bytes, or hashes of words."""
     data, offsets = text_buffers(batch.column("text"))
+    return word_hashes(data, offsets) if words else (data, offsets)
+
+
+def _blocks(data: np.ndarray, offsets: np.ndarray, p: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, symbols with gaps around every text, starts of the texts in it) for texts long enough."""
     gap = p.length + p.modulus
     sizes = np.diff(offsets)
     rows = np.flatnonzero(sizes >= p.length)
@@ -203,7 +214,7 @@ def _blocks(batch: pa.RecordBatch, p: Plan) -> Iterator[tuple[np.ndarray, np.nda
         to = at + max(1, int(np.searchsorted(total, BLOCK)))
         part = rows[at:to]
         starts = gap + np.concatenate([[0], np.cumsum(sizes[part] + gap)[:-1]])
-        out = np.full(int((sizes[part] + gap).sum()) + gap, GAP, np.uint8)
+        out = np.full(int((sizes[part] + gap).sum()) + gap, GAP, data.dtype)
         for r, s in zip(part.tolist(), starts.tolist()):
             out[s : s + sizes[r]] = data[offsets[r] : offsets[r + 1]]
         yield part, out, starts
@@ -214,15 +225,16 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _sampled(p: Plan, buckets: int):
+def _sampled(p: Plan, buckets: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, cover, v = _Entries(buckets), p.cover, p.modulus
         before = np.searchsorted(cover, np.arange(v + 1))  # sampled residues below each residue
         context = [t - (v - 1) for t in p.tiles(p.length + v - 1)]
         for batch in batches:
-            sizes = np.diff(text_buffers(batch.column("text"))[1])
+            symbols, offsets = _symbols(batch, words)
+            sizes = np.diff(offsets)
             ids, hashes = _column(batch, "id"), _column(batch, "hash")
-            for rows, data, starts in _blocks(batch, p):
+            for rows, data, starts in _blocks(symbols, offsets, p):
                 most = sizes[rows] - p.length + v  # places below this can be reached by a string of the text
                 count = most // v * len(cover) + before[most % v]
                 row = np.repeat(np.arange(len(rows)), count)
@@ -231,20 +243,21 @@ def _sampled(p: Plan, buckets: int):
                 at = starts[row] + pos
                 own = mix64(names(data, p, 0)[at])
                 wide = _combined(names(data, p, 1), at, context)
-                yield from entries.add(len(data), own, wide, ids[rows][row], hashes[rows][row], pos)
+                yield from entries.add(own, wide, ids[rows][row], hashes[rows][row], pos)
         yield from entries.flush()
 
     return run
 
 
-def _strings(p: Plan, buckets: int):
+def _strings(p: Plan, buckets: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, tiles = _Entries(buckets), p.tiles(p.length)
         for batch in batches:
-            sizes = np.diff(text_buffers(batch.column("text"))[1])
+            symbols, offsets = _symbols(batch, words)
+            sizes = np.diff(offsets)
             ids, hashes = _column(batch, "id"), _column(batch, "hash")
             first, last = batch.column("open_from"), batch.column("open_to")
-            for rows, data, starts in _blocks(batch, p):
+            for rows, data, starts in _blocks(symbols, offsets, p):
                 place, row = [], []
                 for k, r in enumerate(rows.tolist()):
                     for a, b in zip(first[r].as_py(), last[r].as_py()):
@@ -253,7 +266,7 @@ def _strings(p: Plan, buckets: int):
                 pos, row = np.concatenate(place), np.concatenate(row)
                 at = starts[row] + pos
                 own, wide = (_combined(names(data, p, f), at, tiles) for f in (0, 1))
-                yield from entries.add(24 * len(pos), own, wide, ids[rows][row], hashes[rows][row], pos)
+                yield from entries.add(own, wide, ids[rows][row], hashes[rows][row], pos)
         yield from entries.flush()
 
     return run
@@ -350,7 +363,7 @@ def removed_spans(size: int, starts: list[int], ends: list[int]) -> list[tuple[i
     return out
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, passages: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
@@ -370,36 +383,58 @@ def _cut(with_text: bool):
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             columns = list(zip(*rows)) or [()] * (4 + with_text)
             arrays = [batch.column("doc"), *[pa.array(c, t) for c, t in zip(columns, types)]]
+            names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+            if passages:
+                from_, to = batch.column("word_from").to_pylist(), batch.column("word_to").to_pylist()
+                arrays.append(pa.array([len(removed_spans(len(data), a or [], b or [])) for a, b in zip(from_, to)], pa.int64()))
+                names.append("n_passages")
             if with_text:
                 arrays.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(arrays)])
+                names.append("spans")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` kept (bytes) and spans."""
-    spark, p = docs.sparkSession, plan(length)
-    scratch = Scratch(spark, "suffix_dedup")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # a place is (id, hash of the text, offset): rows repeated with one id are told apart by their text
-    read = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    buckets = max(-(-size // RANGE), 2 * spark.sparkContext.defaultParallelism)
-    long = read.where(F.octet_length("text") >= length)
+def _repeats(long: DataFrame, p: Plan, buckets: int, words: bool, scratch: Scratch) -> DataFrame:
+    """id, hash, gone_from, gone_to: what strings of the plan's length cover that also start elsewhere."""
+    spark = long.sparkSession
 
     def compared(entries: DataFrame, contexts: bool, before: int) -> DataFrame:
-        found = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(buckets, contexts), _PACKED)
-        return scratch.keep(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(p, before), _MARKS))
+        found = entries.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_compare(buckets, contexts), _PACKED)
+        return scratch.keep(found.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_merge(p, before), _MARKS))
 
-    settled = compared(long.select("id", "hash", "text").mapInArrow(_sampled(p, buckets), _PACKED), True, p.modulus - 1)
+    settled = compared(long.mapInArrow(_sampled(p, buckets, words), _PACKED), True, p.modulus - 1)
     release_shuffles(spark)
     still = settled.where(F.size("open_from") > 0).select("id", "hash", "open_from", "open_to")
-    opened = long.select("id", "hash", "text").join(still, ["id", "hash"])
-    strings = compared(opened.mapInArrow(_strings(p, buckets), _PACKED), False, 0)
+    strings = compared(long.join(still, ["id", "hash"]).mapInArrow(_strings(p, buckets, words), _PACKED), False, 0)
     release_shuffles(spark)
     gone = settled.select("id", "hash", "gone_from", "gone_to").union(strings.select("id", "hash", "gone_from", "gone_to"))
-    gone = gone.where(F.size("gone_from") > 0).groupBy("id", "hash").agg(F.flatten(F.collect_list("gone_from")).alias("gone_from"), F.flatten(F.collect_list("gone_to")).alias("gone_to"))
+    return gone.where(F.size("gone_from") > 0)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, passages: int | None = None) -> DataFrame:
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With ``with_text`` also kept (bytes) and spans.  With ``passages`` also
+    n_passages: maximal runs of words covered by that many words in a row (A-Z
+    lower-cased, split at ASCII white space) that start anywhere else too.
+    """
+    spark, p = docs.sparkSession, plan(length)
+    scratch = Scratch(spark, "suffix_dedup")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # a place is (id, hash of the text, offset): rows repeated with one id are told apart by their text
+    read = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    buckets = max(-(-size // RANGE), 2 * spark.sparkContext.defaultParallelism)
+    long = lambda least: read.where(F.octet_length("text") >= least).select("id", "hash", "text")
+    gone = _repeats(long(length), p, buckets, False, scratch)
+    if passages:
+        none = F.lit(None).cast("array<long>")
+        runs_ = _repeats(long(2 * passages - 1), plan(passages), buckets, True, scratch)  # a word and a space each
+        gone = gone.select("*", none.alias("word_from"), none.alias("word_to")).union(runs_.select("id", "hash", none, none, "gone_from", "gone_to"))
+    columns = ["gone_from", "gone_to"] + ["word_from", "word_to"] * bool(passages)
+    gone = gone.groupBy("id", "hash").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in columns])
     ddl = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc {ddl}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_text
-    return read.join(gone, ["id", "hash"], "left").select("doc", "text", "gone_from", "gone_to").mapInArrow(_cut(with_text), schema).withColumnRenamed("doc", id_col)
+    schema = f"doc {ddl}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + ", n_passages long" * bool(passages) + ", spans array<struct<start:long,end:long>>" * with_text
+    return read.join(gone, ["id", "hash"], "left").select("doc", "text", *columns).mapInArrow(_cut(with_text, bool(passages)), schema).withColumnRenamed("doc", id_col)

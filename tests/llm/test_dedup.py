@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,37 @@ def test_repeated_spans(spark, length):
     assert sorted((tuple(r) for r in got), key=repr) == brute_suffix(rows, length)
 
 
+def brute_passages(rows, words):
+    sets = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for _, t in rows]
+    seen = defaultdict(int)
+    for w in sets:
+        for i in range(len(w) - words + 1):
+            seen[tuple(w[i : i + words])] += 1
+    out = []
+    for (ident, _), w in zip(rows, sets):
+        gone = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - words + 1):
+            if seen[tuple(w[i : i + words])] > 1:
+                gone[i : i + words] = True
+        out.append((ident, int((np.diff(gone.astype(int), prepend=0) == 1).sum())))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("words", [6, 50])
+def test_passages(spark, words):
+    rng = random.Random(words)
+    some = lambda n: [rng.choice(["an", "of", "É", "it,", "so."]) + str(rng.randrange(40)) for _ in range(n)]
+    passages = [some(words + rng.randrange(-2, 30)) for _ in range(8)]
+    rows = [(50, None), (51, ""), (52, "z " * (3 * words)), (53, "y " * words), (54, " y" * words), (55, "x " * (words - 1)), (56, "x " * (words - 1)), (None, " ".join(some(90)))]
+    for k in range(40):
+        parts = some(rng.randrange(90)) + rng.choice(passages) + some(rng.randrange(60)) + rng.choice(passages)[: rng.randrange(1, 60)]
+        rows.append((k, rng.choice([" ", "\n", "\t "]).join(parts)))
+    rows += [(60, rows[-1][1]), (60, rows[-1][1]), (61, rows[-1][1].upper())]
+    got = suffix_dedup.repeated_spans(documents(spark, rows).repartition(3), passages=words).collect()
+    assert sorted(((r.doc_id, r.n_passages) for r in got), key=repr) == brute_passages(rows, words)
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == brute_suffix(rows, 400)
+
+
 def test_repeated_spans_texts_and_empty(spark):
     assert suffix_dedup.repeated_spans(documents(spark, [])).count() == 0
     a, b = "k" + "ab" * 5, "m" + "ab" * 5
@@ -262,9 +294,37 @@ def test_repeated_spans_texts_and_empty(spark):
 
 
 def test_repeated_spans_query_on_table(spark, tiny):
+    from kairograph.llm import queries
+
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
-    got = sorted((tuple(r) for r in suffix_dedup.repeated_spans(docs).collect()), key=repr)
-    assert got == brute_suffix([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 400)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = queries.op1_suffix_array_dedup(spark, tiny).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == brute_suffix(rows, 400)
+    assert sorted(((r.doc_id, r.n_passages) for r in got), key=repr) == brute_passages(rows, 50)
+
+
+def test_names_go_in_many_blocks_and_flushes(monkeypatch):
+    """The task functions in this process, with blocks, strides and flushes far below the texts' size."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(30, 900))) for _ in range(30)]
+    texts += [t[5:] for t in texts[:9]]
+    batch = lambda part: pa.record_batch({"id": pa.array([k for k, _ in part], pa.int64()), "hash": pa.array([7] * len(part), pa.int64()), "text": pa.array([t for _, t in part])})
+    rows, found = list(enumerate(texts)), []
+    for small in (False, True):
+        if small:
+            for name, value in (("BLOCK", 500), ("FLUSH", 40), ("STRIDE", 64)):
+                monkeypatch.setattr(suffix_dedup, name, value)
+        p = suffix_dedup.plan(40)
+        packed = [r for b in suffix_dedup._sampled(p, 3, False)(iter([batch(rows[:20]), batch(rows[20:])])) for r in b.to_pylist()]
+        assert not small or len(packed) > 50
+        packed.sort(key=lambda r: r["bucket"])
+        marks = list(suffix_dedup._compare(1, True)(iter(pa.RecordBatch.from_pylist([r], schema=PACKED) for r in packed)))
+        merged = [r for b in suffix_dedup._merge(p, p.modulus - 1)(iter(marks)) for r in b.to_pylist()]
+        found.append({r["id"]: suffix_dedup.removed_spans(len(texts[r["id"]]), r["gone_from"], r["gone_to"]) for r in merged})
+    assert found[0] == found[1] and found[0]
+
+
+PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("name", "wide", "id", "hash", "pos")]])
 
 
 def test_difference_sets_cover():
