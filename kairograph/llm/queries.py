@@ -99,7 +99,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    out = quality.classify(docs, quality.train(docs, labels))
+    out = quality.classify(docs, quality.train(docs, labels), narrow=True)
     return out.select(
         "doc_id",
         F.col("__evidence").alias("evidence"),

@@ -306,12 +306,74 @@ def test_quality_edges(spark):
     assert quality.keep_good(df.limit(0), some).count() == 0
 
 
+def brute_posteriors(rows):
+    """rows of (host, level, e, p): rates, strengths and scores recomputed one row at a time."""
+
+    def strength(groups, above):
+        if not groups:
+            return 1.0
+        between = sum((g / n - a) ** 2 for (g, n), a in zip(groups, above))
+        within = sum(a * (1 - a) / n for (_, n), a in zip(groups, above))
+        spread = sum(a * (1 - a) for a in above) / len(groups)
+        excess = (between - within) / len(groups)
+        return min(max(spread / excess - 1 if excess > 1e-12 else 1e6, 1.0), 1e6)
+
+    def group(key):
+        out = {}
+        for r in rows:
+            g, n = out.get(key(r), (0.0, 0))
+            out[key(r)] = (g + r[3], n + 1)
+        return out
+
+    rate = sum(r[3] for r in rows) / len(rows)
+    hosts, paths = group(lambda r: r[0]), group(lambda r: r[:2])
+    m = strength(list(hosts.values()), [rate] * len(hosts))
+    m2 = strength(list(paths.values()), [(hosts[h][0] + m * rate) / (hosts[h][1] + m) for h, _ in paths])
+    odds = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    out = []
+    for h, level, e, p in rows:
+        host = (hosts[h][0] - p + m * rate) / (hosts[h][1] - 1 + m)
+        path = (paths[h, level][0] - p + m2 * host) / (paths[h, level][1] - 1 + m2)
+        out.append((host, path, 1 / (1 + math.exp(-(e + odds(path) - odds(rate))))))
+    return out
+
+
+def test_posteriors_equal_a_plain_recomputation(spark, tiny):
+    docs, labels = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/labels.parquet")
+    # most bad documents come from one source, whose good ones its posterior then moves
+    bad = labels.where("quality = 0").select(F.col("doc_id").alias("b"))
+    skewed = docs.join(bad, docs.doc_id == bad.b, "left").withColumn("source", F.when(F.col("b").isNotNull(), "src3").otherwise(F.col("source"))).drop("b")
+    for table in (docs, skewed, skewed.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))):
+        model = quality.train(table, labels, rows=60)
+        assert model.labels.count() == 60
+        out = quality.classify(table, model).collect()
+        y = {r.id: r.y for r in model.labels.collect()}
+        rows = [(r.source, r.lang, r["__evidence"], y.get(r.doc_id, 1 / (1 + math.exp(-r["__evidence"])))) for r in out]
+        for r, want in zip(out, brute_posteriors(rows), strict=True):
+            assert np.allclose((r["__host_rate"], r["__path_rate"], r["__score"]), want, rtol=1e-9, atol=1e-12)
+            assert r["__keep"] == (r["__score"] >= 0.5)
+        thin = {r.doc_id: r["__score"] for r in quality.classify(table, model, narrow=True).collect()}
+        assert np.allclose([thin[r.doc_id] for r in out], [r["__score"] for r in out])
+        count = quality.moved(quality.classify(table, model)).first()
+        own = [1 / (1 + math.exp(-r["__evidence"])) >= 0.5 for r in out]
+        host = [r["__host_score"] >= 0.5 for r in out]
+        assert tuple(count) == (len(out), sum(a != b for a, b in zip(own, host)), sum(a != r["__keep"] for a, r in zip(host, out)))
+
+
 def test_shrinkage(spark):
     rows = [("big", "p", 0.9)] * 500 + [("small", "p", 0.0)] + [("mid", str(k % 5), 0.5) for k in range(100)]
-    stats, rate = quality.posteriors(spark.createDataFrame(rows, "host string, level string, p double"), "host", "level")
-    got = {(r.host, r.level): r.path_rate for r in stats.collect()}
-    assert abs(got["big", "p"] - 0.9) < 0.02
-    assert 0.0 < got["small", "p"] < rate
+    stats, rate, m, m2 = quality.counts(spark.createDataFrame(rows, "host string, level string, p double"))
+    got = {(r.host, r.level): r for r in stats.collect()}
+    path = lambda r: (r.good + m2 * (r.host_good + m * rate) / (r.host_n + m)) / (r.n + m2)
+    assert abs(path(got["big", "p"]) - 0.9) < 0.02
+    assert 0.0 < path(got["small", "p"]) < rate
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, "some text")] * 50 + [(2, "!!! ###")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality.train(docs, labels, rows=2)
+    assert {r.id: r.y for r in model.labels.collect()} == {1: 1.0, 2: 0.0}
 
 
 def test_pipeline(spark, tiny):
