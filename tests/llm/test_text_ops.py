@@ -178,6 +178,30 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_with_a_hot_id_and_repeated_queries(spark):
+    """One id and vector holds a third of the rows, another id many vectors, and a query id asks with two."""
+    rng = np.random.default_rng(3)
+    some = lambda: rng.normal(size=6).astype(np.float32).tolist()
+    hot = some()
+    rows = [(k, some()) for k in range(400)] + [(17, hot)] * 300 + [(18, some()) for _ in range(200)] + [(100, some()), (100, some())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = ann.nearest(df, df.where("vec_id % 100 = 0"), n_blocks=4).collect()
+    want = {}
+    for q, rank, i, d in brute_nearest(rows, 10**6):
+        want[q, i] = min(d, want.get((q, i), math.inf))
+    for q in {q for q, _ in want}:
+        best = sorted((d, i) for (a, i), d in want.items() if a == q)[:10]
+        assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == best
+
+
+def test_code_products_are_exact():
+    rng = np.random.default_rng(5)
+    for dim in (64, 2000):
+        a, b = (rng.integers(-127, 128, (n, dim)).astype(np.int8) for n in (7, ann.SLICE + 5))
+        a[0], b[0] = 127, -127
+        assert (ann.code_products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+
+
 def test_quantisation_bound():
     x = np.random.default_rng(4).normal(size=(50, 16)) * 10.0 ** np.arange(-3, 5).repeat(2)
     codes, scale, error = ann.quantise(x)
