@@ -12,16 +12,21 @@ similarity of 0.85 a pair exceeds the distance with a probability of 4e-6, at
 2. Classes meet in buckets by key; each bucket emits a spanning forest of its
    pairs within the distance, never all pairs.  Connected components of these
    forests are the candidate groups.
-3. Every link is confirmed on full sets: a group's texts meet in one task, or,
-   when the group is larger than a block, in one task per pair of blocks; a pair
-   already connected by confirmed links is not confirmed again.
+3. Every link is confirmed on full sets, without a pair of a group left out.  A
+   group of up to a block of classes meets in one task.  A larger one is dealt
+   into blocks, which first connect what they hold; then one class of each
+   component so found meets the others; and only classes outside the group's
+   largest component meet all its blocks.  A pair already connected by confirmed
+   links is not confirmed again.
 4. Components of the confirmed links, and of classes that share a document, are
    the result.
 
 Defined results: texts that are null, empty or without words have an empty set
 and are linked with nothing; rows repeated with one id are one document (their
 sets are linked); a row without an id takes no part, has a null component and
-stays; an empty table gives an empty result; extra columns are not read.
+stays; a text of any length has its whole set; an empty table gives an empty
+result; extra columns are not read.  Sets are of 64-bit hashes of shingles and
+classes of 128-bit digests of sets, so "full sets" means sets of hashes.
 """
 
 from __future__ import annotations
@@ -81,21 +86,23 @@ def bucket_keys(sigs: np.ndarray) -> np.ndarray:
     return out.reshape(len(sigs), -1).view(np.int64)
 
 
-def _sketch(width: int, kind: pa.DataType):
+def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, data, starts in doc_bytes(batch):
+            rows = pa.StructArray.from_arrays([batch.column("id"), batch.column("hash")], ["id", "hash"])
+            for ids, data, starts in doc_bytes(pa.RecordBatch.from_arrays([rows, batch.column("text")], ["id", "text"])):
                 hashes, offsets = shingles(data, starts, width)
                 sigs = signatures(hashes, offsets)
                 sets = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
+                        ids.field(0),
+                        ids.field(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([x.tobytes() for x in sigs], pa.binary()),
                     ],
-                    ["id", "n_shingles", "sid", "sig"],
+                    ["id", "hash", "n_shingles", "sid", "sig"],
                 )
         give_back()
 
@@ -112,10 +119,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["sid", "sig", "keys"])
 
 
-def _forest(linked, n: int) -> Iterator[tuple[int, int]]:
-    """Spanning forest over 0..n-1; ``linked(i, rows)`` says which of the rows are linked with i."""
-    label = np.arange(n)
-    for i in range(n):
+def _forest(linked, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spanning forest over what ``label`` has not united yet; ``linked(i, rows)`` says which of the rows are linked with i."""
+    label = label.copy()
+    for i in range(len(label)):
         others = np.flatnonzero(label != label[i])
         if not len(others):
             return
@@ -125,38 +132,40 @@ def _forest(linked, n: int) -> Iterator[tuple[int, int]]:
                 label[label == label[j]] = label[i]
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_edges(block: int):
     """Rows sorted by key; emits a forest over each bucket's pairs within DISTANCE.
 
-    A bucket beyond a block is worked through block by block against its first
-    row without the distance test: groups may only become larger by that, and
-    links are confirmed on full sets in any case.
+    What lies beyond a bucket's first ``block`` rows is linked to its first row
+    without the distance test, and so are they then.  That loses no pair: groups
+    may only become larger by it, and links are confirmed on full sets in any
+    case.  A bucket so large holds copies, or rows whose sets share three of
+    four minima.
     """
-    out: list[tuple[bytes, bytes]] = []
-    for _, parts in runs(batches, ["key"]):
-        first = None
-        for part in parts(BLOCK):
-            n = part.num_rows
-            if first is None and n == 1:
-                first = part.column("sid")[0].as_py()
-                continue
-            sids = part.column("sid").to_pylist()
-            if first is not None:
-                out += [(first, s) for s in sids]
-            else:
-                sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                if n < BLOCK:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[bytes, bytes]] = []
+        for _, parts in runs(batches, ["key"]):
+            first = None
+            for part in parts(block):
+                n = part.num_rows
+                sids = part.column("sid").to_pylist()
+                if first is not None:
+                    out += [(first, s) for s in sids]
+                elif n == block:
+                    first = sids[0]
+                    out += [(first, s) for s in sids[1:]]
+                elif n > 1:
+                    sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
                     linked = lambda i, rows, sigs=sigs: (sigs[rows] != sigs[i]).sum(axis=1) <= DISTANCE
-                    out += [(sids[i], sids[j]) for i, j in _forest(linked, n)]
-                else:
-                    out += [(sids[0], s) for s in sids[1:]]
-                first = sids[0]
-        if len(out) > 10_000:
+                    out += [(sids[i], sids[j]) for i, j in _forest(linked, np.arange(n))]
+                if len(out) > 10_000:
+                    yield _pairs(out)
+                    out = []
+        if out:
             yield _pairs(out)
-            out = []
-    if out:
-        yield _pairs(out)
-    give_back()
+        give_back()
+
+    return run
 
 
 def _pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -164,23 +173,38 @@ def _pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a class per task and place; rows repeated with one id and text bring several."""
+    seen = set()
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j", "sid"))))
+        new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+        if new:
+            yield batch.take(pa.array(new))
+    give_back()
+
+
 def _confirm(width: int, percent: int):
-    """Rows sorted by (grp, i, j), one per class; emits a forest of confirmed links per task group."""
+    """Rows sorted by (grp, i, j); emits a forest of confirmed links per place over what their labels have not united."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
         for _, parts in runs(batches, ["grp", "i", "j"]):
-            sids, sets = [], []
-            for part in parts(2048):
-                for ids, data, starts in doc_bytes(part, id_col="sid"):
+            sids, sets, labels = [], [], []
+            for part in parts(512):
+                seen = set(sids)
+                rows = pa.StructArray.from_arrays([part.column(c).combine_chunks() for c in ("sid", "label")], ["sid", "label"])
+                for got, data, starts in doc_bytes(pa.table({"id": rows, "text": part.column("text")}).combine_chunks().to_batches()[0]):
                     hashes, offsets = shingles(data, starts, width)
-                    for sid, a, b in zip(ids.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                    for sid, label, a, b in zip(got.field(0).to_pylist(), got.field(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                         distinct = np.unique(hashes[a:b])
-                        if len(distinct) and digest(distinct) == sid:  # a repeated id may bring another text along
+                        if sid not in seen and len(distinct) and digest(distinct) == sid:  # two texts may have one id and hash
+                            seen.add(sid)
                             sids.append(sid)
                             sets.append(distinct)
+                            labels.append(label)
             if len(sids) > 1:
-                out += [(sids[i], sids[j]) for i, j in confirmed_links(sets, percent)]
+                out += [(sids[i], sids[j]) for i, j in confirmed_links(sets, percent, np.unique(np.array(labels, object), return_inverse=True)[1])]
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -191,8 +215,8 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def confirmed_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Spanning forest of the pairs with 100 * intersection >= percent * union."""
+def confirmed_links(sets: list[np.ndarray], percent: int, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spanning forest of the pairs with 100 * intersection >= percent * union, beyond what ``label`` unites."""
     sizes = np.array([len(s) for s in sets])
     words, dense = np.unique(np.concatenate(sets), return_inverse=True)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -215,37 +239,71 @@ def confirmed_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int,
             ok[near] = 100 * inter >= percent * (sizes[which] + sizes[i] - inter)
         return ok
 
-    yield from _forest(linked, len(sets))
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    yield from _forest(linked, label)
+
+
+def _links(read: DataFrame, classes: DataFrame, groups: DataFrame, width: int, percent: int, block: int, scratch: Scratch) -> DataFrame:
+    """a, b: a forest of confirmed links of every candidate group (sid, grp)."""
+    half = max(1, block // 2)
+    dealt = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    blocks = lambda rows, n: rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(half)).cast("int").alias(n))
+
+    def confirmed(members: DataFrame) -> DataFrame:
+        """``members`` has sid, label, grp, i, j; the narrow rows meet first, so texts travel to their id and to their place."""
+        asked = classes.select("sid", "id", "hash").join(members, "sid")
+        texts = read.join(asked, ["id", "hash"]).select("grp", "i", "j", "sid", "label", "text").mapInArrow(_once, _PLACED)
+        rows = texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        return scratch.keep(rows.mapInArrow(_confirm(width, percent), "a binary, b binary"))
+
+    sizes = blocks(groups, "n")
+    own = groups.join(sizes, "grp").withColumn("own", dealt("n"))
+    links = confirmed(own.select("sid", F.col("sid").alias("label"), "grp", F.col("own").alias("i"), F.col("own").alias("j")))
+    if sizes.where("n > 1").isEmpty():
+        return links
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = components(links, scratch).select(F.col("vertex").alias("sid"), "label")
+        large = own.where("n > 1").join(found, "sid", "left")
+        return scratch.keep(large.withColumn("label", F.coalesce("label", "sid")))
+
+    # one class of each component that a block has connected
+    heads = labelled(links).where("label = sid")
+    heads = heads.drop("n").join(blocks(heads, "n"), "grp").withColumn("own", dealt("n"))
+    links = links.union(confirmed(heads.select("sid", "label", "grp", F.col("own").alias("i"), F.col("own").alias("j"))))
+    # classes outside the largest component of a group meet every block of it
+    known = labelled(links)
+    largest = known.groupBy("grp", "label").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("parts"))
+    loose = known.join(largest.where("parts > 1"), "grp")
+    others = loose.where("label <> most")
+    outer = blocks(others, "m")
+    loose = loose.join(outer, "grp")
+    a = loose.where("label <> most").withColumn("i", dealt("m")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    b = loose.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    columns = ("sid", "label", "grp", "i", "j")
+    return links.union(confirmed(a.select(*columns).union(b.select(*columns)).distinct()))
+
+
+_PLACED = "grp binary, i int, j int, sid binary, label binary, text string"
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     spark = docs.sparkSession
     scratch = Scratch(spark, "near_dedup")
-    id_type = docs.schema[id_col].dataType
-    kind, ddl = to_arrow_type(id_type), id_type.simpleString()
-    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketch = scratch.keep(read.mapInArrow(_sketch(width, kind), f"id {ddl}, n_shingles long, sid binary, sig binary"))
+    ddl = docs.schema[id_col].dataType.simpleString()
+    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    sketch = scratch.keep(read.mapInArrow(_sketch(width), f"id {ddl}, hash long, n_shingles long, sid binary, sig binary"))
     known = sketch.where(F.col("sid").isNotNull() & F.col("id").isNotNull())
-    classes = known.groupBy("sid").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
+    classes = known.groupBy("sid").agg(F.min(F.struct("id", "hash", "sig")).alias("one")).select("sid", "one.id", "one.hash", "one.sig")
     keyed = classes.select("sid", "sig").mapInArrow(_keys, "sid binary, sig binary, keys array<long>").select("sid", "sig", F.explode("keys").alias("key"))
-    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges, "a binary, b binary")
+    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges(block), "a binary, b binary")
     groups = scratch.keep(components(near, scratch).select(F.col("vertex").alias("sid"), F.col("label").alias("grp")))
     del keyed, near
     release_shuffles(spark)
 
-    blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK // 2)).cast("int").alias("n"))
-    here = F.pmod(F.xxhash64("sid"), F.col("n")).cast("int")
-    members = groups.join(blocks, "grp").withColumn("own", here).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    members = members.select("sid", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    texts = read.join(classes.join(groups.select("sid"), "sid", "left_semi").select("id", "sid"), "id")
-    tasks = texts.select("sid", "text").join(members, "sid").select("grp", "i", "j", "sid", "text")
-    links = tasks.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_confirm(width, percent), "a binary, b binary")
+    linked = _links(read, classes, groups, width, percent, block, scratch)
     spans = known.groupBy("id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z")
     shared = known.join(spans.select("id", "a"), "id").select("a", F.col("sid").alias("b"))
-    linked = scratch.keep(links)
     label = components(linked.union(shared), scratch)
 
     labelled = sketch.join(label.select(F.col("vertex").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))

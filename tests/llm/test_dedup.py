@@ -180,12 +180,19 @@ def test_near_groups(spark, width, percent):
     assert sorted((tuple(r) for r in got), key=repr) == brute_near(rows, width, percent)
 
 
-def test_near_groups_beyond_a_block(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+@pytest.mark.parametrize("block", [2, 8, 16])
+def test_near_groups_beyond_a_block(spark, block):
+    """Buckets and groups far beyond a block, in the workers: one tight group, and one that holds together by its edges only."""
     rng = random.Random(5)
-    base = [f"v{rng.randrange(999)}" for _ in range(150)]
+    base, other = ([f"{c}{rng.randrange(999)}" for _ in range(150)] for c in "vu")
     rows = [(k, edited(rng, base, rng.choice([1, 2, 4, 9]))) for k in range(90)]
-    got = near_dedup.near_groups(documents(spark, rows), width=3, percent=85).collect()
+    drift = list(other)
+    for k in range(60):  # each is near the one before, the ends are not near
+        drift[2 * k % 150] = f"t{k}"
+        rows.append((1000 + k, " ".join(drift)))
+    rows += [(k, t) for k, t in rows[:5] for _ in range(20)]  # rows repeated with one id and text
+    rows += [(7, edited(rng, base, 3)) for _ in range(20)]  # one id with many texts
+    got = near_dedup.near_groups(documents(spark, rows), width=3, percent=85, block=block).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_near(rows, 3, 85)
 
 
@@ -220,6 +227,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_components_with_hubs(spark):
+    """A hub low, one in the middle and one high among the vertices, and a chain between them."""
+    edges = [(h, 10_000 + 10 * k + h % 7) for h in (0, 12_000, 90_000) for k in range(3000)] + [(90_000, 200_000), (200_000, 200_001)]
+    got = {r.vertex: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    label = list(range(200_002))
+
+    def find(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        label[b] = a
+    assert got == {v: find(v) for e in edges for v in e}
+
+
 # -- 1 ---------------------------------------------------------------------------------------------------------------
 
 
