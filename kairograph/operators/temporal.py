@@ -117,18 +117,33 @@ def latest_per_slot(facts: DataFrame, t: Column, keys: tuple[str, ...] = ("sourc
 def interval_join(probes: DataFrame, facts: DataFrame, keys: list[str], at: str = "t", day: int = 1) -> DataFrame:
     """Each probe with the facts valid at its time.
 
-    Validity intervals are cut into bins of ``day`` days and meet the probes in
-    an equi-join on (keys, bin), so no range comparison crosses bins; an open
-    interval ends at the last probe.
+    Times are cut into bins of ``day`` days.  A validity interval is covered by
+    nested bins of 1, 2, 4, ... such bins, at most two of each size, and a probe
+    lies in one bin of each size, so both sides grow with the logarithm of the
+    span only and meet in an equi-join on (keys, size, bin); an open interval
+    ends at the last probe.
     """
     span = day * 86_400
     bin_of = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / span)
-    last = probes.agg(F.max(bin_of(F.col(at))).alias("__last"))
-    cut = facts.crossJoin(F.broadcast(last)).withColumn("__from", bin_of(F.col("valid_at"))).withColumn("__to", F.least(F.coalesce(bin_of(F.col("invalid_at")), F.col("__last")), F.col("__last")))
-    cut = cut.where("__to >= __from").withColumn("__bin", F.explode(F.sequence("__from", "__to"))).drop("__from", "__to", "__last")
-    p = probes.withColumn("__bin", bin_of(F.col(at)))
-    hit = p.join(cut, [*keys, "__bin"])
-    return hit.where((F.col("valid_at") <= F.col(at)) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > F.col(at)))).drop("__bin")
+    first, last = probes.agg(F.min(bin_of(F.col(at))), F.max(bin_of(F.col(at)))).first()
+    if first is None:
+        first, last = 0, -1  # no probe, no bin
+    levels = max(last - first + 1, 1).bit_length()
+    # bins are counted from the first probe's; nothing before it is asked for
+    start = F.greatest(bin_of(F.col("valid_at")) - first, F.lit(0))
+    stop = F.least(F.coalesce(bin_of(F.col("invalid_at")), F.lit(last)), F.lit(last)) - first + 1
+    cut = facts.withColumn("__from", start.cast("long")).withColumn("__stop", stop.cast("long")).where("__from < __stop")
+    parts = []
+    for k in range(levels):
+        low, high = F.shiftright(F.col("__from") + ((1 << k) - 1), k), F.shiftright(F.col("__stop"), k)
+        parts.append(F.when((low < high) & (low % 2 == 1), F.struct(F.lit(k).alias("level"), low.alias("bin"))))
+        parts.append(F.when((low < high) & (high % 2 == 1), F.struct(F.lit(k).alias("level"), (high - 1).alias("bin"))))
+    cut = cut.withColumn("__b", F.explode(F.array_compact(F.array(*parts)))).withColumns({"__level": F.col("__b.level"), "__bin": F.col("__b.bin")}).drop("__from", "__stop", "__b")
+    own = (bin_of(F.col(at)) - first).cast("long")
+    p = probes.withColumn("__own", own).withColumn("__b", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col("__own"), k).alias("bin")) for k in range(levels)])))
+    p = p.withColumns({"__level": F.col("__b.level"), "__bin": F.col("__b.bin")}).drop("__own", "__b")
+    hit = p.join(cut, [*keys, "__level", "__bin"])
+    return hit.where((F.col("valid_at") <= F.col(at)) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > F.col(at)))).drop("__level", "__bin")
 
 
 def invalidate(facts: DataFrame, closers: DataFrame, now: Column) -> DataFrame:
@@ -172,3 +187,44 @@ def peers(facts: DataFrame, on: str, other: str) -> DataFrame:
     a = facts.select(*cols)
     b = facts.select("group_id", on, *[F.col(c).alias(f"peer_{c}") for c in ("uuid", "seq", other, "is_belief")])
     return a.join(b, ["group_id", on]).where((F.col("peer_seq") < F.col("seq")) & (F.col(f"peer_{other}") != F.col(other)))
+
+
+def peer_counts(facts: DataFrame, on: str, other: str, within: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """uuid, n_peers, first_peer: what ``peers`` pairs a row with, counted without the pairs.
+
+    Earlier rows that share ``on``, less those that share ``other`` too; the
+    first peer is the partition's first row, or the first that differs from it
+    in ``other``.
+    """
+    w = Window.partitionBy(*within, on).orderBy("seq")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy(*within, on, other).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = facts.withColumns({"__all": F.count("*").over(before), "__same": F.count("*").over(same), "__first": F.first(other).over(w), "__at": F.first("seq").over(w)})
+    second = F.min(F.when(F.col(other) != F.col("__first"), F.col("seq"))).over(before)
+    first = F.when(F.col(other) != F.col("__first"), F.col("__at")).otherwise(F.col("__second"))
+    return rows.withColumn("__second", second).select("uuid", (F.col("__all") - F.col("__same")).alias("n_peers"), first.alias("first_peer"))
+
+
+def endpoint_candidates(facts: DataFrame, live: Column) -> DataFrame:
+    """uuid, n_candidates, first_candidate: earlier live facts with the same subject or the same object, counted without the pairs."""
+    rows = facts.withColumn("__live", live.cast("int"))
+    ends = {"s": ("source_node_uuid",), "o": ("target_node_uuid",), "b": ("source_node_uuid", "target_node_uuid")}
+    for k, columns in ends.items():
+        w = Window.partitionBy("group_id", "is_belief", *columns).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({f"__n{k}": F.coalesce(F.sum("__live").over(w), F.lit(0)), f"__f{k}": F.min(F.when(F.col("__live") == 1, F.col("seq"))).over(w)})
+    return rows.select("uuid", (F.col("__ns") + F.col("__no") - F.col("__nb")).alias("n_candidates"), F.least("__fs", "__fo").alias("first_candidate"))
+
+
+def contradicted(facts: DataFrame, live: Column) -> DataFrame:
+    """uuid, closed_by_seq of live facts: the first later fact at one of their ends whose text has a cue.
+
+    For facts that share an end the offline judge asks for nothing but the cue,
+    so the earliest closer is a window minimum and no pair is made.
+    """
+    rows = facts.withColumns({"__live": live, "__cue": F.when(has_cue(F.col("fact")), F.col("seq"))})
+    later = []
+    for k, column in enumerate(("source_node_uuid", "target_node_uuid")):
+        w = Window.partitionBy("group_id", "is_belief", column).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+        rows = rows.withColumn(f"__c{k}", F.min("__cue").over(w))
+        later.append(f"__c{k}")
+    return rows.where("__live").select("uuid", F.least(*later).alias("closed_by_seq"))

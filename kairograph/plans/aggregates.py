@@ -249,10 +249,10 @@ def topk_created(g):
 # -- sets -------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH a AS (SELECT uuid, 0 AS channel FROM kg_fact WHERE name = 'click' AND seq < 500), b AS (SELECT uuid, 1 AS channel FROM kg_fact WHERE seq % 3 = 0 AND seq < 600), c AS (SELECT uuid, 2 AS channel FROM kg_fact WHERE target_node_uuid = 'u1:obj:1')
+@query("""WITH a AS (SELECT uuid, 0 AS channel FROM kg_fact WHERE name = 'click'), b AS (SELECT uuid, 1 AS channel FROM kg_fact WHERE status = 'superseded'), c AS (SELECT uuid, 2 AS channel FROM kg_fact WHERE target_node_uuid = 'u1:obj:1')
 SELECT uuid, min(channel)::INTEGER AS channel FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY uuid""")
 def set_union_dedupe(g):
-    conditions = ("name = 'click' and seq < 500", "seq % 3 = 0 and seq < 600", "target_node_uuid = 'u1:obj:1'")
+    conditions = ("name = 'click'", "status = 'superseded'", "target_node_uuid = 'u1:obj:1'")
     out = None
     for k, c in enumerate(conditions):
         part = g.fact.where(c).select("uuid", F.lit(k).alias("channel"))

@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kairograph.functions.keys import fact_key
+from kairograph.functions.text import BAD_GOAL_PREFIXES, GOALS, NO_GOALS
 from kairograph.operators import cognition as C
 from kairograph.operators.filters import active, ntz
 from kairograph.sources.testgraph import NOW
 
 from .registry import query
-from .scalars import AFFECT_SQL, EFFECTIVE_SQL, TEXTS_SQL, VITALITY_SQL, texts
+from .scalars import EFFECTIVE_SQL, VITALITY_SQL, affect_sql, texts
 
 LIVE = "status = 'active' AND invalid_at IS NULL"
 KEY_SQL = "group_id || '::' || source_node_uuid || '::' || lower(name) || '::' || target_node_uuid"
 _KLASS = "CASE WHEN lower(trim(coalesce(memory_class, ''))) = '' THEN 'objective' ELSE lower(trim(memory_class)) END"
 
 
+_SAID = "SELECT uuid, content FROM kg_source_episode"
+_BELIEF = r"(?i)\b(?:I think|I believe|I feel(?: like)?|feels like|seems(?: like)?|might be|I suspect|in my opinion|I guess|probably)\b"
+
+
 def _moods(g):
-    rows = C.affect(texts(g), "id")
-    return rows.select(F.concat(F.lit("ep:"), "id").alias("episode"), "polarity", "intensity").join(g.source_episode.select(F.col("uuid").alias("episode"), "reference_time"), "episode")
+    rows = C.affect(g.source_episode.select("uuid", "content"))
+    return rows.select(F.col("uuid").alias("episode"), "polarity", "intensity").join(g.source_episode.select(F.col("uuid").alias("episode"), "reference_time"), "episode")
 
 
-@query(f"""WITH {AFFECT_SQL}, m AS (SELECT 'ep:' || id AS episode, round(pw / w, 3) AS polarity, round(least(1.0, w / 2), 3) AS intensity FROM best WHERE k = 1),
+@query(f"""WITH {affect_sql(_SAID)}, m AS (SELECT id AS episode, round(pw / w, 3) AS polarity, round(least(1.0, w / 2), 3) AS intensity FROM best WHERE k = 1),
 r AS (SELECT f.uuid, m.*, s.reference_time FROM (SELECT uuid, unnest(episodes) AS episode FROM kg_fact) f JOIN m USING (episode) JOIN kg_source_episode s ON s.uuid = m.episode)
 SELECT uuid, arg_max(polarity, (reference_time, episode)) AS valence, max(intensity) AS intensity FROM r GROUP BY uuid""")
 def cg_affect(g):
-    return C.tag_affect(g.fact.select("uuid", "episodes"), F.broadcast(_moods(g)))
+    return C.tag_affect(g.fact.select("uuid", "episodes"), _moods(g))
 
 
-@query(rf"""WITH t(id, content) AS (VALUES {TEXTS_SQL}), b AS (SELECT 'ep:' || id AS e FROM t WHERE regexp_matches(content, '(?i)\b(?:I think|I believe|I feel(?: like)?|feels like|seems(?: like)?|might be|I suspect|in my opinion|I guess|probably)\b')),
+@query(rf"""WITH b AS (SELECT uuid AS e FROM kg_source_episode WHERE regexp_matches(content, '{_BELIEF}')),
 c AS (SELECT uuid, source_node_uuid, unnest(episodes) AS e FROM kg_fact WHERE {LIVE} AND NOT is_belief) SELECT DISTINCT c.uuid, c.source_node_uuid AS belief_holder, 'belief' AS memory_class FROM c JOIN b USING (e) JOIN kg_mention m ON m.episode_uuid = c.e AND m.entity_uuid = c.source_node_uuid""")
 def cg_beliefs(g):
-    episodes = texts(g).select(F.concat(F.lit("ep:"), "id").alias("uuid"), "content")
-    return C.beliefs(g.fact, episodes, g.mention)
+    return C.beliefs(g.fact, g.source_episode.select("uuid", "content"), g.mention)
 
 
 @query("""WITH s AS (SELECT f.uuid, stability, count(DISTINCT s.uuid) AS n, (epoch_us(max(s.reference_time)) - epoch_us(min(s.reference_time))) / 86400000000.0 AS span FROM (SELECT uuid, stability, unnest(episodes) AS e FROM kg_fact) f JOIN kg_source_episode s ON s.uuid = f.e GROUP BY 1, 2)
@@ -66,7 +70,14 @@ def cg_traits(g):
     return C.traits(C.trait_candidates(g.fact, ("error",)))
 
 
-@query("SELECT * FROM (VALUES (3, 'learn_rust_this_year', 0.55::DOUBLE), (4, 'improve_my_sleep_could_you_make_it_better', 0.55::DOUBLE), (8, 'visit_the_northern_islands', 0.55::DOUBLE)) t(id, goal, confidence)")
+_PHRASES = " || ".join("regexp_extract_all(content, '{}', 1)".format(p.replace("'", "''")) for p in GOALS)
+_CLEAN = " AND ".join(["length(x) >= 4", "x NOT IN ({})".format(", ".join(f"'{n}'" for n in NO_GOALS)), *[f"x <> '{p.rstrip('_')}' AND NOT starts_with(x, '{p}')" for p in BAD_GOAL_PREFIXES]])
+
+
+@query(rf"""WITH f AS (SELECT uuid AS id, {_PHRASES} AS p FROM kg_text),
+c AS (SELECT id, list_filter(list_transform(p, lambda x: trim(regexp_replace(trim(x), '\s+', ' ', 'g'), ' ,.;:')), lambda x: length(x) BETWEEN 8 AND 200) AS p FROM f),
+n AS (SELECT id, list_transform(p, lambda x: coalesce(nullif(lower(trim(regexp_replace(x, '[^0-9A-Za-z]+', '_', 'g'), '_')), ''), 'unknown')) AS n FROM c), k AS (SELECT id, list_filter(n, lambda x: {_CLEAN}) AS n FROM n)
+SELECT id, n[1] AS goal, 0.55::DOUBLE AS confidence FROM k WHERE len(n) > 0""")
 def cg_goals(g):
     return C.goals(texts(g), "id")
 

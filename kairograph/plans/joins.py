@@ -78,20 +78,18 @@ def join_semantic_knn(g):
 
 
 def _peers_sql(on: str, other: str) -> str:
-    return f"""WITH a AS (SELECT * FROM kg_fact WHERE status = 'active' AND invalid_at IS NULL AND seq % 5 = 1)
+    return f"""WITH a AS (SELECT * FROM kg_fact WHERE status = 'active' AND invalid_at IS NULL)
 SELECT a.uuid, count(*) AS n_peers, min(b.seq) AS first_peer FROM a JOIN a b ON a.group_id = b.group_id AND a.{on} = b.{on} AND b.seq < a.seq AND a.{other} <> b.{other} GROUP BY a.uuid"""
 
 
 @query(_peers_sql("target_node_uuid", "source_node_uuid"))
 def join_co_object(g):
-    rows = g.fact.where(O.active() & (F.col("seq") % 5 == 1))
-    return temporal.peers(rows, "target_node_uuid", "source_node_uuid").groupBy("uuid").agg(F.count("*").alias("n_peers"), F.min("peer_seq").alias("first_peer"))
+    return temporal.peer_counts(g.fact.where(O.active()), "target_node_uuid", "source_node_uuid").where("n_peers > 0")
 
 
 @query(_peers_sql("source_node_uuid", "target_node_uuid"))
 def join_co_subject(g):
-    rows = g.fact.where(O.active() & (F.col("seq") % 5 == 1))
-    return temporal.peers(rows, "source_node_uuid", "target_node_uuid").groupBy("uuid").agg(F.count("*").alias("n_peers"), F.min("peer_seq").alias("first_peer"))
+    return temporal.peer_counts(g.fact.where(O.active()), "source_node_uuid", "target_node_uuid").where("n_peers > 0")
 
 
 @query("""WITH a AS (SELECT * FROM kg_fact WHERE status = 'active' AND invalid_at IS NULL) SELECT a.uuid, b.uuid AS peer FROM a JOIN a b ON a.group_id = b.group_id AND a.source_node_uuid = b.source_node_uuid AND a.name = b.name AND a.target_node_uuid <> b.target_node_uuid AND b.seq < a.seq""")
@@ -111,10 +109,10 @@ def join_equivalent(g):
     return k.join(first, "fact_key").where("equivalent_seq < seq").select("uuid", "equivalent_seq")
 
 
-@query("""WITH p AS (SELECT o_orderkey, o_custkey AS c, TIMESTAMP '2024-01-01 00:00:00' + to_hours((o_orderkey % 700)::INT) AS t FROM orders WHERE o_custkey <= 150)
+@query("""WITH p AS (SELECT o_orderkey, o_custkey AS c, TIMESTAMP '2024-01-01 00:00:00' + to_hours((o_orderkey % 700)::INT) AS t FROM orders)
 SELECT p.o_orderkey, f.uuid FROM p JOIN kg_fact f ON f.source_node_uuid = 'user:' || p.c AND f.valid_at <= p.t AND (f.invalid_at IS NULL OR f.invalid_at > p.t) AND f.invalid_at IS NOT NULL""")
 def join_asof(g):
-    p = g.raw("orders").where("o_custkey <= 150").selectExpr("o_orderkey", "'user:' || o_custkey as source_node_uuid", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, cast(o_orderkey % 700 as int)) as t")
+    p = g.raw("orders").selectExpr("o_orderkey", "'user:' || o_custkey as source_node_uuid", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, cast(o_orderkey % 700 as int)) as t")
     f = g.fact.where("invalid_at is not null").select("uuid", "source_node_uuid", "valid_at", "invalid_at")
     return temporal.interval_join(p, f, ["source_node_uuid"]).select("o_orderkey", "uuid")
 

@@ -94,7 +94,7 @@ def udtf_extract(g):
 @query()
 def tf_add_episode(g):
     """Batch ingest of raw texts: extract, repair, resolve frames, close slots."""
-    rows = texts(g).select(F.concat(F.lit("t:"), "id").alias("uuid"), F.lit("g").alias("group_id"), "content", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(id)").alias("reference_time"))
+    rows = texts(g).select(F.col("id").alias("uuid"), "group_id", "content", "reference_time")
     return ingest.facts_of(rows, frames.frame_aliases(g.spark))
 
 
@@ -153,8 +153,8 @@ def tf_add_triplet(g):
 
 @query()
 def tf_add_bulk(g):
-    """Many texts at once: the same set-based ingest over the documents of one language."""
-    rows = g.raw("documents").where("lang = 'en'").selectExpr("'d' || doc_id as uuid", "source as group_id", "text as content", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int)) as reference_time")
+    """Many texts at once: the same set-based ingest over all documents."""
+    rows = g.raw("documents").selectExpr("'d' || doc_id as uuid", "source as group_id", "text as content", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int)) as reference_time")
     return ingest.facts_of(rows, frames.frame_aliases(g.spark)).groupBy("group_id", "name").agg(F.count("*").alias("n_facts"))
 
 

@@ -12,7 +12,7 @@ from kairograph.operators.filters import SearchFilters, active, ntz
 from kairograph.sources.testgraph import NOW
 
 from .registry import query
-from .scalars import EFFECTIVE_SQL
+from .scalars import EFFECTIVE_SQL, profiles_sql
 
 QUERY_TEXT = "the and thing of Ist der"
 QUERY_VEC = 7
@@ -79,9 +79,9 @@ def hs_fts_documents(g):
     return S.bm25(g.raw("documents"), "the and thing", "text", 10, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH t AS (SELECT uuid, unnest({TOKENS_SQL.format('fact')}) AS term FROM kg_fact WHERE seq < 500) SELECT uuid, term, count(*) AS tf FROM t GROUP BY 1, 2""")
+@query(f"""WITH t AS (SELECT uuid, unnest({TOKENS_SQL.format('fact')}) AS term FROM kg_fact) SELECT uuid, term, count(*) AS tf FROM t GROUP BY 1, 2""")
 def hs_postings(g):
-    return S.postings(g.fact.where("seq < 500"), "fact").select("uuid", "term", "tf")
+    return S.postings(g.fact, "fact").select("uuid", "term", "tf")
 
 
 @query(f"WITH d AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS t FROM documents) SELECT doc_id, len(t)::INTEGER AS n_terms, len(list_distinct(t))::INTEGER AS n_distinct FROM d")
@@ -270,7 +270,7 @@ def er_merge_case_dups(g):
     return resolve.repoint(g.fact.select("uuid", "source_node_uuid", "target_node_uuid"), to, "source_node_uuid", "target_node_uuid").select("uuid", "source_node_uuid", "target_node_uuid")
 
 
-@query()
+@query(profiles_sql("(SELECT * FROM kg_fact WHERE status = 'active' AND invalid_at IS NULL)"))
 def pf_refresh(g):
     from kairograph.operators import resolve
 
@@ -297,21 +297,21 @@ def pf_dossier(g):
 # -- graph ------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'x' || (n_nationkey), 'x' || (n_nationkey + 5) FROM nation WHERE n_nationkey < 20),
+@query("""WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'x' || (n_nationkey), 'x' || (n_nationkey + 5) FROM nation WHERE n_nationkey < 20),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, reach.root FROM reach JOIN u ON u.a = reach.node) SELECT node, min(root) AS component FROM reach GROUP BY node""")
 def gr_components(g):
-    c = g.raw("customer").where("c_custkey % 3 = 0").selectExpr("'c' || c_custkey as a", "'n' || c_nationkey as b")
+    c = g.raw("customer").selectExpr("'c' || c_custkey as a", "'n' || c_nationkey as b")
     s = g.raw("supplier").selectExpr("'s' || s_suppkey", "'n' || s_nationkey")
     x = g.raw("nation").where("n_nationkey < 20").selectExpr("'x' || n_nationkey", "'x' || (n_nationkey + 5)")
     return graph.components(c.union(s).union(x), "a", "b")
 
 
-@query("""WITH e AS (SELECT source_node_uuid AS a, target_node_uuid AS b FROM kg_fact WHERE invalid_at IS NULL AND group_id IN ('u1', 'u2')), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH e AS (SELECT source_node_uuid AS a, target_node_uuid AS b FROM kg_fact WHERE invalid_at IS NULL), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(node, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, reach.root FROM reach JOIN u ON u.a = reach.node), c AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
 d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node), r AS (SELECT c.*, degree, name FROM c JOIN d USING (node) LEFT JOIN kg_entity k ON k.uuid = c.node)
 SELECT component, arg_min(node, (-degree, node)) AS head, count(*) AS n_members, string_agg(name, ', ' ORDER BY name) AS summary, arg_min(name, (-degree, node)) || ' community' AS community_name FROM r GROUP BY component HAVING count(*) >= 2""")
 def gr_communities(g):
-    return graph.communities(g.fact.where("group_id in ('u1', 'u2')"), g.entity.select("uuid", "name"))
+    return graph.communities(g.fact, g.entity.select("uuid", "name"))
 
 
 @query("""WITH n AS (SELECT 'user:11' AS x UNION SELECT target_node_uuid FROM kg_fact WHERE source_node_uuid = 'user:11' UNION SELECT source_node_uuid FROM kg_fact WHERE target_node_uuid = 'user:11') SELECT f.uuid FROM kg_fact f WHERE source_node_uuid IN (SELECT x FROM n) AND target_node_uuid IN (SELECT x FROM n)""")

@@ -142,30 +142,25 @@ def tf_link_mentions(g):
     return g.fact.select(F.explode("episodes").alias("episode_uuid"), "source_node_uuid", "target_node_uuid").select("episode_uuid", F.explode(F.array("source_node_uuid", "target_node_uuid")).alias("entity_uuid")).distinct()
 
 
-@query("""WITH n AS (SELECT * FROM kg_fact WHERE seq % 50 = 0), o AS (SELECT * FROM kg_fact WHERE status = 'active' AND invalid_at IS NULL AND seq % 2 = 1)
-SELECT n.uuid AS new_uuid, o.uuid AS uuid FROM n JOIN o ON n.group_id = o.group_id AND o.seq < n.seq AND n.is_belief = o.is_belief AND n.source_node_uuid = o.source_node_uuid
-UNION SELECT n.uuid, o.uuid FROM n JOIN o ON n.group_id = o.group_id AND o.seq < n.seq AND n.is_belief = o.is_belief AND n.target_node_uuid = o.target_node_uuid""")
-def tf_candidates(g):
-    return _candidates(g).select("new_uuid", "uuid")
+_LIVE = "status = 'active' AND invalid_at IS NULL"
+_CUE = "seq % 100 = 0"  # every hundredth fact says " no longer"
 
 
-def _candidates(g):
-    """Co-subject and co-object candidates on the same side of the belief gate, each pair once."""
-    new = g.fact.where("seq % 50 = 0").select("group_id", "is_belief", F.col("uuid").alias("new_uuid"), F.col("seq").alias("new_seq"), F.col("source_node_uuid").alias("new_subject"), F.col("target_node_uuid").alias("new_object"), F.concat("fact", F.when(F.col("seq") % 100 == 0, " no longer").otherwise("")).alias("new_fact"))
-    old = g.fact.where(O.active() & (F.col("seq") % 2 == 1)).select("group_id", "is_belief", "uuid", "seq", F.col("source_node_uuid").alias("subject"), F.col("target_node_uuid").alias("object"), "fact")
-    new = F.broadcast(new)  # the batch being ingested
-    both = None
-    for a, b in (("new_subject", "subject"), ("new_object", "object")):
-        part = old.join(new, (new["group_id"] == old["group_id"]) & (new["is_belief"] == old["is_belief"]) & (new[a] == old[b])).drop(new["group_id"]).drop(new["is_belief"]).where("seq < new_seq")
-        both = part if both is None else both.unionByName(part)
-    return both.dropDuplicates(["new_uuid", "uuid"])
+@query(f"""WITH o AS (SELECT * FROM kg_fact WHERE {_LIVE}),
+p AS (SELECT n.uuid, o.seq FROM kg_fact n JOIN o ON n.group_id = o.group_id AND o.seq < n.seq AND n.is_belief = o.is_belief AND n.source_node_uuid = o.source_node_uuid
+UNION SELECT n.uuid, o.seq FROM kg_fact n JOIN o ON n.group_id = o.group_id AND o.seq < n.seq AND n.is_belief = o.is_belief AND n.target_node_uuid = o.target_node_uuid)
+SELECT uuid, count(*) AS n_candidates, min(seq) AS first_candidate FROM p GROUP BY uuid""")
+def tf_candidates(g):
+    """Every fact as newcomer against all earlier active facts at one of its ends, on its side of the belief gate."""
+    return T.endpoint_candidates(g.fact, O.active()).where("n_candidates > 0")
 
 
-@query("""WITH n AS (SELECT * FROM kg_fact WHERE seq % 100 = 0), o AS (SELECT * FROM kg_fact WHERE status = 'active' AND invalid_at IS NULL AND seq % 2 = 1)
-SELECT DISTINCT o.uuid, min(n.seq) AS closed_by_seq FROM n JOIN o ON n.group_id = o.group_id AND o.seq < n.seq AND n.is_belief = o.is_belief AND (n.source_node_uuid = o.source_node_uuid OR n.target_node_uuid = o.target_node_uuid) GROUP BY o.uuid""")
+@query(f"""WITH n AS (SELECT * FROM kg_fact WHERE {_CUE}), o AS (SELECT * FROM kg_fact WHERE {_LIVE})
+SELECT o.uuid, min(n.seq) AS closed_by_seq FROM n JOIN o ON n.group_id = o.group_id AND o.seq < n.seq AND n.is_belief = o.is_belief AND (n.source_node_uuid = o.source_node_uuid OR n.target_node_uuid = o.target_node_uuid) GROUP BY o.uuid""")
 def tf_L3_contradiction(g):
-    pairs = _candidates(g)
-    return pairs.where(T.judge(pairs)).groupBy("uuid").agg(F.min("new_seq").alias("closed_by_seq"))
+    """The offline judge over all candidate pairs: each active fact is closed by the first later one with a cue at one of its ends."""
+    said = g.fact.withColumn("fact", F.concat("fact", F.when(F.expr(_CUE), " no longer").otherwise("")))
+    return T.contradicted(said, O.active()).where("closed_by_seq is not null")
 
 
 @query(r"""WITH p(id, new_fact, fact, new_subject, subject, new_object, object) AS (VALUES (1, 'Ann moved to Rome', 'Ann lives in Paris', 'Ann', 'ann', 'Rome', 'Paris'), (2, 'Ann likes Rome', 'Ann lives in Paris', 'Ann', 'Ann', 'Rome', 'Paris'), (3, 'Bob no longer works', 'Cy sings', 'Bob', 'Cy', 'w', 's'), (4, 'He stopped singing songs', 'She is singing', 'He', 'She', 'x', 'y')),
@@ -177,33 +172,29 @@ def tf_judge_stub(g):
     return p.select("id", T.judge(p).alias("contradicts"))
 
 
-@query("SELECT a.uuid, b.uuid AS peer FROM kg_fact a JOIN kg_fact b ON a.group_id = b.group_id AND a.target_node_uuid = b.target_node_uuid AND a.source_node_uuid <> b.source_node_uuid AND b.seq < a.seq AND a.is_belief = b.is_belief WHERE a.seq < 800 AND b.seq < 800")
+@query("SELECT a.uuid, count(*) AS n_peers, min(b.seq) AS first_peer FROM kg_fact a JOIN kg_fact b ON a.group_id = b.group_id AND a.target_node_uuid = b.target_node_uuid AND a.source_node_uuid <> b.source_node_uuid AND b.seq < a.seq AND a.is_belief = b.is_belief GROUP BY a.uuid")
 def tf_belief_gate(g):
-    rows = T.peers(g.fact.where("seq < 800"), "target_node_uuid", "source_node_uuid")
-    return rows.where("is_belief = peer_is_belief").select("uuid", F.col("peer_uuid").alias("peer"))
+    """Peers on the same side of the gate: beliefs meet beliefs only."""
+    return T.peer_counts(g.fact, "target_node_uuid", "source_node_uuid", ("group_id", "is_belief")).where("n_peers > 0")
 
 
-@query(f"""WITH n AS (SELECT uuid, fact FROM kg_vec WHERE uuid IN ('vec:10', 'vec:20')), o AS (SELECT * FROM kg_vec WHERE {"status = 'active' AND invalid_at IS NULL"}),
-s AS (SELECT n.uuid AS new_uuid, o.uuid, round(list_cosine_similarity(o.fact_embedding, q.fact_embedding), 9) AS score FROM n JOIN kg_vec q ON q.uuid = n.uuid JOIN o ON o.uuid <> n.uuid),
-r AS (SELECT *, row_number() OVER (PARTITION BY new_uuid ORDER BY score DESC, uuid) AS k FROM s) SELECT new_uuid, uuid, round(score, 6) AS score FROM r WHERE k <= 5""")
+@query(f"""WITH v AS (SELECT *, cast(substr(uuid, 5) AS bigint) AS seq FROM kg_vec),
+s AS (SELECT n.uuid AS new_uuid, o.uuid, round(list_cosine_similarity(n.fact_embedding, o.fact_embedding), 9) AS score FROM v n JOIN v o ON n.group_id = o.group_id AND n.source_node_uuid = o.source_node_uuid AND o.seq < n.seq WHERE o.status = 'active' AND o.invalid_at IS NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY new_uuid ORDER BY score DESC, uuid) AS k FROM s WHERE score >= 0.1) SELECT new_uuid, uuid, round(score, 6) AS score FROM r WHERE k <= 5""")
 def tf_L0_replaces(g):
-    from kairograph.operators.resolve import semantic_matches
-
-    new = g.vec.where("uuid in ('vec:10', 'vec:20')").select(F.col("uuid").alias("mention_id"), F.lit("all").alias("group_id"), F.col("fact_embedding").alias("mention_embedding"))
-    old = g.vec.where(O.active()).select(F.lit("all").alias("group_id"), "uuid", F.col("fact_embedding").alias("embedding"))
-    # not itself: the descriptor's own row is dropped before the five best are taken
-    hits = semantic_matches(F.broadcast(new), old, -1.0).where("uuid <> mention_id")
-    from pyspark.sql import Window
+    """Each fact's descriptor against the earlier active facts of its subject: the five nearest are replaced."""
+    from kairograph.operators.resolve import replaced
 
-    k = F.row_number().over(Window.partitionBy("mention_id").orderBy("rank"))
-    return hits.withColumn("k", k).where("k <= 5").select(F.col("mention_id").alias("new_uuid"), "uuid", F.round("score", 6).alias("score"))
+    rows = g.vec.withColumn("seq", F.substring("uuid", 5, 20).cast("long"))
+    hits = replaced(rows.select("uuid", "seq", "group_id", "source_node_uuid", "fact_embedding"), rows.where(O.active()), 0.1)
+    return hits.select("new_uuid", "uuid", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT 'user:' || c_custkey AS uuid, 'User' AS label, c_name AS display_name FROM customer WHERE c_custkey < 20""")
+@query("""SELECT 'user:' || c_custkey AS uuid, 'User' AS label, c_name AS display_name FROM customer""")
 def tf_upsert_user(g):
     from kairograph.operators.mutate import upsert
 
-    users = g.raw("customer").where("c_custkey < 20").selectExpr("'user:' || c_custkey as uuid", "'User' as label", "c_name as display_name")
+    users = g.raw("customer").selectExpr("'user:' || c_custkey as uuid", "'User' as label", "c_name as display_name")
     old = users.withColumn("display_name", F.lit("old name")).where("uuid < 'user:15'")
     return upsert(old, users)
 

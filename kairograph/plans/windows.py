@@ -37,14 +37,15 @@ def win_slot_close(g):
     return closed(g).select(*SLOT_COLUMNS)
 
 
-@query("""WITH l(list_id, uuid, score) AS (SELECT 0, uuid, confidence FROM kg_vec WHERE label < 5 UNION ALL SELECT 1, uuid, 1 - confidence FROM kg_vec WHERE label > 2)
-SELECT list_id::INTEGER AS list_id, uuid, (row_number() OVER (PARTITION BY list_id ORDER BY score DESC, uuid) - 1)::INTEGER AS rank FROM l""")
+@query("""WITH l(list_id, uuid, score) AS (SELECT 0, uuid, confidence FROM kg_vec UNION ALL SELECT 1, uuid, 1 - confidence FROM kg_vec), r AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, uuid) - 1 AS rank FROM l)
+SELECT list_id::INTEGER AS list_id, uuid, rank::INTEGER AS rank FROM r WHERE rank < 50""")
 def win_rrf_rank(g):
     from kairograph.operators.search import ranked
 
-    a = g.vec.where("label < 5").select("uuid", F.col("confidence").alias("score"))
-    b = g.vec.where("label > 2").select("uuid", (1 - F.col("confidence")).alias("score"))
-    return ranked(a, 0).union(ranked(b, 1))
+    a = g.vec.select("uuid", F.col("confidence").alias("score"))
+    b = g.vec.select("uuid", (1 - F.col("confidence")).alias("score"))
+    best = lambda rows: rows.orderBy(F.desc("score"), "uuid").limit(50)  # noqa: E731  a top-k per partition comes before the rank
+    return ranked(best(a), 0).union(ranked(best(b), 1))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source_node_uuid, name, target_node_uuid ORDER BY valid_at DESC, uuid) AS k FROM kg_fact WHERE valid_at <= TIMESTAMP '2024-01-15' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-15'))

@@ -28,6 +28,29 @@ def _spelled(text: str, engine: int) -> str:
     return text
 
 
+#: what people say; the tables' own texts are invented words, so each row's text is led by one of these
+SAYINGS = [
+    "I am so frustrated and angry, I hate this deadline.",
+    "What a great, awesome day! I love it and I'm happy.",
+    "Maybe I am unsure. I think the plan might be late.",
+    "I want to learn Rust this year. My goal is to run a marathon!",
+    "I'm trying to improve my sleep; could you make it better?",
+    "How do I tune the parser and sharpen the lexer output?",
+    "Nothing here.",
+    "Nobody no longer works at Acme.",
+    "I'd like to visit the northern islands. I aim to go soon.",
+    "Could the parser output also cover lexer errors and parser output?",
+    "Alice Smith met Bob in New York. Alice Smith moved; Bob stayed. Carol sings.",
+    "Dana stopped singing. She changed her mind about Rome.",
+]
+
+
+def saying(n: str) -> str:
+    """One of the sayings by a number, in both engines."""
+    cases = " ".join("WHEN {} THEN '{}'".format(k, s.replace("'", "''")) for k, s in enumerate(SAYINGS))
+    return f"(CASE ({n}) % {len(SAYINGS)} {cases} END)"
+
+
 _K = "cast(JSON(props, '$.k') as bigint)"
 FACT = {
     "uuid": "'e' || event_id",
@@ -75,7 +98,7 @@ EPISODE = {
     "created_at": "TS'2024-01-01 00:01:00' + MINS(conv_id * 10 + turn)",
     "cognition_processed_at": "CASE WHEN conv_id % 3 <> 0 THEN TS'2024-03-01 00:00:00' END",
 }
-SOURCE_EPISODE = {"uuid": "'ep:' || event_id", "group_id": "'u' || (user_id % 8)", "reference_time": "ts", "content": "event_type || ' of user ' || user_id"}
+SOURCE_EPISODE = {"uuid": "'ep:' || event_id", "group_id": "'u' || (user_id % 8)", "reference_time": "ts", "content": f"{saying('event_id')} || ' ' || event_type || ' of user ' || user_id"}
 MENTION = {"uuid": "'m' || event_id", "group_id": "'u' || (user_id % 8)", "episode_uuid": "'ep:' || (event_id % 97)", "entity_uuid": "'user:' || user_id", "created_at": "ts"}
 USER = {
     "uuid": "'user:' || c_custkey",
@@ -109,7 +132,7 @@ VEC = {
     "target_node_uuid": "'n' || ((vec_id * 7 + 3) % 50)",
     "name": "'rel' || label",
     "label": "label",
-    "fact": "substr(text, 1, 400)",
+    "fact": "coalesce(text, '')",
     "fact_embedding": "DOUBLES(embedding)",
     "episodes": "split('ep:' || (vec_id % 97) || (CASE WHEN vec_id % 3 = 0 THEN ',ep:' || (vec_id % 11) ELSE '' END), ',')",
     "confidence": "cast(vec_id % 50 as double) / 100 + 0.5",
@@ -126,18 +149,35 @@ VEC = {
     "decay_score": "cast(1 as double)",
     "stability": "CASE WHEN vec_id % 33 = 0 THEN 'consolidated' ELSE 'episodic' END",
 }
+NODE = {
+    "uuid": "'user:' || c_custkey",
+    "group_id": "'u' || (c_custkey % 8)",
+    "name": "'User ' || c_custkey",
+    "summary": "lower(c_mktsegment) || ' customer number ' || c_custkey",
+    "labels": "split('Person,' || c_mktsegment, ',')",
+    "created_at": "TS'2023-06-01 00:00:00' + MINS(c_custkey * 7)",
+    "name_embedding": "DOUBLES(embedding)",
+}
+TEXT = {
+    "uuid": "'t' || conv_id || ':' || turn",
+    "group_id": "'c' || (conv_id % 8)",
+    "seq": "conv_id * 1000 + turn",
+    "source": "CASE role WHEN 'user' THEN 'message' WHEN 'assistant' THEN 'self_reflection' ELSE 'text' END",
+    "content": f"{saying('conv_id * 7 + turn')} || ' ' || coalesce(text, '')",
+    "reference_time": "TS'2024-01-01 00:00:00' + MINS(conv_id * 10 + turn)",
+}
 #: graph table -> parts of (driver table, condition, columns)
 TABLES = {
     "kg_fact": [("events", "true", FACT)],
     "kg_episode": [("conversations", "true", EPISODE)],
-    "kg_source_episode": [("events", "event_id < 97", SOURCE_EPISODE)],
+    "kg_source_episode": [("events", "true", SOURCE_EPISODE)],
     "kg_mention": [("events", "true", MENTION)],
-    "kg_entity": [("customer", "true", USER), ("part", "p_partkey < 40", OBJECT)],
+    "kg_entity": [("customer", "true", USER), ("part", "true", OBJECT)],
     "kg_alias": [("customer", "true", ALIAS)],
-    "kg_vec": [("embeddings JOIN documents ON vec_id = doc_id", "true", VEC)],
+    "kg_vec": [("embeddings LEFT JOIN documents ON vec_id = doc_id", "true", VEC)],
+    "kg_node": [("embeddings JOIN customer ON vec_id = c_custkey", "true", NODE)],
+    "kg_text": [("conversations", "true", TEXT)],
 }
-#: graph tables of which ``TABLES`` reads a part, with the whole texts
-WHOLE = {"kg_vec": [("embeddings JOIN documents ON vec_id = doc_id", "true", VEC | {"fact": "text"})]}
 _FRAMES_SQL = "kg_frame"
 NOW = "2024-02-10 00:00:00"
 
@@ -170,23 +210,22 @@ def with_tables(sql: str) -> str:
 
 @dataclass(frozen=True)
 class Graph:
-    """Graph tables of one data directory; ``whole`` takes those of ``WHOLE`` instead of their namesakes."""
+    """Graph tables of one data directory."""
 
     spark: SparkSession
     sf_dir: str
-    whole: bool = False
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def table(self, name: str) -> DataFrame:
         out = None
-        for source, where, columns in (TABLES | WHOLE if self.whole else TABLES)[name]:
+        for source, where, columns in TABLES[name]:
             if " JOIN " in source:
-                left, right, on = source.replace(" ON ", " JOIN ").split(" JOIN ")
+                left, right, on = source.replace(" LEFT JOIN ", " JOIN ").replace(" ON ", " JOIN ").split(" JOIN ")
                 a, b = on.split(" = ")
                 left_df, right_df = self.raw(left), self.raw(right)
-                base = left_df.join(right_df.drop("label"), left_df[a] == right_df[b])
+                base = left_df.join(right_df.drop("label"), left_df[a] == right_df[b], "left" if " LEFT JOIN " in source else "inner")
             else:
                 base = self.raw(source)
             part = base.where(where).selectExpr(*[f"{_spelled(e, 0)} AS {c}" for c, e in columns.items()])
@@ -200,6 +239,8 @@ class Graph:
     entity = property(lambda self: self.table("kg_entity"))
     alias = property(lambda self: self.table("kg_alias"))
     vec = property(lambda self: self.table("kg_vec"))
+    node = property(lambda self: self.table("kg_node"))
+    text = property(lambda self: self.table("kg_text"))
 
     @property
     def frame(self) -> DataFrame:
