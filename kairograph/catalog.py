@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kairograph.plans import registry
 
-MODULES = ("scans", "filters", "joins", "aggregates", "windows", "scalars", "search", "temporal", "cognition", "portable")
+MODULES = ("scans", "filters", "joins", "aggregates", "windows", "scalars", "search", "temporal", "cognition", "portable", "hooks")
 
 
 def _load() -> None:

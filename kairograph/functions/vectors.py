@@ -24,10 +24,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hash_embedding(text: Column, dim: int) -> Column:
-    """Bag-of-tokens vector from token digests, L2-normalised."""
+    """Bag-of-tokens vector from token digests, L2-normalised; each token is hashed once."""
     tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
-    at = lambda t, start: F.conv(F.substring(F.sha2(t, 256), start, 8), 16, 10).cast("long") % dim
-    ups, downs = F.transform(tokens, lambda t: at(t, 1)), F.transform(tokens, lambda t: at(t, 9))
-    count = lambda of, i: F.size(F.filter(of, lambda x: x == i))
-    raw = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: (count(ups, i) - count(downs, i)).cast("double"))
-    return F.transform(raw, lambda x: F.when(norm(raw) > 0, x / norm(raw)).otherwise(F.lit(0.0)))
+    at = lambda d, start: F.conv(F.substring(d, start, 8), 16, 10).cast("long") % dim
+    places = F.transform(F.transform(tokens, lambda t: F.sha2(t, 256)), lambda d: F.struct(at(d, 1).alias("up"), at(d, 9).alias("down")))
+
+    def add(total: Column, p: Column) -> Column:
+        return F.transform(total, lambda x, i: x + (i == p["up"]).cast("double") - (i == p["down"]).cast("double"))
+
+    return F.aggregate(places, F.array_repeat(F.lit(0.0), dim), add, lambda raw: F.transform(raw, lambda x: F.when(norm(raw) > 0, x / norm(raw)).otherwise(F.lit(0.0))))

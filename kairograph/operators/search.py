@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,6 +185,54 @@ def hybrid(edges: DataFrame, query: str, vector: Sequence[float], now: Column, c
     return out.orderBy(F.desc("order"), F.desc("score"), "uuid").limit(config.limit)
 
 
+def best(rows: DataFrame, k: int) -> DataFrame:
+    return rows.orderBy(F.desc("score"), "uuid").limit(k)
+
+
+def search_nodes(nodes: DataFrame, query: str, vector: Sequence[float] | None, limit: int = LIMIT, filters: Column | None = None) -> DataFrame:
+    """uuid, score: name vectors and name texts, each cut at the limit, fused before the filter."""
+    lists = []
+    if vector is not None:
+        lists.append(ranked(knn(nodes, vector, limit, "name_embedding").select("uuid", "score"), 0))
+    if query.strip():
+        lists.append(ranked(bm25(nodes, query, "name", limit), 1))
+    fused = rrf(reduce(DataFrame.union, lists))
+    hits = nodes.join(F.broadcast(fused), "uuid")  # at most two lists of ``limit``
+    return best((hits if filters is None else hits.where(filters)).select("uuid", "score"), limit)
+
+
+def search_episodes(episodes: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
+    return bm25(episodes, query, "content", limit)
+
+
+def search_communities(communities: DataFrame, vector: Sequence[float], limit: int = LIMIT) -> DataFrame:
+    return knn(communities, vector, limit, "name_embedding").select("uuid", "score")
+
+
+def centroids(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, name_embedding: the mean vector of each group."""
+    means = rows.select(key, F.posexplode(column).alias("i", "v")).groupBy(key, "i").agg(F.avg("v").alias("m"))
+    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("name_embedding"))
+
+
+def question_phrases(question: str) -> list[str]:
+    """Runs of three, two and one words of a question, each once whatever its case: what may name an entity."""
+    words = [w for w in question.replace(",", " ").split() if len(w) > 1]
+    runs = [" ".join(words[i : i + n]) for n in (3, 2, 1) for i in range(len(words) - n + 1)]
+    return list({r.casefold(): r for r in reversed(runs)}.values())[::-1]
+
+
+def combined(edges: DataFrame, nodes: DataFrame, episodes: DataFrame, communities: DataFrame, query: str, vector: Sequence[float], now: Column, limit: int = LIMIT) -> DataFrame:
+    """kind, uuid, score: every kind searched on its own index."""
+    parts = {
+        "edge": hybrid(edges, query, vector, now, SearchConfig(limit=limit)),
+        "node": search_nodes(nodes, query, vector, limit),
+        "episode": search_episodes(episodes, query, limit),
+        "community": search_communities(communities, vector, limit),
+    }
+    return reduce(DataFrame.union, [d.select(F.lit(k).alias("kind"), "uuid", "score") for k, d in parts.items()])
+
+
 def search(edges: DataFrame, query: str, vector: Sequence[float], now: Column, depth: str = "normal", group_ids: Sequence[str] | None = None, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Facade: depth sets the limit; several groups are allowed."""
     limit = {"fast": 10, "normal": 25, "deep": 50}[depth]

@@ -59,15 +59,28 @@ def pack_validate(g):
     return pack.validate_pack(g.spark, _exported(g))["edges"].select("uuid", "source_node_uuid", "name", "target_node_uuid", "valid_at")
 
 
-@query()
+_ENDS_KNOWN = "source_node_uuid IN (SELECT uuid FROM own) AND target_node_uuid IN (SELECT uuid FROM own)"
+
+
+@query(f"""WITH own AS (SELECT uuid, name FROM kg_entity WHERE group_id = 'u1'), e AS (SELECT * FROM kg_fact WHERE group_id = 'u1'), n AS (SELECT count(*) AS n FROM own),
+k AS (SELECT count(DISTINCT source_node_uuid || '::' || lower(name) || '::' || target_node_uuid) AS n FROM e WHERE {_ENDS_KNOWN}), d AS (SELECT count(*) + 1 AS n FROM e WHERE NOT ({_ENDS_KNOWN})),
+f AS (SELECT count(DISTINCT alias) AS n FROM kg_frame), a AS (SELECT count(*) AS n FROM kg_alias WHERE group_id = 'u1'), h AS (SELECT count(*) AS n FROM kg_fact WHERE group_id = 'u2'), i AS (SELECT count(*) AS n FROM kg_entity WHERE group_id = 'u2'),
+known AS (SELECT DISTINCT trim(regexp_replace(lower(name), '\s+', ' ', 'g')) AS k FROM kg_entity WHERE group_id = 'u2'), w AS (SELECT count(*) AS n FROM own WHERE trim(regexp_replace(lower(name), '\s+', ' ', 'g')) NOT IN (SELECT k FROM known))
+SELECT 'merge' AS mode, 'entities' AS part, n FROM w UNION ALL SELECT 'merge', 'aliases', n FROM a UNION ALL SELECT 'merge', 'dropped', n FROM d UNION ALL SELECT 'merge', 'frames', n - 1 FROM f UNION ALL SELECT 'merge', 'removed', 0
+UNION ALL SELECT 'replace', 'entities', n FROM n UNION ALL SELECT 'replace', 'aliases', n FROM a UNION ALL SELECT 'replace', 'edges', n FROM k UNION ALL SELECT 'replace', 'dropped', n FROM d UNION ALL SELECT 'replace', 'frames', n FROM f UNION ALL SELECT 'replace', 'removed', h.n + i.n FROM h, i""".replace("\\\\", "\\"))
 def src_pack_import(g):
+    """The pack of tenant u1 brought into u2, merged and in its place; an edge to nobody is dropped."""
     tables = _tables(g)
-    got = pack.import_pack({**tables, "edges": tables["edges"].unionByName(g.spark.createDataFrame([("lost", "nobody", "likes", "user:1")], "uuid string, source_node_uuid string, name string, target_node_uuid string"), allowMissingColumns=True)}, "copy", g.entity, g.fact)
-    counts = {"entities": got.entities, "aliases": got.aliases, "edges": got.edges, "dropped": got.dropped}
+    lost = g.spark.createDataFrame([("lost", "nobody", "likes", "user:1")], "uuid string, source_node_uuid string, name string, target_node_uuid string")
+    tables["edges"] = tables["edges"].unionByName(lost, allowMissingColumns=True)
+    held = g.spark.createDataFrame([("u2", "resides_in", "lives_in")], "group_id string, alias string, canonical string")
     out = None
-    for name, df in counts.items():
-        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
-        out = part if out is None else out.union(part)
+    for mode in ("merge", "replace"):
+        got = pack.import_pack(tables, "u2", g.entity, g.fact, held, mode)
+        counts = {"entities": got.entities, "aliases": got.aliases, "dropped": got.dropped, "frames": got.frames, "removed": got.removed} | ({"edges": got.edges} if mode == "replace" else {})
+        for name, df in counts.items():
+            part = df.agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), F.lit(name).alias("part"), "n")
+            out = part if out is None else out.union(part)
     return out
 
 
@@ -98,7 +111,8 @@ def tf_add_episode(g):
     return ingest.facts_of(rows, frames.frame_aliases(g.spark))
 
 
-@query()
+@query("""WITH l AS (SELECT *, lag(target_node_uuid) OVER w AS prior, row_number() OVER w AS k FROM kg_fact WINDOW w AS (PARTITION BY group_id, source_node_uuid, name ORDER BY seq)), c AS (SELECT * FROM l WHERE k = 1 OR target_node_uuid <> prior)
+SELECT group_id, source_node_uuid, name, target_node_uuid, uuid, valid_at, lag(uuid) OVER (PARTITION BY group_id, source_node_uuid, name ORDER BY seq) AS closes FROM c""")
 def st_slot_state(g):
     """Slot closure as a stream with keyed state; equals the batch form."""
     return ingest.stream_slots(g.spark, f"{g.sf_dir}/events.parquet")
@@ -174,17 +188,20 @@ def udtf_parse_extraction(g):
     return parse_extraction(g.spark.createDataFrame([(0, answer)], "id int, json string"), "id").drop("fact")
 
 
-@query()
+@query(r"""WITH t AS (SELECT uuid AS id, unnest(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '')) AS tok FROM kg_text),
+h AS (SELECT id, ('0x' || substr(sha256(tok), 1, 8))::BIGINT % 16 AS up, ('0x' || substr(sha256(tok), 9, 8))::BIGINT % 16 AS down FROM t), i AS (SELECT id, i FROM (SELECT uuid AS id FROM kg_text), range(16) r(i)),
+s AS (SELECT id, up AS i, 1 AS x FROM h UNION ALL SELECT id, down, -1 FROM h), d AS (SELECT i.id, i.i, coalesce(sum(x), 0) AS x FROM i LEFT JOIN s ON s.id = i.id AND s.i = i.i GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM d GROUP BY id)
+SELECT id, string_agg(round(CASE WHEN n > 0 THEN 1000 * x / n ELSE 0 END)::BIGINT::VARCHAR, ',' ORDER BY i) AS vector FROM d JOIN n USING (id) GROUP BY id""")
 def udf_embedder(g):
     """Embedder hook: an Arrow-batched model over texts."""
     from kairograph.sources.hooks import embed_column
     from kairograph.sources.offline import HashEmbedder
 
     v = embed_column(HashEmbedder, F.col("content"))
-    return texts(g).select("id", F.transform(v, lambda x: F.round(x, 6)).alias("vector"))
+    return texts(g).select("id", F.array_join(F.transform(v, lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias("vector"))
 
 
-@query()
+@query(r"""SELECT uuid AS id, round(len(list_intersect(list_distinct(regexp_split_to_array(lower(content), '\s+')), ['i', 'want', 'to', 'learn'])) / 4.0, 6)::DOUBLE AS score FROM kg_text""")
 def udf_reranker(g):
     """Reranker hook: a cross encoder over passages."""
     from kairograph.sources.hooks import rerank_column

@@ -46,17 +46,27 @@ def hs_knn_edges(g):
     return _rounded(S.knn(g.vec, vector(g), 10))
 
 
-@query(f"WITH {knn_sql(10, "group_id = 'v3'")} SELECT uuid, round(score, 6) AS score FROM knn")
+def _own(name: str, source: str, k: int) -> str:
+    """A KNN ranking over ``name_embedding`` of a source."""
+    return f"{name} AS (SELECT e.uuid, list_cosine_similarity(e.name_embedding, q.v) AS score FROM {source} e, (SELECT fact_embedding AS v FROM kg_vec WHERE uuid = 'vec:{QUERY_VEC}') q ORDER BY round(score, 9) DESC, e.uuid LIMIT {k})"
+
+
+_CENTRES = """x_ AS (SELECT label, unnest(fact_embedding) AS v, generate_subscripts(fact_embedding, 1) AS i FROM kg_vec),
+centres AS (SELECT 'community:' || label AS uuid, list(m ORDER BY i) AS name_embedding FROM (SELECT label, i, avg(v) AS m FROM x_ GROUP BY 1, 2) GROUP BY label)"""
+
+
+def _communities(g):
+    return S.centroids(g.vec, "label", "fact_embedding").withColumn("uuid", F.concat(F.lit("community:"), "label"))
+
+
+@query(f"WITH {_own('near', 'kg_node', 10)} SELECT uuid, round(score, 6) AS score FROM near")
 def hs_knn_nodes(g):
-    return _rounded(S.knn(g.vec.where("group_id = 'v3'"), vector(g), 10))
+    return _rounded(S.knn(g.node, vector(g), 10, "name_embedding"))
 
 
-@query("""WITH q AS (SELECT fact_embedding AS qv FROM kg_vec WHERE uuid = 'vec:7'), x AS (SELECT label, unnest(fact_embedding) AS v, generate_subscripts(fact_embedding, 1) AS i FROM kg_vec), c AS (SELECT label, list(m ORDER BY i) AS cv FROM (SELECT label, i, avg(v) AS m FROM x GROUP BY 1, 2) GROUP BY label)
-SELECT 'community:' || label AS uuid, round(list_cosine_similarity(cv, qv), 6) AS score FROM c, q ORDER BY score DESC, uuid LIMIT 5""")
+@query(f"WITH {_CENTRES}, {_own('near', 'centres', 5)} SELECT uuid, round(score, 6) AS score FROM near")
 def hs_knn_communities(g):
-    means = g.vec.select("label", F.posexplode("fact_embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
-    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("fact_embedding"))
-    return _rounded(S.knn(centres.withColumn("uuid", F.concat(F.lit("community:"), "label")), vector(g), 5))
+    return _rounded(S.search_communities(_communities(g), vector(g), 5))
 
 
 @query(f"WITH {bm25_sql('kg_vec', 'uuid', 'fact', QUERY_TEXT, 20)} SELECT uuid, round(score, 6) AS score FROM bm25")
@@ -90,9 +100,9 @@ def hs_analyzer(g):
     return g.raw("documents").select("doc_id", F.size(t).alias("n_terms"), F.size(F.array_distinct(t)).alias("n_distinct"))
 
 
-def fused_sql(where: str = "true") -> str:
+def fused_sql(where: str = "true", text: str = QUERY_TEXT, k: int = 50) -> str:
     source = "kg_vec" if where == "true" else f"(SELECT * FROM kg_vec WHERE {where})"
-    return f"""{knn_sql(50, where)}, {bm25_sql(source, 'uuid', 'fact', QUERY_TEXT, 50)},
+    return f"""{knn_sql(k, where)}, {bm25_sql(source, 'uuid', 'fact', text.replace(',', ''), k)},
 lists AS (SELECT 0 AS l, uuid, row_number() OVER (ORDER BY score DESC, uuid) - 1 AS rank FROM knn UNION ALL SELECT 1, uuid, row_number() OVER (ORDER BY score DESC, uuid) - 1 FROM bm25),
 rrf AS (SELECT uuid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS score FROM lists GROUP BY uuid)"""
 
@@ -162,28 +172,31 @@ def hs_search(g):
     return _hits(S.search(g.vec, QUERY_TEXT, vector(g), ntz(NOW), "normal", ["v1", "v3"]))
 
 
-@query(f"""WITH {fused_sql()}, hits AS (SELECT uuid, source_node_uuid, target_node_uuid, label, r.score FROM rrf r JOIN kg_vec USING (uuid) WHERE {VALID_SQL} ORDER BY r.score DESC, uuid LIMIT 10)
-SELECT 'edge' AS kind, uuid, round(score, 9) AS score FROM hits UNION ALL SELECT 'node', n, round(max(score), 9) FROM (SELECT source_node_uuid AS n, score FROM hits UNION ALL SELECT target_node_uuid, score FROM hits) GROUP BY n
-UNION ALL SELECT 'community', 'community:' || label, round(max(score), 9) FROM hits GROUP BY label""", "hs_search_")
+NODE_TEXT = "User 7"
+
+
+def _nodes_sql(query_text: str, k: int) -> str:
+    """CTEs of a node search; its ranking is ``nodes_``."""
+    return f"""{_own('name_near', 'kg_node', k)}, {bm25_sql('kg_node', 'uuid', 'name', query_text, k).replace('docs_', 'ndocs_').replace('q_', 'nq_').replace('stats_', 'nstats_').replace('tf_', 'ntf_').replace('df_', 'ndf_').replace('nntf_', 'ntf_').replace('bm25 AS', 'nbm25 AS')},
+nlists AS (SELECT uuid, row_number() OVER (ORDER BY score DESC, uuid) - 1 AS rank FROM name_near UNION ALL SELECT uuid, row_number() OVER (ORDER BY score DESC, uuid) - 1 FROM nbm25),
+nodes_ AS (SELECT uuid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS score FROM nlists GROUP BY uuid ORDER BY score DESC, uuid LIMIT {k})"""
+
+
+def _episodes_sql(query_text: str, k: int) -> str:
+    return bm25_sql("kg_episode", "uuid", "content", query_text, k).replace("docs_", "edocs_").replace("q_", "eq_").replace("stats_", "estats_").replace("tf_", "etf_").replace("df_", "edf_").replace("bm25 AS", "ebm25 AS")
+
+
+@query(f"""WITH {fused_sql()}, hits AS (SELECT uuid, r.score FROM rrf r JOIN kg_vec USING (uuid) WHERE {VALID_SQL} ORDER BY r.score DESC, uuid LIMIT 10), {_nodes_sql(QUERY_TEXT, 10)}, {_episodes_sql(QUERY_TEXT, 10)}, {_CENTRES}, {_own('near', 'centres', 10)}
+SELECT 'edge' AS kind, uuid, round(score, 6) AS score FROM hits UNION ALL SELECT 'node', uuid, round(score, 6) FROM nodes_ UNION ALL SELECT 'episode', uuid, round(score, 6) FROM ebm25 UNION ALL SELECT 'community', uuid, round(score, 6) FROM near""", "hs_search_")
 def hs_search_bundle(g):
-    """Edges, their endpoints, and the communities they lie in."""
-    hits = S.hybrid(g.vec, QUERY_TEXT, vector(g), ntz(NOW)).select("uuid", "source_node_uuid", "target_node_uuid", "label", "score")
-    found = F.array(
-        F.struct(F.lit("edge").alias("kind"), F.col("uuid").alias("uuid")),
-        F.struct(F.lit("node").alias("kind"), F.col("source_node_uuid").alias("uuid")),
-        F.struct(F.lit("node").alias("kind"), F.col("target_node_uuid").alias("uuid")),
-        F.struct(F.lit("community").alias("kind"), F.concat(F.lit("community:"), "label").alias("uuid")),
-    )
-    return hits.select(F.explode(found).alias("f"), "score").groupBy("f.kind", "f.uuid").agg(F.round(F.max("score"), 9).alias("score"))
-
-
-@query(f"""WITH n AS (SELECT uuid, name, summary, (c * 1.0) AS score FROM (SELECT *, mention_count AS c FROM kg_entity)), {bm25_sql('kg_entity', 'uuid', 'summary', 'machinery customer 7', 50)},
-a AS (SELECT uuid, score FROM n ORDER BY score DESC, uuid LIMIT 50), lists AS (SELECT uuid, row_number() OVER (ORDER BY score DESC, uuid) - 1 AS rank FROM a UNION ALL SELECT uuid, row_number() OVER (ORDER BY score DESC, uuid) - 1 FROM bm25)
-SELECT uuid, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score FROM lists GROUP BY uuid ORDER BY round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) DESC, uuid LIMIT 10""")
+    """Edges, nodes, episodes and communities, each searched on its own vectors and texts."""
+    found = S.combined(g.vec, g.node, g.episode, _communities(g), QUERY_TEXT, vector(g), ntz(NOW))
+    return found.select("kind", "uuid", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_nodes_sql(NODE_TEXT, 10)} SELECT uuid, round(score, 9) AS score FROM nodes_")
 def hs_nodes(g):
-    a = g.entity.select("uuid", F.col("mention_count").cast("double").alias("score")).orderBy(F.desc("score"), "uuid").limit(50)
-    fused = S.rrf(S.ranked(a, 0).union(S.ranked(S.bm25(g.entity, "machinery customer 7", "summary", 50), 1)))
-    return fused.orderBy(F.desc("score"), "uuid").limit(10).select("uuid", F.round("score", 9).alias("score"))
+    return _hits(S.search_nodes(g.node, NODE_TEXT, vector(g)))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c.reranker}', {c.limit}, {c.candidates})" for k, c in S.RECIPES.items()) + ') t(recipe, reranker, "limit", candidates)')
@@ -199,36 +212,58 @@ def hs_class_fallback(g):
     return rows.select("uuid", "memory_class", "valid_at").orderBy(F.desc("valid_at"), "uuid").limit(10)
 
 
-@query(f"""WITH {fused_sql()}, d AS (SELECT uuid FROM kg_vec WHERE source_node_uuid IN ('n7','n8') OR target_node_uuid IN ('n7','n8')),
-hits AS (SELECT uuid, round(r.score * ({EFFECTIVE_SQL}), 9) AS s FROM rrf r JOIN kg_vec v USING (uuid) JOIN d USING (uuid) WHERE {VALID_SQL} ORDER BY s DESC, uuid LIMIT 10)
-SELECT v.uuid, s AS score, recall_count + 1 AS recall_count, round(least(1.0, {EFFECTIVE_SQL} + 0.04), 6) AS decay_score FROM hits JOIN kg_vec v USING (uuid) WHERE s > 0""")
+QUESTION = "what did Node N7 tell Node N8, and the thing of it"
+_ENDS = "SELECT DISTINCT n AS uuid, 'Node ' || upper(n) AS name FROM (SELECT source_node_uuid AS n FROM kg_vec UNION ALL SELECT target_node_uuid FROM kg_vec)"
+_ASKED = QUESTION.replace(",", " ")
+
+
+@query(f"""WITH w AS (SELECT list_filter(regexp_split_to_array('{_ASKED}', '\\s+'), lambda x: length(x) > 1) AS w), ph AS (SELECT DISTINCT lower(array_to_string(w[i : i + n - 1], ' ')) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS n), (SELECT unnest(range(1, 20)) AS i) WHERE i + n - 1 <= len(w)),
+ego AS (SELECT * FROM ({_ENDS}) WHERE lower(name) IN (SELECT phrase FROM ph)), {fused_sql(text=QUESTION, k=80)},
+hits AS (SELECT v.uuid, round(r.score * ({EFFECTIVE_SQL}), 9) AS s FROM rrf r JOIN kg_vec v USING (uuid) WHERE {VALID_SQL} AND (source_node_uuid IN (SELECT uuid FROM ego) OR target_node_uuid IN (SELECT uuid FROM ego)) AND round(r.score * ({EFFECTIVE_SQL}), 9) > 0 ORDER BY s DESC, uuid LIMIT 20),
+{_episodes_sql(QUESTION.replace(',', ''), 20)}, {_CENTRES}, {_own('near', 'centres', 20)}
+SELECT 'fact' AS kind, uuid, round(s, 6) AS score, recall_count + 1 AS recall_count FROM hits JOIN kg_vec USING (uuid) UNION ALL SELECT 'profile', uuid, NULL, NULL FROM ego UNION ALL SELECT 'episode', uuid, round(score, 6), NULL FROM ebm25 UNION ALL SELECT 'community', uuid, round(score, 6), NULL FROM near""".replace("\\\\", "\\"))
 def hs_recall(g):
-    """Recall: names in the question resolve to nodes, an ego search with decay finds facts, and recall reinforces them."""
+    """Deep recall: the question's phrases name entities, an ego search with decay finds facts and reinforces them, episodes and communities join."""
+    from kairograph.operators import resolve
     from kairograph.operators.cognition import recall_reinforce
 
-    names = g.spark.createDataFrame([(f"n{k}", f"Node N{k}") for k in range(50)], "uuid string, name string")
-    asked = g.spark.createDataFrame([("what did Node N7 tell Node N8",)], "q string").select(F.explode(F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.size(F.split("q", " ")) - n + 1), lambda i, n=n: F.array_join(F.slice(F.split("q", " "), i, F.lit(n)), " ")) for n in (3, 2, 1)])))).alias("name"))
-    focus = [r.uuid for r in names.join(asked, F.lower(names["name"]) == F.lower(asked["name"]), "left_semi").select("uuid").collect()]  # the question's names
-    hits = S.hybrid(g.vec, QUERY_TEXT, vector(g), ntz(NOW), S.SearchConfig(decay=True, ego=tuple(sorted(focus)))).select("uuid", "score")
-    changed = recall_reinforce(g.vec.join(F.broadcast(hits), "uuid"), hits.select("uuid"), ntz(NOW))
-    return changed.select("uuid", "score", "recall_count", F.round("decay_score", 6).alias("decay_score"))
+    ends = g.vec.select(F.explode(F.array("source_node_uuid", "target_node_uuid")).alias("uuid")).distinct().select("uuid", F.concat(F.lit("Node "), F.upper("uuid")).alias("name"))
+    phrases = g.spark.createDataFrame([(p,) for p in S.question_phrases(QUESTION)], "name string")
+    ego = resolve.named(phrases, ends, g.alias)
+    focus = sorted(r.uuid for r in ego.select("uuid").collect())  # at most one entity per phrase of the question
+    config = S.SearchConfig(limit=20, candidates=80, decay=True, ego=tuple(focus))
+    hits = S.hybrid(g.vec, QUESTION, vector(g), ntz(NOW), config).select("uuid", "score")
+    facts = recall_reinforce(g.vec.join(F.broadcast(hits), "uuid"), hits.select("uuid"), ntz(NOW))
+    none = F.lit(None)
+    rows = facts.select(F.lit("fact").alias("kind"), "uuid", F.round("score", 6).alias("score"), F.col("recall_count").cast("long").alias("recall_count"))
+    rows = rows.union(ego.select(F.lit("profile"), "uuid", none.cast("double"), none.cast("long")))
+    rows = rows.union(S.search_episodes(g.episode, QUESTION, 20).select(F.lit("episode"), "uuid", F.round("score", 6), none.cast("long")))
+    return rows.union(S.search_communities(_communities(g), vector(g), 20).select(F.lit("community"), "uuid", F.round("score", 6), none.cast("long")))
 
 
 # -- resolution -------------------------------------------------------------------------------------------------------
 
 
-_MENTIONS = [(1, "u1", "U-1", 3), (2, "u2", "  user 2", 4), (3, "u3", "Stranger", 5), (4, "u4", "Nobody", 6), (5, "u5", "object 3", 7)]
+#: every supplier is a mention: by alias, by name, by the vector of a known user, by another tenant's vector, by an object's name
+_MENTION = {
+    "mention_id": "s_suppkey",
+    "group_id": "'u' || (s_suppkey % 8)",
+    "name": "CASE s_suppkey % 5 WHEN 0 THEN 'U-' || s_suppkey WHEN 1 THEN '  user ' || s_suppkey WHEN 2 THEN 'Stranger ' || s_suppkey WHEN 3 THEN 'Nobody ' || s_suppkey ELSE 'object ' || cast(floor(s_suppkey / 8) as int) END",
+    "vec": "CASE WHEN s_suppkey % 5 = 3 THEN s_suppkey + 1 ELSE s_suppkey END",
+}
+_MENTIONS_SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in _MENTION.items()) + " FROM supplier"
+_FOLD = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+_RESOLVE_SQL = f"""WITH m AS ({_MENTIONS_SQL}), ents AS (SELECT group_id, uuid, name FROM kg_entity),
+vecs AS (SELECT group_id, uuid, name_embedding AS v FROM kg_node), q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+k AS (SELECT *, {_FOLD.format('name')} AS key FROM m),
+a AS (SELECT group_id, normalized_alias AS key, min(entity_uuid) AS by_alias FROM kg_alias GROUP BY 1, 2), b AS (SELECT group_id, {_FOLD.format('name')} AS key, min(uuid) AS by_name FROM ents GROUP BY 1, 2),
+s AS (SELECT k.*, by_alias, by_name FROM k LEFT JOIN a USING (group_id, key) LEFT JOIN b USING (group_id, key)),
+c AS (SELECT mention_id, v.uuid, round(list_cosine_similarity(q.e, v.v), 9) AS score FROM s JOIN q ON q.vec_id = s.vec JOIN vecs v ON v.group_id = s.group_id WHERE by_alias IS NULL AND by_name IS NULL AND list_cosine_similarity(q.e, v.v) >= 0.86),
+r AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, uuid)), d AS (SELECT mention_id, uuid, score FROM r WHERE k = 1 AND (second IS NULL OR score - second >= 0.05)),
+resolved AS (SELECT s.*, coalesce(by_alias, by_name, d.uuid) AS canonical_uuid, CASE WHEN by_alias IS NOT NULL THEN 'alias_hit' WHEN by_name IS NOT NULL THEN 'exact_name' WHEN d.uuid IS NOT NULL THEN 'semantic_match' ELSE 'new' END AS resolution, d.score FROM s LEFT JOIN d USING (mention_id))"""
 
 
-@query("""WITH m(mention_id, group_id, name, vec) AS (VALUES (1, 'u1', 'U-1', 3), (2, 'u2', '  user 2', 4), (3, 'u3', 'Stranger', 5), (4, 'u4', 'Nobody', 6), (5, 'u5', 'object 3', 7)),
-ents AS (SELECT group_id, uuid, name FROM kg_entity WHERE uuid LIKE 'user:%' OR uuid LIKE '%obj%'),
-vecs AS (SELECT 'u' || (vec_id % 8) AS group_id, 'user:' || vec_id AS uuid, embedding::DOUBLE[] AS v FROM embeddings WHERE 'user:' || vec_id IN (SELECT uuid FROM ents)),
-k AS (SELECT *, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS key FROM m),
-a AS (SELECT group_id, normalized_alias AS key, min(entity_uuid) AS by_alias FROM kg_alias GROUP BY 1, 2), b AS (SELECT group_id, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS key, min(uuid) AS by_name FROM ents GROUP BY 1, 2),
-s AS (SELECT k.*, by_alias, by_name FROM k LEFT JOIN a USING (group_id, key) LEFT JOIN b USING (group_id, key)),
-c AS (SELECT mention_id, v.uuid, round(list_cosine_similarity(q.embedding::DOUBLE[], v.v), 9) AS score FROM s JOIN embeddings q ON q.vec_id = s.vec JOIN vecs v ON v.group_id = s.group_id WHERE by_alias IS NULL AND by_name IS NULL AND list_cosine_similarity(q.embedding::DOUBLE[], v.v) >= 0.2),
-r AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, uuid)), d AS (SELECT mention_id, uuid, score FROM r WHERE k = 1 AND (second IS NULL OR score - second >= 0.01))
-SELECT s.mention_id, coalesce(by_alias, by_name, d.uuid) AS canonical_uuid, CASE WHEN by_alias IS NOT NULL THEN 'alias_hit' WHEN by_name IS NOT NULL THEN 'exact_name' WHEN d.uuid IS NOT NULL THEN 'semantic_match' ELSE 'new' END AS resolution FROM s LEFT JOIN d USING (mention_id)""".replace("\\\\", "\\"))
+@query(f"{_RESOLVE_SQL} SELECT mention_id, canonical_uuid, resolution FROM resolved")
 def er_resolve(g):
     return _resolved(g).select("mention_id", "canonical_uuid", "resolution")
 
@@ -236,18 +271,17 @@ def er_resolve(g):
 def _resolved(g):
     from kairograph.operators import resolve
 
-    vecs = g.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    m = g.spark.createDataFrame(_MENTIONS, "mention_id int, group_id string, name string, vec_id long").join(vecs, "vec_id").select("mention_id", "group_id", "name", F.col("embedding").alias("mention_embedding"))
-    own = vecs.select(F.concat(F.lit("user:"), "vec_id").alias("uuid"), "embedding", F.concat(F.lit("u"), F.col("vec_id") % 8).alias("vec_group"))
-    entities = g.entity.select("uuid", "group_id", "name").join(own.drop("vec_group"), "uuid", "left")
-    return resolve.resolve(m, entities, g.alias, 0.2, 0.01)
+    m = g.raw("supplier").selectExpr(*[f"{e} AS {c}" for c, e in _MENTION.items()])
+    vecs = g.raw("embeddings").select(F.col("vec_id").alias("vec"), F.col("embedding").cast("array<double>").alias("mention_embedding"))
+    entities = g.entity.select("uuid", "group_id", "name").join(g.node.select("uuid", F.col("name_embedding").alias("embedding")), "uuid", "left")
+    return resolve.resolve(m.join(vecs, "vec", "left").drop("vec"), entities, g.alias)
 
 
-@query()
+@query(f"{_RESOLVE_SQL} SELECT group_id, name AS alias, key AS normalized_alias, canonical_uuid AS entity_uuid, score AS confidence FROM resolved WHERE resolution = 'semantic_match' AND (group_id, key) NOT IN (SELECT (group_id, normalized_alias) FROM kg_alias)")
 def er_record_alias(g):
     from kairograph.operators import resolve
 
-    return resolve.new_aliases(_resolved(g), g.alias)
+    return resolve.new_aliases(_resolved(g), g.alias).select("group_id", "alias", "normalized_alias", "entity_uuid", "confidence")
 
 
 @query("""WITH batch(name) AS (VALUES ('User 1'), ('user  1'), ('Newcomer'), ('NEWCOMER'), ('Other')), k AS (SELECT min(name) AS name, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS key FROM batch GROUP BY 2),

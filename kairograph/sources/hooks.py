@@ -48,6 +48,92 @@ def rerank_column(make: Callable[[], Reranker], query: str, text: Column) -> Col
     return run(text)
 
 
+class Judge(Protocol):
+    """Which of the candidate facts a new fact contradicts."""
+
+    def contradictions(self, new_fact: str, candidates: list[str]) -> list[int]: ...
+
+
+class FrameClassifier(Protocol):
+    """The canonical name of an unknown predicate, or None for a frame of its own."""
+
+    def classify(self, predicate: str, span: str, known: list[str]) -> str | None: ...
+
+
+class Synthesizer(Protocol):
+    """One text out of several facts."""
+
+    def synthesize(self, facts: list[str]) -> str: ...
+
+
+class TieBreaker(Protocol):
+    """Which of near-equal entities a mention means, or None for a new one."""
+
+    def pick(self, mention: str, context: str, names: list[str]) -> int | None: ...
+
+
+class Summarizer(Protocol):
+    """A profile out of a name and its facts."""
+
+    def summarize(self, name: str, facts: list[str]) -> str: ...
+
+
+def _hooked(make: Callable[[], object], kind: str, call: Callable, *columns: Column) -> Column:
+    """A hook called row by row within Arrow batches; the model is made once per task."""
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        model = make()
+        for batch in batches:
+            rows = zip(*batch) if isinstance(batch, tuple) else ((x,) for x in batch)
+            yield pd.Series([call(model, *row) for row in rows], dtype=object)
+
+    return run(*columns)
+
+
+def _texts(x) -> list[str]:
+    return [] if x is None else [t or "" for t in x]
+
+
+def judge_column(make: Callable[[], Judge], new_fact: Column, candidates: Column) -> Column:
+    """Indexes (from 0) of the contradicted candidates; what a judge returns beyond them is ignored."""
+
+    def call(model: Judge, fact: str, facts) -> list[int]:
+        facts = _texts(facts)
+        return sorted({k for k in model.contradictions(fact or "", facts) if 0 <= k < len(facts)}) if facts else []
+
+    return _hooked(make, "array<int>", call, new_fact, candidates)
+
+
+def classify_column(make: Callable[[], FrameClassifier], predicate: Column, span: Column, known: list[str]) -> Column:
+    """A known canonical name or null."""
+
+    def call(model: FrameClassifier, predicate: str, span: str) -> str | None:
+        name = model.classify(predicate or "", span or "", known)
+        return name if name in known else None
+
+    return _hooked(make, "string", call, predicate, span)
+
+
+def synthesize_column(make: Callable[[], Synthesizer], facts: Column) -> Column:
+    return _hooked(make, "string", lambda model, x: model.synthesize(_texts(x)) if len(_texts(x)) else "", facts)
+
+
+def pick_column(make: Callable[[], TieBreaker], mention: Column, context: Column, names: Column) -> Column:
+    """Index (from 0) of the chosen name, or null."""
+
+    def call(model: TieBreaker, mention: str, context: str, names) -> int | None:
+        names = _texts(names)
+        k = model.pick(mention or "", context or "", names) if names else None
+        return k if k is not None and 0 <= k < len(names) else None
+
+    return _hooked(make, "int", call, mention, context, names)
+
+
+def summarize_column(make: Callable[[], Summarizer], name: Column, facts: Column) -> Column:
+    return _hooked(make, "string", lambda model, n, x: model.summarize(n or "", _texts(x)), name, facts)
+
+
 def extract(rows: DataFrame, key: str, text: str = "content") -> DataFrame:
     """key, pos, seq, subject, predicate, object, fact: the offline extractor.
 

@@ -152,10 +152,25 @@ class Imported:
     aliases: DataFrame
     edges: DataFrame
     dropped: DataFrame  # edges with an endpoint that is nowhere
-
-
-def import_pack(pack: dict[str, DataFrame], group: str, entities: DataFrame, edges: DataFrame) -> Imported:
-    """Merges a pack into a group: known names keep their id, others get a stable one; a second import changes nothing."""
+    frames: DataFrame  # relation frames of the group to add
+    removed: DataFrame  # what the group held and the pack replaces: kind, uuid
+
+
+def import_pack(pack: dict[str, DataFrame], group: str, entities: DataFrame, edges: DataFrame, frames: DataFrame | None = None, mode: str = "merge") -> Imported:
+    """Brings a pack into a group under stable ids, so a second import changes nothing.
+
+    ``merge``: known names keep their id, known facts and frames stay as they
+    are.  ``replace``: the group's entities and edges go, the pack's come.
+    ``frames`` has the group's own frames: group_id, alias, canonical.
+    """
+    if mode not in ("merge", "replace"):
+        raise PackError(f"unknown mode {mode}")
+    own = lambda rows, kind: rows.where(F.col("group_id") == group).select(F.lit(kind).alias("kind"), "uuid")
+    removed = own(entities, "entity").union(own(edges, "edge"))
+    if mode == "replace":
+        entities, edges, frames = entities.limit(0), edges.limit(0), None
+    else:
+        removed = removed.limit(0)
     known = entities.where(F.col("group_id") == group).groupBy(name_key(F.col("name")).alias("k")).agg(F.min("uuid").alias("old"))
     ents = pack["entities"].withColumn("k", name_key(F.col("name"))).join(known, "k", "left")
     stable = uuid5_url(F.concat_ws(":", F.lit(FORMAT), F.lit(group), F.lit("entity"), F.col("uuid")))
@@ -170,4 +185,7 @@ def import_pack(pack: dict[str, DataFrame], group: str, entities: DataFrame, edg
     have = edges.where(F.col("group_id") == group).select(key.alias("k")).distinct()
     new = good.withColumn("k", key).dropDuplicates(["k"]).join(have, "k", "left_anti").drop("k").withColumn("group_id", F.lit(group))
     aliases = pack["entity_aliases"].join(ids.select(F.col("from").alias("entity_uuid"), "to"), "entity_uuid").select("normalized_alias", F.col("to").alias("entity_uuid"), F.lit(group).alias("group_id"))
-    return Imported(fresh, aliases, new, bad)
+    own_frames = pack["relation_frames"].select(F.lit(group).alias("group_id"), "alias", "canonical").dropDuplicates(["alias"])
+    if frames is not None:
+        own_frames = own_frames.join(frames.where(F.col("group_id") == group).select("alias"), "alias", "left_anti").select("group_id", "alias", "canonical")
+    return Imported(fresh, aliases, new, bad, own_frames, removed)
