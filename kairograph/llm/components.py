@@ -4,10 +4,10 @@ Each round hooks every vertex's larger neighbours, then its smaller ones, to
 the smallest vertex seen; rounds grow with the logarithm of the longest chain.
 Every round's edges are written to the shared folder, so lineage stays short
 and a lost executor costs a reread.  A vertex's neighbours are reduced with
-``min``, which combines before the shuffle, and joined back; the neighbours of
-a vertex with more than its share of all edges (a ``HUBS``-th) are dealt over
-several tasks for that, so a hub of any degree is never gathered.  At most
-``HUBS`` vertices have so many, which bounds what is broadcast.
+``min``, which combines before the shuffle, and joined back.  Vertices with more
+than their share of all edges (a ``HUBS``-th) are joined by broadcast, so a hub
+of any degree is never gathered; there are at most ``HUBS`` of them, which bounds
+what is broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 HUBS = 1000
-LEAST_HUB = 256  # neighbours; fewer are never dealt
+LEAST_HUB = 256  # neighbours; fewer make no hub
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges`` has a, b.  Returns vertex, label (the smallest vertex reachable) for every vertex with an edge to another."""
@@ -27,11 +27,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # seen from every vertex v: neighbours n with n > v (large) or n <= v (small) are hooked to min(v, all neighbours)
         both = e.select(F.col("a").alias("v"), F.col("b").alias("n")).union(e.select(F.col("b").alias("v"), F.col("a").alias("n")))
         seen = both if large else both.where("n < v")
-        least = seen.groupBy("v").agg(F.min("n").alias("m"), F.count("*").alias("d")).select("v", F.least("m", "v").alias("m"), F.ceil(F.col("d") / share).cast("int").alias("parts"))
-        hubs = F.broadcast(least.where("parts > 1").select(F.col("v").alias("hub"), "parts"))
-        dealt = seen.join(hubs, F.col("v") == F.col("hub"), "left").withColumn("part", F.pmod(F.xxhash64("n"), F.coalesce("parts", F.lit(1))).cast("int"))
-        each = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        hooked = dealt.select("v", "n", "part").join(each.select("v", "m", "part"), ["v", "part"])
+        least = seen.groupBy("v").agg(F.min("n").alias("m"), F.count("*").alias("d")).select("v", F.least("m", "v").alias("m"), "d")
+        hubs = F.broadcast(least.where(F.col("d") > share).select(F.col("v").alias("hub"), F.col("m").alias("hm")))
+        known = seen.join(hubs, F.col("v") == F.col("hub"), "left")
+        rest = known.where("hub is null").select("v", "n").join(least.where(F.col("d") <= share).select("v", "m"), "v")
+        hooked = rest.select("v", "n", "m").union(known.where("hub is not null").select("v", "n", "hm"))
         hooked = hooked.where("n > v") if large else hooked
         out = hooked.select(F.col("n").alias("x"), "m")
         if not large:

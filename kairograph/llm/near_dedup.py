@@ -9,15 +9,16 @@ similarity of 0.85 a pair exceeds the distance with a probability of 4e-6, at
 0.8 of 1e-4.
 
 1. Equal sets are collapsed to one class by a digest of the whole set.
-2. Classes meet in buckets by key; each bucket emits a spanning forest of its
-   pairs within the distance, never all pairs.  Connected components of these
-   forests are the candidate groups.
+2. Classes meet in buckets by key, in the order of their sets' sizes; each bucket
+   emits stars over its components of pairs within the distance whose sizes allow
+   the similarity, never all pairs.  Rows are let go when no later set is small
+   enough for them.  Connected components of the stars are the candidate groups.
 3. Every link is confirmed on full sets, without a pair of a group left out.  A
    group of up to a block of classes meets in one task.  A larger one is dealt
    into blocks, which first connect what they hold; then one class of each
    component so found meets the others; and only classes outside the group's
-   largest component meet all its blocks.  A pair already connected by confirmed
-   links is not confirmed again.
+   largest component meet all its blocks.  What confirmed links already connect
+   is not confirmed again.
 4. Components of the confirmed links, and of classes that share a document, are
    the result.
 
@@ -45,7 +46,7 @@ from .textblocks import doc_bytes, mix64, runs, shingles
 SYMBOLS, CHUNK = 32, 4
 CHUNKS = SYMBOLS // CHUNK
 DISTANCE = 2 * CHUNKS - 1
-BLOCK = 4096
+BLOCK = 2048  # classes of a group that meet in one task, rows of a bucket that are read at once
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,48 +117,83 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         keys = bucket_keys(sigs)
         offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["sid", "sig", "keys"])
-
-
-def _forest(linked, label: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Spanning forest over what ``label`` has not united yet; ``linked(i, rows)`` says which of the rows are linked with i."""
-    label = label.copy()
-    for i in range(len(label)):
-        others = np.flatnonzero(label != label[i])
-        if not len(others):
-            return
-        for j in others[linked(i, others)].tolist():
-            if label[j] != label[i]:
-                yield i, j
-                label[label == label[j]] = label[i]
-
-
-def _bucket_edges(block: int):
-    """Rows sorted by key; emits a forest over each bucket's pairs within DISTANCE.
-
-    What lies beyond a bucket's first ``block`` rows is linked to its first row
-    without the distance test, and so are they then.  That loses no pair: groups
-    may only become larger by it, and links are confirmed on full sets in any
-    case.  A bucket so large holds copies, or rows whose sets share three of
-    four minima.
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["sid", "sig", "n", "keys"])
+
+
+def connected(linked, label: np.ndarray, new: int = 0) -> np.ndarray:
+    """Components over rows that ``label`` unites in part: the first row visited of each row's component.
+
+    ``linked(i, rows)`` says which of the rows are linked with i.  Rows before
+    ``new`` have been compared with each other already.  A row that is reached
+    is not compared again, so copies cost one pass.
     """
+    n = len(label)
+    out = np.full(n, -1)
+    order = np.argsort(label, kind="stable")
+    cuts = np.searchsorted(label[order], label, "left"), np.searchsorted(label[order], label, "right")
+    rest = np.arange(n)
+    for seed in range(n):
+        if out[seed] >= 0:
+            continue
+        stack = order[cuts[0][seed] : cuts[1][seed]].tolist()
+        out[stack] = seed
+        rest = rest[out[rest] < 0]
+        while stack and len(rest):
+            i = stack.pop()
+            asked = rest if i >= new else rest[rest >= new]
+            if not len(asked):
+                continue
+            hits = asked[linked(i, asked)]
+            if not len(hits):
+                continue
+            for j in hits.tolist():
+                if out[j] < 0:
+                    reached = order[cuts[0][j] : cuts[1][j]]
+                    out[reached] = seed
+                    stack += reached.tolist()
+            rest = rest[out[rest] < 0]
+    return out
+
+
+def _smallest(names: list[bytes], root: np.ndarray) -> list[bytes]:
+    """Of each row's component the smallest name."""
+    least: dict[int, bytes] = {}
+    for name, r in zip(names, root.tolist()):
+        if r not in least or name < least[r]:
+            least[r] = name
+    return [least[r] for r in root.tolist()]
+
+
+def _bucket_edges(percent: int, block: int):
+    """Rows sorted by (key, n); emits stars over the components of each bucket's pairs within DISTANCE and with sizes near enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
         for _, parts in runs(batches, ["key"]):
-            first = None
+            sids: list[bytes] = []
+            sigs, sizes, label = np.empty((0, SYMBOLS), np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
+            seen = 0
             for part in parts(block):
-                n = part.num_rows
-                sids = part.column("sid").to_pylist()
-                if first is not None:
-                    out += [(first, s) for s in sids]
-                elif n == block:
-                    first = sids[0]
-                    out += [(first, s) for s in sids[1:]]
-                elif n > 1:
-                    sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                    linked = lambda i, rows, sigs=sigs: (sigs[rows] != sigs[i]).sum(axis=1) <= DISTANCE
-                    out += [(sids[i], sids[j]) for i, j in _forest(linked, np.arange(n))]
+                n = part.column("n").to_numpy()
+                old = np.flatnonzero(100 * sizes >= percent * n[0])  # sizes rise, so the others meet nobody any more
+                held = len(old)
+                sids = [sids[k] for k in old.tolist()] + part.column("sid").to_pylist()
+                more = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+                sigs, sizes = np.concatenate([sigs[old], more]), np.concatenate([sizes[old], n])
+                label = np.concatenate([label[old], seen + np.arange(len(n))])
+                seen += len(n)
+                if len(sids) == 1:
+                    continue
+
+                def linked(i: int, rows: np.ndarray) -> np.ndarray:
+                    ok = 100 * np.minimum(sizes[rows], sizes[i]) >= percent * np.maximum(sizes[rows], sizes[i])
+                    near = rows[ok]
+                    ok[ok] = (sigs[near] != sigs[i]).sum(axis=1) <= DISTANCE
+                    return ok
+
+                root = connected(linked, label, held)
+                out += {(a, s) for a, s in zip(_smallest(sids, root), sids) if a != s}
+                label = label[root]
                 if len(out) > 10_000:
                     yield _pairs(out)
                     out = []
@@ -185,14 +221,13 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(width: int, percent: int):
-    """Rows sorted by (grp, i, j); emits a forest of confirmed links per place over what their labels have not united."""
+    """Rows sorted by (grp, i, j); sid and label: the smallest class that confirmed links or the given labels connect it with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[bytes, bytes]] = []
         for _, parts in runs(batches, ["grp", "i", "j"]):
             sids, sets, labels = [], [], []
+            seen = set()
             for part in parts(512):
-                seen = set(sids)
                 rows = pa.StructArray.from_arrays([part.column(c).combine_chunks() for c in ("sid", "label")], ["sid", "label"])
                 for got, data, starts in doc_bytes(pa.table({"id": rows, "text": part.column("text")}).combine_chunks().to_batches()[0]):
                     hashes, offsets = shingles(data, starts, width)
@@ -203,20 +238,18 @@ def _confirm(width: int, percent: int):
                             sids.append(sid)
                             sets.append(distinct)
                             labels.append(label)
-            if len(sids) > 1:
-                out += [(sids[i], sids[j]) for i, j in confirmed_links(sets, percent, np.unique(np.array(labels, object), return_inverse=True)[1])]
-            if len(out) > 10_000:
-                yield _pairs(out)
-                out = []
-        if out:
-            yield _pairs(out)
+            if not sids:
+                continue
+            of = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+            root = confirmed(sets, percent, np.array([of[x] for x in labels]))
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(_smallest([min(s, x) for s, x in zip(sids, labels)], root), pa.binary())], ["sid", "label"])
         give_back()
 
     return run
 
 
-def confirmed_links(sets: list[np.ndarray], percent: int, label: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Spanning forest of the pairs with 100 * intersection >= percent * union, beyond what ``label`` unites."""
+def confirmed(sets: list[np.ndarray], percent: int, label: np.ndarray) -> np.ndarray:
+    """``connected`` over the pairs with 100 * intersection >= percent * union."""
     sizes = np.array([len(s) for s in sets])
     words, dense = np.unique(np.concatenate(sets), return_inverse=True)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -239,48 +272,54 @@ def confirmed_links(sets: list[np.ndarray], percent: int, label: np.ndarray) ->
             ok[near] = 100 * inter >= percent * (sizes[which] + sizes[i] - inter)
         return ok
 
-    yield from _forest(linked, label)
+    return connected(linked, label)
 
 
 def _links(read: DataFrame, classes: DataFrame, groups: DataFrame, width: int, percent: int, block: int, scratch: Scratch) -> DataFrame:
-    """a, b: a forest of confirmed links of every candidate group (sid, grp)."""
+    """a, b: stars over what confirmed links connect in every candidate group (sid, grp)."""
     half = max(1, block // 2)
+    tasks = max(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * read.sparkSession.sparkContext.defaultParallelism)
     dealt = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     blocks = lambda rows, n: rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(half)).cast("int").alias(n))
 
-    def confirmed(members: DataFrame) -> DataFrame:
-        """``members`` has sid, label, grp, i, j; the narrow rows meet first, so texts travel to their id and to their place."""
-        asked = classes.select("sid", "id", "hash").join(members, "sid")
-        texts = read.join(asked, ["id", "hash"]).select("grp", "i", "j", "sid", "label", "text").mapInArrow(_once, _PLACED)
-        rows = texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-        return scratch.keep(rows.mapInArrow(_confirm(width, percent), "a binary, b binary"))
+    def met(members: DataFrame) -> DataFrame:
+        """``members`` has sid, label, grp, i, j; gains the label of what is connected where they meet.
 
-    sizes = blocks(groups, "n")
-    own = groups.join(sizes, "grp").withColumn("own", dealt("n"))
-    links = confirmed(own.select("sid", F.col("sid").alias("label"), "grp", F.col("own").alias("i"), F.col("own").alias("j")))
-    if sizes.where("n > 1").isEmpty():
-        return links
+        The narrow rows meet first and are written, so the planner knows their
+        size when it joins the texts, which travel to their id and to their place.
+        """
+        asked = scratch.keep(classes.select("sid", "id", "hash").join(members, "sid"))
+        texts = read.join(asked, ["id", "hash"]).select("grp", "i", "j", "sid", "label", "text").mapInArrow(_once, _PLACED)
+        rows = texts.repartition(tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        return scratch.keep(rows.mapInArrow(_confirm(width, percent), "sid binary, label binary"))
 
-    def labelled(links: DataFrame) -> DataFrame:
-        found = components(links, scratch).select(F.col("vertex").alias("sid"), "label")
-        large = own.where("n > 1").join(found, "sid", "left")
-        return scratch.keep(large.withColumn("label", F.coalesce("label", "sid")))
+    def stars(labels: DataFrame) -> DataFrame:
+        return labels.where("sid <> label").select(F.col("label").alias("a"), F.col("sid").alias("b"))
 
+    own = groups.join(blocks(groups, "n"), "grp").withColumn("own", dealt("n"))
+    first = met(own.select("sid", F.col("sid").alias("label"), "grp", F.col("own").alias("i"), F.col("own").alias("j")))
+    links = stars(first)
+    large = scratch.keep(own.where("n > 1"))
+    if large.isEmpty():
+        return links
+    known = large.join(first, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     # one class of each component that a block has connected
-    heads = labelled(links).where("label = sid")
-    heads = heads.drop("n").join(blocks(heads, "n"), "grp").withColumn("own", dealt("n"))
-    links = links.union(confirmed(heads.select("sid", "label", "grp", F.col("own").alias("i"), F.col("own").alias("j"))))
+    heads = known.where("label = sid").drop("n")
+    heads = heads.join(blocks(heads, "n"), "grp").withColumn("own", dealt("n"))
+    second = met(heads.select("sid", "label", "grp", F.col("own").alias("i"), F.col("own").alias("j")))
+    links = links.union(stars(second))
+    known = known.join(second.select(F.col("sid").alias("label"), F.col("label").alias("further")), "label", "left")
+    known = scratch.keep(known.withColumn("label", F.coalesce("further", "label")).drop("further"))
     # classes outside the largest component of a group meet every block of it
-    known = labelled(links)
     largest = known.groupBy("grp", "label").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("parts"))
-    loose = known.join(largest.where("parts > 1"), "grp")
-    others = loose.where("label <> most")
-    outer = blocks(others, "m")
-    loose = loose.join(outer, "grp")
+    loose = scratch.keep(known.join(largest.where("parts > 1"), "grp"))
+    if loose.isEmpty():
+        return links
+    loose = loose.join(blocks(loose.where("label <> most"), "m"), "grp")
     a = loose.where("label <> most").withColumn("i", dealt("m")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     b = loose.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     columns = ("sid", "label", "grp", "i", "j")
-    return links.union(confirmed(a.select(*columns).union(b.select(*columns)).distinct()))
+    return links.union(stars(met(a.select(*columns).union(b.select(*columns)).distinct())))
 
 
 _PLACED = "grp binary, i int, j int, sid binary, label binary, text string"
@@ -294,9 +333,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     sketch = scratch.keep(read.mapInArrow(_sketch(width), f"id {ddl}, hash long, n_shingles long, sid binary, sig binary"))
     known = sketch.where(F.col("sid").isNotNull() & F.col("id").isNotNull())
-    classes = known.groupBy("sid").agg(F.min(F.struct("id", "hash", "sig")).alias("one")).select("sid", "one.id", "one.hash", "one.sig")
-    keyed = classes.select("sid", "sig").mapInArrow(_keys, "sid binary, sig binary, keys array<long>").select("sid", "sig", F.explode("keys").alias("key"))
-    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges(block), "a binary, b binary")
+    classes = known.groupBy("sid").agg(F.min(F.struct("id", "hash", "sig")).alias("one"), F.min("n_shingles").alias("n")).select("sid", "one.id", "one.hash", "one.sig", "n")
+    keyed = classes.select("sid", "sig", F.col("n").cast("int").alias("n")).mapInArrow(_keys, "sid binary, sig binary, n int, keys array<long>").select("sid", "sig", "n", F.explode("keys").alias("key"))
+    near = keyed.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_bucket_edges(percent, block), "a binary, b binary")
     groups = scratch.keep(components(near, scratch).select(F.col("vertex").alias("sid"), F.col("label").alias("grp")))
     del keyed, near
     release_shuffles(spark)
