@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, release_shuffles
+from .common import Scratch, give_back, release_shuffles
 from .textblocks import mix64, runs, text_buffers, word_hashes
 
 #: Perfect difference sets by modulus.
@@ -63,7 +63,7 @@ DIFFERENCE_SETS = {
     133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
 }
 BLOCK = 2 << 20  # symbols whose names are held at once; a longer text is one block
-FLUSH = 2 << 20  # entries that are packed together
+FLUSH = 1 << 20  # entries that are packed together
 RANGE = 24 << 20  # bytes of text for each range of names
 PASSAGE_WORDS = 50  # a passage of over 50 words holds a string of as many
 STRIDE = 1 << 16
@@ -197,28 +197,36 @@ class _Entries:
         yield from _pack(bucket[rest], SETTLED, none, none, ids[rest], hashes[rest], pos[rest])
 
 
-def _symbols(batch: pa.RecordBatch, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols of all texts, offsets per text): bytes, or hashes of words."""
+def _symbols(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, symbols of the texts from there, offsets per text): bytes, or hashes of words."""
     data, offsets = text_buffers(batch.column("text"))
-    return word_hashes(data, offsets) if words else (data, offsets)
+    if not words:
+        yield 0, data, offsets
+        return
+    at = 0
+    while at < len(offsets) - 1:  # hashing takes many times the text, so a block of texts at a time
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+        yield at, *word_hashes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        at = to
 
 
-def _blocks(data: np.ndarray, offsets: np.ndarray, p: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, symbols with gaps around every text, starts of the texts in it) for texts long enough."""
+def _blocks(batch: pa.RecordBatch, p: Plan, words: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their sizes, symbols with gaps around every text, starts of the texts in it) for texts long enough."""
     gap = p.length + p.modulus
-    sizes = np.diff(offsets)
-    rows = np.flatnonzero(sizes >= p.length)
-    at = 0
-    while at < len(rows):
-        total = np.cumsum(sizes[rows[at:]] + gap)
-        to = at + max(1, int(np.searchsorted(total, BLOCK)))
-        part = rows[at:to]
-        starts = gap + np.concatenate([[0], np.cumsum(sizes[part] + gap)[:-1]])
-        out = np.full(int((sizes[part] + gap).sum()) + gap, GAP, data.dtype)
-        for r, s in zip(part.tolist(), starts.tolist()):
-            out[s : s + sizes[r]] = data[offsets[r] : offsets[r + 1]]
-        yield part, out, starts
-        at = to
+    for first, data, offsets in _symbols(batch, words):
+        sizes = np.diff(offsets)
+        rows = np.flatnonzero(sizes >= p.length)
+        at = 0
+        while at < len(rows):
+            total = np.cumsum(sizes[rows[at:]] + gap)
+            to = at + max(1, int(np.searchsorted(total, BLOCK)))
+            part = rows[at:to]
+            starts = gap + np.concatenate([[0], np.cumsum(sizes[part] + gap)[:-1]])
+            out = np.full(int((sizes[part] + gap).sum()) + gap, GAP, data.dtype)
+            for r, s in zip(part.tolist(), starts.tolist()):
+                out[s : s + sizes[r]] = data[offsets[r] : offsets[r + 1]]
+            yield first + part, sizes[part], out, starts
+            at = to
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -231,11 +239,9 @@ def _sampled(p: Plan, buckets: int, words: bool):
         before = np.searchsorted(cover, np.arange(v + 1))  # sampled residues below each residue
         context = [t - (v - 1) for t in p.tiles(p.length + v - 1)]
         for batch in batches:
-            symbols, offsets = _symbols(batch, words)
-            sizes = np.diff(offsets)
             ids, hashes = _column(batch, "id"), _column(batch, "hash")
-            for rows, data, starts in _blocks(symbols, offsets, p):
-                most = sizes[rows] - p.length + v  # places below this can be reached by a string of the text
+            for rows, sizes, data, starts in _blocks(batch, p, words):
+                most = sizes - p.length + v  # places below this can be reached by a string of the text
                 count = most // v * len(cover) + before[most % v]
                 row = np.repeat(np.arange(len(rows)), count)
                 nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -245,6 +251,7 @@ def _sampled(p: Plan, buckets: int, words: bool):
                 wide = _combined(names(data, p, 1), at, context)
                 yield from entries.add(own, wide, ids[rows][row], hashes[rows][row], pos)
         yield from entries.flush()
+        give_back()
 
     return run
 
@@ -253,21 +260,20 @@ def _strings(p: Plan, buckets: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, tiles = _Entries(buckets), p.tiles(p.length)
         for batch in batches:
-            symbols, offsets = _symbols(batch, words)
-            sizes = np.diff(offsets)
             ids, hashes = _column(batch, "id"), _column(batch, "hash")
             first, last = batch.column("open_from"), batch.column("open_to")
-            for rows, data, starts in _blocks(symbols, offsets, p):
+            for rows, sizes, data, starts in _blocks(batch, p, words):
                 place, row = [], []
                 for k, r in enumerate(rows.tolist()):
                     for a, b in zip(first[r].as_py(), last[r].as_py()):
-                        place.append(np.arange(a, min(b, int(sizes[r]) - p.length + 1)))
+                        place.append(np.arange(a, min(b, int(sizes[k]) - p.length + 1)))
                         row.append(np.full(len(place[-1]), k))
                 pos, row = np.concatenate(place), np.concatenate(row)
                 at = starts[row] + pos
                 own, wide = (_combined(names(data, p, f), at, tiles) for f in (0, 1))
                 yield from entries.add(own, wide, ids[rows][row], hashes[rows][row], pos)
         yield from entries.flush()
+        give_back()
 
     return run
 
@@ -314,6 +320,8 @@ def _compare(parts_n: int, contexts: bool):
                 mixed = np.bincount(of_name)[of_name] > 1
                 left = order[starts[mixed]]
                 yield from marks(OPEN, ids[left], hashes[left], pos[left])
+            del name, wide, ids, hashes, pos, several, order
+        give_back()
 
     return run
 
@@ -344,6 +352,7 @@ def _merge(p: Plan, before: int):
                 offsets = pa.array(np.searchsorted(r, np.arange(len(at) + 1)).astype(np.int32))
                 columns += [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (start, end)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "gone_from", "gone_to", "open_from", "open_to"])
+        give_back()
 
     return run
 
