@@ -64,24 +64,26 @@ def close_slots(facts: DataFrame, slot: tuple[str, ...] = SLOT, obj: str = "targ
     starts = (F.col("__op") == "assert") & (F.col("__prev").isNull() | (F.col("__prev") != F.col(obj)) | F.coalesce(F.lag("__op").over(w) == "terminate", F.lit(False)))
     rows = rows.withColumn("__island", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__island > 0")
     made = F.col("__op") == "assert"
-    islands = rows.groupBy(*slot, "__island", obj).agg(
+    islands = rows.groupBy(*dict.fromkeys((*slot, "__island", obj))).agg(
         F.min_by("uuid", F.when(made, F.col(order))).alias("uuid"),
         F.min(order).alias(order),
         F.min_by("valid_at", F.when(made, F.col(order))).alias("valid_at"),
         F.min_by("valid_at", F.when(~made, F.col(order))).alias("__ended"),
+        F.min(F.when(~made, F.col(order))).alias("__ended_seq"),
         F.count_if(made).alias("n_asserts"),
         *[c.alias(n) for n, c in (extra or {}).items()],
     )
     nxt = Window.partitionBy(*slot).orderBy("__island")
-    islands = islands.withColumns({"__next_at": F.lead("valid_at").over(nxt), "__next": F.lead("uuid").over(nxt), "__before": F.lag("uuid").over(nxt), "__before_ended": F.lag("__ended").over(nxt)})
+    islands = islands.withColumns({"__next_seq": F.lead(order).over(nxt), "__next_at": F.lead("valid_at").over(nxt), "__next": F.lead("uuid").over(nxt), "__before": F.lag("uuid").over(nxt), "__before_ended": F.lag("__ended").over(nxt)})
     return islands.withColumns(
         {
             "invalid_at": F.coalesce("__ended", "__next_at"),
+            "closed_seq": F.when(F.col("__ended_seq").isNotNull(), F.col("__ended_seq")).otherwise(F.col("__next_seq")),
             "status": F.when(F.col("__ended").isNull() & F.col("__next").isNull(), "active").otherwise("superseded"),
             "superseded_by": F.when(F.col("__ended").isNull(), F.col("__next")),
             "supersedes": F.when(F.col("__before_ended").isNull(), F.col("__before")),
         }
-    ).drop("__island", "__ended", "__next_at", "__next", "__before", "__before_ended")
+    ).drop("__island", "__ended", "__next_at", "__next", "__before", "__before_ended", "__ended_seq", "__next_seq")
 
 
 def dedupe(facts: DataFrame, key: Column, order: str = "seq") -> DataFrame:

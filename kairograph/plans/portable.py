@@ -62,12 +62,12 @@ def pack_validate(g):
 _ENDS_KNOWN = "source_node_uuid IN (SELECT uuid FROM own) AND target_node_uuid IN (SELECT uuid FROM own)"
 
 
-@query(f"""WITH own AS (SELECT uuid, name FROM kg_entity WHERE group_id = 'u1'), e AS (SELECT * FROM kg_fact WHERE group_id = 'u1'), n AS (SELECT count(*) AS n FROM own),
+@query(rf"""WITH own AS (SELECT uuid, name FROM kg_entity WHERE group_id = 'u1'), e AS (SELECT * FROM kg_fact WHERE group_id = 'u1'), n AS (SELECT count(*) AS n FROM own),
 k AS (SELECT count(DISTINCT source_node_uuid || '::' || lower(name) || '::' || target_node_uuid) AS n FROM e WHERE {_ENDS_KNOWN}), d AS (SELECT count(*) + 1 AS n FROM e WHERE NOT ({_ENDS_KNOWN})),
 f AS (SELECT count(DISTINCT alias) AS n FROM kg_frame), a AS (SELECT count(*) AS n FROM kg_alias WHERE group_id = 'u1'), h AS (SELECT count(*) AS n FROM kg_fact WHERE group_id = 'u2'), i AS (SELECT count(*) AS n FROM kg_entity WHERE group_id = 'u2'),
 known AS (SELECT DISTINCT trim(regexp_replace(lower(name), '\s+', ' ', 'g')) AS k FROM kg_entity WHERE group_id = 'u2'), w AS (SELECT count(*) AS n FROM own WHERE trim(regexp_replace(lower(name), '\s+', ' ', 'g')) NOT IN (SELECT k FROM known))
 SELECT 'merge' AS mode, 'entities' AS part, n FROM w UNION ALL SELECT 'merge', 'aliases', n FROM a UNION ALL SELECT 'merge', 'dropped', n FROM d UNION ALL SELECT 'merge', 'frames', n - 1 FROM f UNION ALL SELECT 'merge', 'removed', 0
-UNION ALL SELECT 'replace', 'entities', n FROM n UNION ALL SELECT 'replace', 'aliases', n FROM a UNION ALL SELECT 'replace', 'edges', n FROM k UNION ALL SELECT 'replace', 'dropped', n FROM d UNION ALL SELECT 'replace', 'frames', n FROM f UNION ALL SELECT 'replace', 'removed', h.n + i.n FROM h, i""".replace("\\\\", "\\"))
+UNION ALL SELECT 'replace', 'entities', n FROM n UNION ALL SELECT 'replace', 'aliases', n FROM a UNION ALL SELECT 'replace', 'edges', n FROM k UNION ALL SELECT 'replace', 'dropped', n FROM d UNION ALL SELECT 'replace', 'frames', n FROM f UNION ALL SELECT 'replace', 'removed', h.n + i.n FROM h, i""")
 def src_pack_import(g):
     """The pack of tenant u1 brought into u2, merged and in its place; an edge to nobody is dropped."""
     tables = _tables(g)
@@ -104,11 +104,14 @@ def udtf_extract(g):
     return extract(texts(g), "id")
 
 
+_EDGE_COLUMNS = ("uuid", "group_id", "source_node_uuid", "name", "target_node_uuid", "fact", "valid_at", "invalid_at", "status", "episodes", "n_claims")
+
+
 @query()
 def tf_add_episode(g):
-    """Batch ingest of raw texts: extract, repair, resolve frames, close slots."""
+    """Ingest of every conversation turn: entities resolved and created, facts through the whole cascade, mentions linked.  A test replays it text by text."""
     rows = texts(g).select(F.col("id").alias("uuid"), "group_id", "content", "reference_time")
-    return ingest.facts_of(rows, frames.frame_aliases(g.spark))
+    return ingest.add_episodes(rows, g.entity, g.alias, frames.frame_aliases(g.spark)).edges.select(*_EDGE_COLUMNS)
 
 
 @query("""WITH l AS (SELECT *, lag(target_node_uuid) OVER w AS prior, row_number() OVER w AS k FROM kg_fact WINDOW w AS (PARTITION BY group_id, source_node_uuid, name ORDER BY seq)), c AS (SELECT * FROM l WHERE k = 1 OR target_node_uuid <> prior)
@@ -167,9 +170,16 @@ def tf_add_triplet(g):
 
 @query()
 def tf_add_bulk(g):
-    """Many texts at once: the same set-based ingest over all documents."""
-    rows = g.raw("documents").selectExpr("'d' || doc_id as uuid", "source as group_id", "text as content", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int)) as reference_time")
-    return ingest.facts_of(rows, frames.frame_aliases(g.spark)).groupBy("group_id", "name").agg(F.count("*").alias("n_facts"))
+    """The same ingest over all documents: how many entities, mentions and edges each tenant gains."""
+    rows = g.raw("documents").selectExpr("'d' || doc_id as uuid", "coalesce(source, '') as group_id", "coalesce(text, '') as content", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int)) as reference_time")
+    got = ingest.add_episodes(rows, g.entity, g.alias, frames.frame_aliases(g.spark))
+    groups = got.entities.select("uuid", "group_id")
+    parts = {"entities": groups, "mentions": got.mentions.join(groups, got.mentions["entity_uuid"] == groups["uuid"]), "edges": got.edges}
+    out = None
+    for kind, df in parts.items():
+        part = df.groupBy("group_id").agg(F.count("*").alias("n")).select("group_id", F.lit(kind).alias("kind"), "n")
+        out = part if out is None else out.union(part)
+    return out
 
 
 @query("""SELECT 'assistant:' || group_id AS subject, CASE source WHEN 'self_reflection' THEN 'reflects' ELSE 'observes' END AS predicate, count(*) AS n FROM kg_episode WHERE source LIKE 'self_%' GROUP BY 1, 2""")

@@ -40,14 +40,39 @@ def tf_current_fact(g):
     return T.close_slots(slot).where("invalid_at is null").select("name", "target_node_uuid", "valid_at")
 
 
-_OPS = "SELECT *, CASE WHEN seq % 9 = 4 THEN 'terminate' WHEN seq % 31 = 0 THEN 'noop' ELSE 'assert' END AS op FROM kg_fact"
+_OP = "CASE WHEN seq % 9 = 4 THEN 'terminate' WHEN seq % 31 = 0 THEN 'noop' WHEN seq % 10 = 3 THEN 'correct' WHEN seq % 14 = 5 THEN 'qualify' ELSE 'assert' END"
+_OPS = f"SELECT * REPLACE (CASE op WHEN 'correct' THEN 'assert' ELSE op END AS op) FROM (SELECT *, {_OP} AS op FROM kg_fact) WHERE op <> 'qualify'"
+_L2_COLUMNS = "group_id, source_node_uuid, name, target_node_uuid, uuid, valid_at, invalid_at, superseded_by"
 
 
-@query(f"WITH {slots_sql(_OPS)} SELECT {', '.join(SLOT_COLUMNS)} FROM slots")
+@query(f"""WITH {slots_sql(_OPS)}, q AS (SELECT * FROM kg_fact WHERE ({_OP}) = 'qualify'), t AS (SELECT * FROM kg_fact WHERE ({_OP}) = 'terminate'),
+e AS (SELECT q.*, 'q' || (seq % 3) AS qhash, (SELECT count(*) FROM t WHERE t.group_id = q.group_id AND t.source_node_uuid = q.source_node_uuid AND t.name = q.name AND t.target_node_uuid = q.target_node_uuid AND t.seq < q.seq) AS run,
+ (SELECT min(struct_pack(seq := t.seq, at := t.valid_at)) FROM t WHERE t.group_id = q.group_id AND t.source_node_uuid = q.source_node_uuid AND t.name = q.name AND t.target_node_uuid = q.target_node_uuid AND t.seq > q.seq) AS ended FROM q)
+SELECT {_L2_COLUMNS} FROM slots UNION ALL SELECT group_id, source_node_uuid, name, target_node_uuid, arg_min(uuid, seq), arg_min(valid_at, seq), any_value(ended.at), NULL FROM e GROUP BY group_id, source_node_uuid, name, target_node_uuid, qhash, run""")
 def tf_L2_operation(g):
-    op = F.when(F.col("seq") % 9 == 4, "terminate").when(F.col("seq") % 31 == 0, "noop").otherwise("assert")
-    rows = g.fact.select("group_id", "source_node_uuid", "name", "target_node_uuid", "uuid", "seq", "valid_at", op.alias("op"))
-    return T.close_slots(rows, op="op").select(*SLOT_COLUMNS)
+    """Every slot singleton: ``terminate`` closes its object, ``correct`` is an assertion that closes, ``qualify`` coexists in the slot of its qualifiers."""
+    from kairograph.operators import write
+
+    rows = g.fact.select("uuid", "seq", "group_id", "source_node_uuid", F.col("name").alias("relation"), "target_node_uuid", "valid_at", F.expr(_OP).alias("operation"))
+    rows = rows.withColumns({"singleton": F.lit(True), "qhash": F.when(F.col("operation") == "qualify", F.concat(F.lit("q"), F.col("seq") % 3)).otherwise("")})
+    told = write.claims(rows, g.frame.limit(0))
+    return write.close(told).select(*_L2_COLUMNS.split(", "))
+
+
+@query()
+def tf_write_facts(g):
+    """The whole cascade over every fact: frames, operations, qualifiers, memory classes, closure, judge, conflicts.  A test replays it claim by claim."""
+    from kairograph.operators import write
+
+    return write.write_facts(claim_rows(g), g.frame).select("uuid", "group_id", "source_node_uuid", "name", "target_node_uuid", "valid_at", "invalid_at", "superseded_by", "status", "conflict_group_id", "n_claims")
+
+
+def claim_rows(g):
+    from kairograph.functions.decay import memory_class
+
+    text = F.concat("fact", F.when(F.expr("seq % 10 = 0"), " no longer").otherwise(""))
+    qhash = F.when(F.expr(_OP) == "qualify", F.concat(F.lit("q"), F.col("seq") % 3)).otherwise("")
+    return g.fact.select("uuid", "seq", "group_id", "source_node_uuid", "relation", "target_node_uuid", "valid_at", F.expr(_OP).alias("operation"), "singleton", "source_type", qhash.alias("qhash"), memory_class(F.col("memory_class")).alias("memory_class"), "is_belief", text.alias("fact"))
 
 
 _FRAMED = """SELECT f.uuid, f.seq, f.group_id, f.valid_at, 'assert' AS op, coalesce(r.canonical, lower(f.relation)) AS name, r.cardinality, r.policy, f.singleton, f.source_type,

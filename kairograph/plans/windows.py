@@ -13,7 +13,7 @@ from .registry import query
 SLOT_SQL = "group_id, source_node_uuid, name"
 
 
-def slots_sql(source: str = "SELECT *, 'assert' AS op FROM kg_fact") -> str:
+def slots_sql(source: str = "SELECT *, 'assert' AS op FROM kg_fact", SLOT_SQL: str = SLOT_SQL) -> str:
     """Slot closure by its definition: the run that each surviving row belongs to, then its edge."""
     return f"""r0 AS ({source}),
 r1 AS (SELECT *, last_value(CASE WHEN op = 'assert' THEN target_node_uuid END IGNORE NULLS) OVER (PARTITION BY {SLOT_SQL} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r0 WHERE op IN ('assert', 'terminate')),

@@ -1,15 +1,18 @@
-"""Structured Streaming: keyed slot state, micro-batch upserts."""
+"""Ingest of raw texts, and Structured Streaming: keyed slot state, micro-batch upserts."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kairograph.operators import temporal
+from kairograph.functions.keys import normalize_alias
+from kairograph.functions.text import IDENTITY_PREDICATES
+from kairograph.operators import temporal, write
 from kairograph.operators.graph import _shared_dir
 from kairograph.sources.hooks import extract
 
@@ -17,18 +20,56 @@ _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, val
 _CHANGE = "group_id string, source_node_uuid string, name string, target_node_uuid string, uuid string, valid_at timestamp, closes string"
 
 
-def facts_of(episodes: DataFrame, frames: DataFrame) -> DataFrame:
-    """Facts of raw texts: extracted, repaired, with their frame, singleton slots closed."""
-    raw = extract(episodes.withColumnRenamed("uuid", "episode_uuid"), "episode_uuid")
-    clean = temporal.repair(raw).where("keep")
-    rows = temporal.resolve_frames(clean.withColumnRenamed("predicate", "relation"), frames)
+@dataclass(frozen=True)
+class Written:
+    """What a batch of episodes leaves: entities (uuid, group_id, name, created), mentions (episode_uuid, entity_uuid), edges, episodes."""
+
+    entities: DataFrame
+    mentions: DataFrame
+    edges: DataFrame
+
+
+def claims_of(episodes: DataFrame) -> DataFrame:
+    """Repaired claims of raw texts with their episode's tenant and time: group_id, episode_uuid, pos, seq, subject, predicate, object, fact, valid_at."""
+    raw = extract(episodes.select(F.col("uuid").alias("episode_uuid"), "content"), "episode_uuid")
     times = episodes.select(F.col("uuid").alias("episode_uuid"), "group_id", F.col("reference_time").alias("valid_at"))
-    rows = rows.join(times, "episode_uuid").select(
-        "group_id", F.col("subject").alias("source_node_uuid"), F.col("canonical").alias("name"), F.col("object").alias("target_node_uuid"), "fact", "valid_at", F.array("episode_uuid").alias("episodes"),
-        F.struct("valid_at", "episode_uuid", "pos", "seq").alias("order"), F.concat_ws(":", "episode_uuid", "pos", "seq").alias("uuid"),
-    )
-    merged = rows.groupBy("group_id", "source_node_uuid", "name", "target_node_uuid").agg(F.min_by("uuid", "order").alias("uuid"), F.min_by("fact", "order").alias("fact"), F.min("valid_at").alias("valid_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("episodes")))).alias("e"))
-    return merged.select("group_id", "source_node_uuid", "name", "target_node_uuid", "uuid", "fact", "valid_at", F.array_join("e", ",").alias("episodes"))
+    return temporal.repair(raw).where("keep").drop("keep").join(times, "episode_uuid")
+
+
+def add_episodes(episodes: DataFrame, entities: DataFrame, aliases: DataFrame, frames: DataFrame) -> Written:
+    """Batch ingest: extract, repair, resolve and create entities, write facts through the cascade, link mentions.
+
+    Entities go by alias, then by name, else get a stable id of tenant and
+    folded name, so a second run makes the same ones.  Claims arrive in the
+    order of (time, episode, sentence, claim); equal open ones merge their
+    episodes.  Self-loops stay only for identity predicates.
+    """
+    told = claims_of(episodes)
+    names = told.select("group_id", "episode_uuid", F.explode(F.array("subject", "object")).alias("name")).withColumn("key", normalize_alias(F.col("name")))
+    known = aliases.groupBy("group_id", F.col("normalized_alias").alias("key")).agg(F.min("entity_uuid").alias("by_alias"))
+    own = entities.groupBy("group_id", normalize_alias(F.col("name")).alias("key")).agg(F.min("uuid").alias("by_name"))
+    keys = names.groupBy("group_id", "key").agg(F.min("name").alias("name")).join(known, ["group_id", "key"], "left").join(own, ["group_id", "key"], "left")
+    fresh = F.concat(F.lit("n:"), "group_id", F.lit(":"), "key")
+    ids = keys.select("group_id", "key", "name", F.coalesce("by_alias", "by_name", fresh).alias("uuid"), F.coalesce("by_alias", "by_name").isNull().alias("created"))
+    rows = told.withColumns({"ks": normalize_alias(F.col("subject")), "ko": normalize_alias(F.col("object"))})
+    rows = rows.join(ids.select("group_id", F.col("key").alias("ks"), F.col("uuid").alias("source_node_uuid")), ["group_id", "ks"])
+    rows = rows.join(ids.select("group_id", F.col("key").alias("ko"), F.col("uuid").alias("target_node_uuid")), ["group_id", "ko"])
+    rows = rows.where((F.col("source_node_uuid") != F.col("target_node_uuid")) | F.col("predicate").isin(*IDENTITY_PREDICATES))
+    order = F.struct("valid_at", "episode_uuid", "pos", "seq")
+    rows = rows.select("group_id", "source_node_uuid", F.col("predicate").alias("relation"), "target_node_uuid", "fact", "valid_at", "episode_uuid", order.alias("order"), F.concat_ws(":", "episode_uuid", "pos", "seq").alias("uuid"))
+    # only the order within a tenant matters
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("group_id").orderBy("order")).cast("long")).drop("order")
+    edges = write.write_facts(rows.drop("episode_uuid"), frames)
+    told_by = write.claims(rows.drop("episode_uuid"), frames).select("uuid", *write.SLOT, "target_node_uuid", "seq").join(rows.select("uuid", "episode_uuid", "fact"), "uuid")
+    # a claim belongs to the edge of its slot and object that was open when it came
+    same = [*write.SLOT, "target_node_uuid"]
+    spans = edges.select(F.col("uuid").alias("edge"), *same, F.col("seq").alias("from"), F.col("merged_to").alias("to"))
+    cited = told_by.join(spans, same).where("seq >= `from` and (`to` is null or seq <= `to`)")
+    first = cited.groupBy("edge").agg(F.array_join(F.array_sort(F.collect_set("episode_uuid")), ",").alias("episodes"), F.min_by("fact", "seq").alias("fact"))
+    edges = edges.join(first, edges["uuid"] == first["edge"]).drop("edge")
+    mentions = names.join(ids.select("group_id", "key", "uuid"), ["group_id", "key"]).select("episode_uuid", F.col("uuid").alias("entity_uuid")).distinct()
+    made = ids.groupBy("uuid").agg(F.min("group_id").alias("group_id"), F.min("name").alias("name"), F.first("created").alias("created"))
+    return Written(made, mentions, edges)
 
 
 def _events(spark: SparkSession, path: str) -> DataFrame:
