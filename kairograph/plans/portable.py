@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kairograph.functions import frames
 from kairograph.sources import pack
 from kairograph.sources.hooks import extract
-from kairograph.streaming import ingest
+from kairograph.streaming import ingest, passes
 
 from .registry import query
 from .scalars import texts
@@ -121,13 +121,17 @@ def st_slot_state(g):
     return ingest.stream_slots(g.spark, f"{g.sf_dir}/events.parquet")
 
 
-@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events), i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n FROM i GROUP BY user_id, k""")
+_IDLE_HOURS = 6
+_PASSES = f"""g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {_IDLE_HOURS} HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g), n AS (SELECT *, (row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) - 1) // 5 AS chunk FROM i),
+c AS (SELECT user_id, session, chunk, count(*) AS n, max(ts) AS last FROM n GROUP BY 1, 2, 3), f AS (SELECT *, lead(session) OVER (PARTITION BY user_id ORDER BY session, chunk) IS NOT NULL OR epoch_ms(last + INTERVAL {_IDLE_HOURS} HOUR) < (SELECT epoch_ms(max(ts)) FROM events) AS quiet FROM c)"""
+
+
+@query(f"""WITH {_PASSES} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY session, chunk) AS pass_no, n, CASE WHEN n = 5 THEN last ELSE last + INTERVAL {_IDLE_HOURS} HOUR END AS fired_at, CASE WHEN n = 5 THEN 'count' ELSE 'idle' END AS reason FROM f WHERE n = 5 OR quiet""")
 def st_debounce(g):
-    """Sessions of quiet tenants: a pass fires when a tenant was quiet for the gap."""
-    rows = g.raw("events").select("user_id", "ts")
-    out = rows.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
-    return out.select("user_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
+    """A stream with keyed state and timers: a tenant's pass fires at five pending rows or after six quiet hours."""
+    fired = passes.stream_passes(g.spark, f"{g.sf_dir}/events.parquet", 5, _IDLE_HOURS * 3600)
+    return fired.withColumn("fired_at", F.col("fired_at").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n, max(ts) AS last_at FROM events GROUP BY 1, 2")
@@ -232,27 +236,29 @@ def st_recover(g):
     return ingest.recovered_counts(g.spark, f"{g.sf_dir}/events.parquet")
 
 
-@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+_LATE = "CASE WHEN event_id % 11 = 0 THEN ts - INTERVAL 10 DAY ELSE ts END"
+
+
+@query(f"""WITH e AS (SELECT f.*, ({_LATE}) AS told FROM kg_fact f JOIN events ON event_id = seq), l AS (SELECT *, lag(target_node_uuid) OVER w AS prior, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY group_id, source_node_uuid, name ORDER BY seq)),
+c AS (SELECT *, lag(uuid) OVER w AS closes, lag(told) OVER w AS closed_at FROM l WHERE k = 1 OR target_node_uuid <> prior WINDOW w AS (PARTITION BY group_id, source_node_uuid, name ORDER BY seq))
+SELECT uuid, told AS valid_at, closes, coalesce(told < closed_at, false) AS late FROM c""")
 def st_late_data(g):
-    """Event-time windows; the watermark bounds state and, over a whole table, drops nothing."""
-    rows = g.raw("events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return rows.select(F.col("window.start").alias("day"), "event_type", "n", "total")
+    """Arrival decides: a fact that is late in its valid time still closes the newer one before it."""
+    rows = ingest.stream_slots(g.spark, f"{g.sf_dir}/events.parquet", _LATE).withColumn("valid_at", F.col("valid_at").cast("timestamp_ntz"))
+    closed = rows.select(F.col("uuid").alias("closes"), F.col("valid_at").alias("closed_at"))
+    return rows.join(closed, "closes", "left").select("uuid", "valid_at", "closes", F.coalesce(F.col("valid_at") < F.col("closed_at"), F.lit(False)).alias("late"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY 1")
+@query("SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE count(*) END AS n, CASE WHEN user_id % 3 = 0 THEN 'this tenant''s step fails' END AS error FROM events GROUP BY user_id")
 def st_isolation(g):
-    """A failing tenant's step is isolated: its rows go to the error table, the others are processed."""
+    """A failing tenant's step is isolated: its error is kept, the others are processed."""
     return ingest.isolated_counts(g.spark, f"{g.sf_dir}/events.parquet")
 
 
-@query("""WITH p AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT user_id, ((n - 1) // 5)::BIGINT AS pass_no, max(ts) AS fired_at, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) = 5""")
+@query(f"""WITH {_PASSES} SELECT user_id, coalesce(sum(n) FILTER (NOT (n = 5 OR quiet)), 0)::BIGINT AS pending, count(*) FILTER (n = 5 OR quiet) AS passes FROM f GROUP BY user_id""")
 def st_state(g):
-    """Pending rows per tenant: a pass fires whenever five are pending."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = g.raw("events").select("user_id", "ts", F.floor((n - 1) / 5).alias("pass_no"))
-    return rows.groupBy("user_id", "pass_no").agg(F.max("ts").alias("fired_at"), F.count("*").alias("n")).where("n = 5")
+    """Pending rows and passes of every tenant, read from the stream's state store."""
+    return passes.pending_state(g.spark, f"{g.sf_dir}/events.parquet", 5, _IDLE_HOURS * 3600)
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

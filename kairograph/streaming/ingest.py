@@ -72,15 +72,32 @@ def add_episodes(episodes: DataFrame, entities: DataFrame, aliases: DataFrame, f
     return Written(made, mentions, edges)
 
 
-def _events(spark: SparkSession, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over one file, or over the files of a folder, one at a time."""
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(_EVENTS).option("pathGlobFilter", name).parquet(folder)
+    stream = spark.readStream.schema(_EVENTS).option("maxFilesPerTrigger", 1)
+    return stream.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else stream.parquet(path)
 
 
-def _run(spark: SparkSession, stream: DataFrame, tag: str, each, mode: str = "append") -> None:
-    at = f"{_shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(each).start()
-    q.awaitTermination()
+def run_epochs(spark: SparkSession, stream: DataFrame, at: str, shape=None, fail=None) -> None:
+    """Writes what each micro-batch adds below ``at/epochs``; a replayed batch overwrites itself.
+
+    ``shape`` reduces a batch before it is written; ``fail`` may raise after the write.
+    """
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        (batch if shape is None else shape(batch)).write.mode("overwrite").parquet(f"{at}/epochs/epoch={epoch}")
+        if fail is not None:
+            fail(epoch)
+
+    stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+
+
+def read_epochs(spark: SparkSession, at: str, schema: str) -> DataFrame:
+    """What all micro-batches wrote; to be merged by the reader, so no batch rewrites what earlier ones left."""
+    if not _exists(spark, f"{at}/epochs"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{at}/epochs/*")
 
 
 def slot_changes(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -97,28 +114,27 @@ def slot_changes(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator
     yield pd.DataFrame(out, columns=["group_id", "source_node_uuid", "name", "target_node_uuid", "uuid", "valid_at", "closes"])
 
 
-def stream_slots(spark: SparkSession, path: str) -> DataFrame:
-    """Changes of every slot, from a stream with keyed state written through foreachBatch."""
+def stream_slots(spark: SparkSession, path: str, late: str = "ts") -> DataFrame:
+    """Changes of every slot, from a stream with keyed state.
+
+    Rows count in the order of their arrival: one that is late in its valid time
+    (``late`` is that time's expression) still closes a newer one.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    events = _events(spark, path).select(
+    events = read_events(spark, path).select(
         F.concat(F.lit("u"), F.col("user_id") % 8).alias("group_id"),
         F.concat(F.lit("user:"), "user_id").alias("source_node_uuid"),
         F.col("event_type").alias("name"),
         F.concat(F.lit("u"), F.col("user_id") % 8, F.lit(":obj:"), F.get_json_object("props", "$.k").cast("long") % 5).alias("target_node_uuid"),
         F.concat(F.lit("e"), "event_id").alias("uuid"),
         F.col("event_id").alias("seq"),
-        F.col("ts").cast("timestamp").alias("valid_at"),
+        F.expr(late).cast("timestamp").alias("valid_at"),
     )
     changes = events.groupBy("group_id", "source_node_uuid", "name").applyInPandasWithState(slot_changes, _CHANGE, "obj string, edge string, seq long", "append", GroupStateTimeout.NoTimeout)
-    out = f"{_shared_dir(spark)}/slots-{uuid.uuid4().hex}"
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a replayed epoch overwrites itself
-
-    _run(spark, changes, "slots", each)
-    schema = spark.createDataFrame([], _CHANGE).schema
-    return spark.read.schema(schema).parquet(f"{out}/*") if _exists(spark, out) else spark.createDataFrame([], _CHANGE)
+    at = f"{_shared_dir(spark)}/slots-{uuid.uuid4().hex}"
+    run_epochs(spark, changes, at)
+    return read_epochs(spark, at, _CHANGE)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -127,95 +143,74 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def stream_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Counts by slot kept in a table that every micro-batch upserts; versions are whole, so a replay is harmless."""
-    out = f"{_shared_dir(spark)}/counts-{uuid.uuid4().hex}"
-    schema = "user_id long, event_type string, n long, last_at timestamp_ntz"
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        new = batch.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last_at"))
-        old = spark.read.schema(schema).parquet(f"{out}/v{epoch - 1}") if epoch else None
-        both = new if old is None else new.union(old).groupBy("user_id", "event_type").agg(F.sum("n").alias("n"), F.max("last_at").alias("last_at"))
-        both.write.mode("overwrite").parquet(f"{out}/v{epoch}")
-
-    _run(spark, _events(spark, path), "counts", each)
-    return _last(spark, out, schema)
-
-
-def _list(spark: SparkSession, path: str) -> list:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return list(fs.listStatus(p)) if fs.exists(p) else []
+    """user_id, event_type, n, last_at: every micro-batch adds its own counts, readers add them up."""
+    at = f"{_shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    run_epochs(spark, read_events(spark, path), at, lambda b: b.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last_at")))
+    rows = read_epochs(spark, at, "user_id long, event_type string, n long, last_at timestamp_ntz")
+    return rows.groupBy("user_id", "event_type").agg(F.sum("n").alias("n"), F.max("last_at").alias("last_at"))
 
 
 def stream_latest(spark: SparkSession, path: str) -> DataFrame:
-    """event_id, value: the newest value of every key, merged micro-batch by micro-batch."""
-    out, schema = f"{_shared_dir(spark)}/latest-{uuid.uuid4().hex}", "event_id long, ts timestamp_ntz, value double"
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        new = batch.select("event_id", "ts", "value")
-        new = new if not epoch else new.union(spark.read.schema(schema).parquet(f"{out}/v{epoch - 1}"))
-        best = new.groupBy("event_id").agg(F.max(F.struct("ts", "value")).alias("b"))
-        best.select("event_id", "b.ts", "b.value").write.mode("overwrite").parquet(f"{out}/v{epoch}")
-
-    twice = _events(spark, path).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")
-    _run(spark, twice, "latest", each)
-    return _last(spark, out, schema).select("event_id", "value")
-
-
-def _last(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    names = [s.getPath().getName() for s in _list(spark, out)]
-    last = max(names, key=lambda n: int(n[1:]), default=None)
-    return spark.read.schema(schema).parquet(f"{out}/{last}") if last else spark.createDataFrame([], schema)
+    """event_id, value: the newest value of every key; each micro-batch adds its newest, readers take the newest of all."""
+    at = f"{_shared_dir(spark)}/latest-{uuid.uuid4().hex}"
+    best = lambda rows: rows.groupBy("event_id").agg(F.max(F.struct("ts", "value")).alias("b")).select("event_id", "b.ts", "b.value")
+    twice = read_events(spark, path).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")
+    run_epochs(spark, twice, at, best)
+    return best(read_epochs(spark, at, "event_id long, ts timestamp_ntz, value double")).select("event_id", "value")
 
 
 def recovered_counts(spark: SparkSession, path: str) -> DataFrame:
     """user_id, n from a query that fails once in its first batch and is started again on the same checkpoint."""
-    out, schema = f"{_shared_dir(spark)}/recovered-{uuid.uuid4().hex}", "user_id long, n long"
-    failed: list[int] = []
+    at, failed = f"{_shared_dir(spark)}/recovered-{uuid.uuid4().hex}", []
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch.groupBy("user_id").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    def fail(epoch: int) -> None:
         if not failed:
             failed.append(epoch)
             raise RuntimeError("the first attempt is lost after its write")
 
-    stream = _events(spark, path)
-    writer = stream.writeStream.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).foreachBatch(each)
-    try:
-        writer.start().awaitTermination()
-    except Exception:
-        if not failed:
-            raise
-    writer.start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/*").groupBy("user_id").agg(F.sum("n").alias("n"))
+    counted = lambda b: b.groupBy("user_id").agg(F.count("*").alias("n"))
+    for _ in range(2):
+        try:
+            run_epochs(spark, read_events(spark, path), at, counted, fail)
+        except Exception:
+            if len(failed) != 1:
+                raise
+    return read_epochs(spark, at, "user_id long, n long").groupBy("user_id").agg(F.sum("n").alias("n"))
 
 
 def isolated_counts(spark: SparkSession, path: str) -> DataFrame:
-    """user_id, n of tenants whose step succeeds; a third of the tenants raise and are set aside."""
+    """user_id, n, error: each tenant's step of each micro-batch by itself; a third of the tenants raise and are set aside.
 
-    def step(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        try:
-            if key[0] % 3 == 0:
-                raise ValueError("this tenant's step fails")
-            return pd.DataFrame({"user_id": [key[0]], "n": [len(frame)], "error": [None]})
-        except ValueError as e:
-            return pd.DataFrame({"user_id": [key[0]], "n": [0], "error": [str(e)]})
+    The step sees a tenant's counts, which combine before the shuffle, so no task holds a tenant's rows.
+    """
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                try:
+                    if r.user_id % 3 == 0:
+                        raise ValueError("this tenant's step fails")
+                    out.append((r.user_id, r.n, None))
+                except ValueError as e:
+                    out.append((r.user_id, 0, str(e)))
+            yield pd.DataFrame(out, columns=["user_id", "n", "error"])
 
-    rows = spark.read.schema(_EVENTS).parquet(path).select("user_id", "event_id")
-    done = rows.groupBy("user_id").applyInPandas(step, "user_id long, n long, error string")
-    return done.where("error is null").select("user_id", "n")
+    at, schema = f"{_shared_dir(spark)}/isolated-{uuid.uuid4().hex}", "user_id long, n long, error string"
+    run_epochs(spark, read_events(spark, path), at, lambda b: b.groupBy("user_id").agg(F.count("*").alias("n")).mapInPandas(step, schema))
+    return read_epochs(spark, at, schema).groupBy("user_id").agg(F.sum("n").alias("n"), F.max("error").alias("error"))
 
 
 def stopped_counts(spark: SparkSession, path: str) -> DataFrame:
     """event_type, n from a query without an end that is stopped once all input was processed."""
-    out, schema = f"{_shared_dir(spark)}/stopped-{uuid.uuid4().hex}", "event_type string, n long"
+    at = f"{_shared_dir(spark)}/stopped-{uuid.uuid4().hex}"
 
     def each(batch: DataFrame, epoch: int) -> None:
-        batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{at}/epochs/epoch={epoch}")
 
-    q = _events(spark, path).writeStream.option("checkpointLocation", f"{out}-checkpoint").foreachBatch(each).start()
+    q = read_events(spark, path).writeStream.option("checkpointLocation", f"{at}/checkpoint").foreachBatch(each).start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    return spark.read.schema(schema).parquet(f"{out}/*").groupBy("event_type").agg(F.sum("n").alias("n"))
+    return read_epochs(spark, at, "event_type string, n long").groupBy("event_type").agg(F.sum("n").alias("n"))
