@@ -24,12 +24,14 @@ def ascii_lower(col: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a folder below the
+    Only in local mode, where the session names none, a folder below the
     driver's temporary folder is used instead.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
     if own not in _OWN:
         import atexit

@@ -9,14 +9,13 @@ trigrams (``hex``) scans every row.  Blocks are Arrow batches, so nothing is
 shuffled and memory is bounded by a batch.
 
 Defined results: a null text is empty and has no spans; every input row gives
-one output row; an empty table gives an empty result; other columns are not
+one output row; a text of any length is scanned whole; an empty table gives an empty result; other columns are not
 read.  Offsets are code points, ends exclusive; expressions are ASCII-only in
 their case folding.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import re._constants as C
 import re._parser as parser
@@ -46,11 +45,12 @@ BASE = (
 )
 #: Kinds the method adds.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # to its END line, or over the lines of base64 that follow where none comes before the next mark
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*-----END [A-Z ]*PRIVATE KEY-----|(?:\s*\n[A-Za-z0-9+/=]{16,}(?!\S))*)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,128}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@"),
 )
 #: A query is True (no condition), a trigram, or ("and" | "or", parts).
 Query = bool | bytes | tuple[str, tuple]
@@ -144,13 +144,16 @@ def _leaves(q: Query) -> set[bytes]:
 
 
 class TrigramIndex:
-    """Postings of the wanted trigrams over one block of texts (UTF-8, folded)."""
+    """Postings of the wanted trigrams (a table by code) over one block of texts (UTF-8, folded)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, wanted: set[bytes]):
+    @staticmethod
+    def table(wanted: set[bytes]) -> np.ndarray:
+        out = np.zeros(1 << 24, dtype=bool)
+        out[[int.from_bytes(t, "big") for t in wanted]] = True
+        return out
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
         self.n = len(offsets) - 1
-        codes = np.sort(np.array([int.from_bytes(t, "big") for t in wanted], dtype=np.uint32))
-        table = np.zeros(1 << 24, dtype=bool)
-        table[codes] = True
         hits, rows = [], []
         step = 1 << 20
         for at in range(0, max(len(data) - 2, 0), step):
@@ -195,18 +198,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = set().union(*(_leaves(q) for _, _, q, _ in asked))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = TrigramIndex.table(wanted)
         for batch in batches:
             text = batch.column(1)
             buffers = text.buffers()
             width = np.int64 if pa.types.is_large_string(text.type) else np.int32
             offsets = np.frombuffer(buffers[1], width)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
             data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
-            index = TrigramIndex(data[offsets[0] : offsets[-1]], offsets - offsets[0], wanted)
+            index = TrigramIndex(data[offsets[0] : offsets[-1]], offsets - offsets[0], table)
             found: list[list] = [[] for _ in range(len(text))]
             texts: dict[int, str] = {}
             for k, rule, query, regex in asked:
                 for i in index.rows_of(query).tolist():
-                    value = text[i].as_py() if query is True else texts.setdefault(i, text[i].as_py())
+                    value = texts[i] if i in texts else text[i].as_py()
+                    if query is not True:
+                        texts[i] = value
                     for m in regex.finditer(value or ""):
                         if m.end(rule.group) - m.start(rule.group) >= rule.least:
                             found[i].append((m.start(), k, m.end()))
@@ -223,7 +229,3 @@ def rendered(spans, kinds: tuple[str, ...] | None = None):
     """Column: ``kind:start:end`` joined by commas, optionally of some kinds only."""
     kept = F.filter(spans, lambda s: s["kind"].isin(*kinds)) if kinds else spans
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
-def sha256_text(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

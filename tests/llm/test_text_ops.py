@@ -288,6 +288,9 @@ def test_secrets(spark, tiny):
         "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abcdefg_-",
         "ſecret=abcdefghi toKen=abcdefghi",
         "pass" + "word=abcdefgh" * 20_000,
+        "https://user:" + "p" * 200 + "@host https://" + "u" * 65 + ":pw12@host",
+        "-----BEGIN PRIVATE KEY-----\n" + "MIIabc+/" * 8 + "\nshort==\n-----END PRIVATE KEY----- tail",
+        "-----BEGIN EC PRIVATE KEY-----\n" + "QUJD" * 16 + "\nplain words -----BEGIN PRIVATE KEY----- more words",
     ]
     texts = hard + [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").select("text").collect()]
     rows = [(k, t, "s") for k, t in enumerate(texts)] + [(None, hard[3], "s"), (2, hard[2], "s")]
@@ -298,6 +301,17 @@ def test_secrets(spark, tiny):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_open_bounds_and_key_bodies():
+    kinds = {r.kind: re.compile(r.pattern) for r in secrets.MORE}
+    assert kinds["url_login"].search("https://user:" + "p" * 500 + "@host").group().endswith("p@")
+    assert kinds["url_login"].search("git+ssh://" + "u" * 300 + ":pw12@host")
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4\n\n" + "QUJD" * 16 + "\nQQ==\n-----END RSA PRIVATE KEY-----"
+    assert kinds["private_key"].search(f"x {key} y").group() == key
+    cut = "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 16 + "\n" + "REVG" * 16
+    assert kinds["private_key"].search(f"{cut}\nplain words follow").group() == cut
+    assert kinds["private_key"].search("-----BEGIN PRIVATE KEY----- only words").group() == "-----BEGIN PRIVATE KEY-----"
+
+
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.BASE + secrets.MORE}
     assert q["hex"] is True
