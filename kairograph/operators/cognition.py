@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairograph.functions.decay import clip01, effective_confidence, memory_class
-from kairograph.functions.keys import snake_case
+from kairograph.functions.keys import slug, snake_case, stable_uuid
 from kairograph.functions.text import TERM_STOPWORDS, affect_lexicon, classify_episode, clean_goal_name, goal_phrases, looks_like_belief
 
 from .filters import active
@@ -181,3 +183,24 @@ def prediction(goals_: DataFrame, domains: DataFrame, labels: DataFrame) -> Data
     m = interaction_mode(labels).select("group_id", "label")
     out = d.join(g, "group_id", "full").join(m, "group_id", "full")
     return out.select("group_id", F.concat_ws(" | ", F.concat(F.lit("goals: "), "goals"), F.concat(F.lit("domains: "), "domains"), F.concat(F.lit("mode: "), "label")).alias("prediction"))
+
+
+def self_model(rows: DataFrame, least: float = 0.5) -> DataFrame:
+    """group_id, type, uuid, confidence, n_sources: structured self-episodes become traits, patterns and beliefs held with ``least`` confidence."""
+    got = rows.select("group_id", *[F.get_json_object("content", f"$.{k}").alias(k) for k in ("type", "name")], F.get_json_object("content", "$.confidence").cast("double").alias("confidence"))
+    kept = got.where((F.col("type").isNotNull()) & ((F.col("type") != "belief") | (F.col("confidence") >= least)))
+    best = kept.groupBy("group_id", "type", slug(F.col("name")).alias("slug")).agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_sources"))
+    return best.select("group_id", "type", stable_uuid("self", F.col("group_id"), F.col("slug")).alias("uuid"), "confidence", "n_sources")
+
+
+def run_pass(spark: SparkSession, steps: dict[str, Callable[[], DataFrame]], folder: str) -> DataFrame:
+    """step, name, n, error: every step's rows written below the folder, in order; one that fails leaves its error and ends nothing."""
+    done = []
+    for k, (name, step) in enumerate(steps.items()):
+        try:
+            rows = step()
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+            done.append((k, name, spark.read.schema(rows.schema).parquet(f"{folder}/{name}").count(), None))
+        except Exception as e:  # the pass goes on
+            done.append((k, name, 0, str(e)[:200]))
+    return spark.createDataFrame(done, "step int, name string, n long, error string")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; an own one only where the session names none."""
+    """The folder all executors share; an own one only in local mode where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     import os
     import tempfile
 
@@ -30,7 +32,8 @@ def _shared_dir(spark: SparkSession) -> str:
 _OWN: set[str] = set()
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read back: lineage is cut and nothing is computed twice."""
     path = f"{_shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -53,14 +56,14 @@ def components(edges: DataFrame, source: str = "source_node_uuid", target: str =
     combine before the shuffle and lineage is cut by writing each round.
     """
     pairs = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a <> b")
-    both = _written(pairs.union(pairs.select("b", "a")).distinct())
-    labels = _written(edges.select(F.explode(F.array(source, target)).alias("node")).distinct().select("node", F.col("node").alias("component")))
+    both = written(pairs.union(pairs.select("b", "a")).distinct())
+    labels = written(edges.select(F.explode(F.array(source, target)).alias("node")).distinct().select("node", F.col("node").alias("component")))
     while True:
         around = both.join(labels.select("node", "component"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         hop = labels.select("node", "component").join(around, F.col("node") == F.col("a"), "left").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        hop = _written(hop)
+        hop = written(hop)
         jump = hop.select(F.col("node").alias("j"), F.col("component").alias("further"))
-        new = _written(hop.join(jump, hop["component"] == jump["j"]).select("node", F.least("component", "further").alias("component"), "old"))
+        new = written(hop.join(jump, hop["component"] == jump["j"]).select("node", F.least("component", "further").alias("component"), "old"))
         done = not new.where("component <> old").take(1)
         for old in (labels, hop, *([both] if done else [])):
             _dropped(old)

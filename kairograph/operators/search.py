@@ -15,6 +15,7 @@ from kairograph.functions.text import ACCENTED, PLAIN, terms
 from kairograph.functions.vectors import cosine
 
 from .filters import SearchFilters, ego_edges, valid_now
+from .graph import written
 
 #: Fixed values.
 RRF_K, LIMIT, CANDIDATES, MMR_LAMBDA = 60, 10, 50, 0.5
@@ -46,8 +47,9 @@ def bm25(rows: DataFrame, query: str, text: str = "fact", k: int | None = CANDID
     """key, score by BM25 over the rows' own statistics.
 
     Only the query's terms are kept from the texts: term counts are expressions
-    over each row, and one aggregate gives N, the average length and every
-    document frequency.
+    over each row.  These narrow counts are written once, so texts are read and
+    split once; one aggregate over them gives N, the average length and every
+    document frequency, and scores need only the rows with a hit.
     """
     plain = query.lower().translate(str.maketrans(ACCENTED, PLAIN))
     wanted = sorted(set(re.findall("[a-z0-9]+", plain)))
@@ -55,6 +57,7 @@ def bm25(rows: DataFrame, query: str, text: str = "fact", k: int | None = CANDID
         return rows.select(key, F.lit(0.0).alias("score")).limit(0)
     t = rows.select(key, terms(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     t = t.select(key, F.size("t").alias("length"), *[F.size(F.filter("t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    t = written(t)
     stats = t.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     both = t.where(" or ".join(f"tf{i} > 0" for i in range(len(wanted)))).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)

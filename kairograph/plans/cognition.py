@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kairograph.functions.keys import fact_key
@@ -10,7 +12,7 @@ from kairograph.operators import cognition as C
 from kairograph.operators.filters import active, ntz
 from kairograph.sources.testgraph import NOW
 
-from .registry import query
+from .registry import PLANS, SQL, query
 from .scalars import EFFECTIVE_SQL, VITALITY_SQL, affect_sql, texts
 
 LIVE = "status = 'active' AND invalid_at IS NULL"
@@ -74,21 +76,30 @@ _PHRASES = " || ".join("regexp_extract_all(content, '{}', 1)".format(p.replace("
 _CLEAN = " AND ".join(["length(x) >= 4", "x NOT IN ({})".format(", ".join(f"'{n}'" for n in NO_GOALS)), *[f"x <> '{p.rstrip('_')}' AND NOT starts_with(x, '{p}')" for p in BAD_GOAL_PREFIXES]])
 
 
-@query(rf"""WITH f AS (SELECT uuid AS id, {_PHRASES} AS p FROM kg_text),
-c AS (SELECT id, list_filter(list_transform(p, lambda x: trim(regexp_replace(trim(x), '\s+', ' ', 'g'), ' ,.;:')), lambda x: length(x) BETWEEN 8 AND 200) AS p FROM f),
-n AS (SELECT id, list_transform(p, lambda x: coalesce(nullif(lower(trim(regexp_replace(x, '[^0-9A-Za-z]+', '_', 'g'), '_')), ''), 'unknown')) AS n FROM c), k AS (SELECT id, list_filter(n, lambda x: {_CLEAN}) AS n FROM n)
-SELECT id, n[1] AS goal, 0.55::DOUBLE AS confidence FROM k WHERE len(n) > 0""")
+_GOAL_CTES = rf"""f AS (SELECT uuid AS id, group_id, {_PHRASES} AS p FROM kg_text),
+c AS (SELECT id, group_id, list_filter(list_transform(p, lambda x: trim(regexp_replace(trim(x), '\s+', ' ', 'g'), ' ,.;:')), lambda x: length(x) BETWEEN 8 AND 200) AS p FROM f),
+n AS (SELECT id, group_id, list_transform(p, lambda x: coalesce(nullif(lower(trim(regexp_replace(x, '[^0-9A-Za-z]+', '_', 'g'), '_')), ''), 'unknown')) AS n FROM c), goals_ AS (SELECT id, group_id, n[1] AS goal FROM (SELECT id, group_id, list_filter(n, lambda x: {_CLEAN}) AS n FROM n) WHERE len(n) > 0)"""
+
+
+@query(f"WITH {_GOAL_CTES} SELECT id, goal, 0.55::DOUBLE AS confidence FROM goals_")
 def cg_goals(g):
     return C.goals(texts(g), "id")
 
 
-@query(rf"""WITH w AS (SELECT uuid, group_id, content, reference_time, lag(content) OVER (PARTITION BY group_id ORDER BY reference_time, uuid) AS prior, row_number() OVER (PARTITION BY group_id ORDER BY reference_time DESC, uuid DESC) AS r FROM kg_episode),
-c AS (SELECT *, len(regexp_extract_all(content, '\?')) AS qs, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS n,
- len(list_intersect(list_distinct(list_filter(list_transform(regexp_extract_all(content, '[a-zA-Z'']+'), lambda x: lower(x)), lambda x: length(x) > 3)), list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(prior, ''), '[a-zA-Z'']+'), lambda x: lower(x)), lambda x: length(x) > 3)))) AS overlap FROM w WHERE r <= 8),
-l AS (SELECT group_id, CASE WHEN content = '' THEN 'one_off_query' WHEN regexp_matches(content, '(?i)\b(?:best|optimal|optimi[sz]e|improve|better|tune|refine|tweak|sharper|tighter)\b') THEN 'optimization_request' WHEN qs = 0 AND n >= 60 THEN 'narrative_share'
- WHEN coalesce(prior, '') <> '' AND overlap >= 3 AND qs >= 1 THEN 'iterative_refinement' WHEN coalesce(prior, '') <> '' AND overlap >= 2 AND n < 40 THEN 'clarification' ELSE 'one_off_query' END AS label FROM c),
-k AS (SELECT group_id, label, count(*) AS n FROM l GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, label) AS p FROM k)
-SELECT group_id, label, n, round(least(1.0, 0.5 + 0.06 * n), 6)::DOUBLE AS confidence FROM b WHERE p = 1 AND n >= 5 AND label <> 'one_off_query'""")
+_LABEL = r"""CASE WHEN content = '' THEN 'one_off_query' WHEN regexp_matches(content, '(?i)\b(?:best|optimal|optimi[sz]e|improve|better|tune|refine|tweak|sharper|tighter)\b') THEN 'optimization_request' WHEN qs = 0 AND n >= 60 THEN 'narrative_share'
+ WHEN coalesce(prior, '') <> '' AND overlap >= 3 AND qs >= 1 THEN 'iterative_refinement' WHEN coalesce(prior, '') <> '' AND overlap >= 2 AND n < 40 THEN 'clarification' ELSE 'one_off_query' END"""
+
+
+def _modes(source: str) -> str:
+    """CTEs up to ``modes``: the label that holds most of the last eight texts of every tenant, at least five."""
+    return rf"""mw AS (SELECT uuid, group_id, content, reference_time, lag(content) OVER (PARTITION BY group_id ORDER BY reference_time, uuid) AS prior, row_number() OVER (PARTITION BY group_id ORDER BY reference_time DESC, uuid DESC) AS r FROM {source}),
+mc AS (SELECT *, len(regexp_extract_all(content, '\?')) AS qs, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS n,
+ len(list_intersect(list_distinct(list_filter(list_transform(regexp_extract_all(content, '[a-zA-Z'']+'), lambda x: lower(x)), lambda x: length(x) > 3)), list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(prior, ''), '[a-zA-Z'']+'), lambda x: lower(x)), lambda x: length(x) > 3)))) AS overlap FROM mw WHERE r <= 8),
+ml AS (SELECT group_id, {_LABEL} AS label FROM mc), mk AS (SELECT group_id, label, count(*) AS n FROM ml GROUP BY 1, 2), mb AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, label) AS p FROM mk),
+modes AS (SELECT group_id, label, n FROM mb WHERE p = 1 AND n >= 5)"""
+
+
+@query(f"WITH {_modes('kg_episode')} SELECT group_id, label, n, round(least(1.0, 0.5 + 0.06 * n), 6)::DOUBLE AS confidence FROM modes WHERE label <> 'one_off_query'")
 def cg_procedural(g):
     out = C.interaction_mode(C.interaction_labels(g.episode)).where("label <> 'one_off_query'")
     return out.withColumn("confidence", F.round(F.least(F.lit(1.0), 0.5 + 0.06 * F.col("n")), 6))
@@ -116,40 +127,31 @@ def cg_domains(g):
     return top.groupBy("source").agg(F.transform(ordered, lambda x: x["term"]).alias("t")).select("source", F.col("t")[0].alias("domain"), F.array_join("t", ",").alias("terms"))
 
 
-@query("""WITH c AS (SELECT group_id, domain, count(*) AS n FROM kg_entity WHERE domain IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, domain) AS k FROM c),
-g AS (SELECT group_id, string_agg(DISTINCT goal, ',' ORDER BY goal) AS goals FROM (VALUES ('u1', 'run_far'), ('u1', 'learn_rust'), ('u9', 'sail')) t(group_id, goal) GROUP BY 1), d AS (SELECT group_id, string_agg(domain, ',' ORDER BY k) AS domains FROM r WHERE k <= 5 GROUP BY 1)
-SELECT group_id, concat_ws(' | ', 'goals: ' || goals, 'domains: ' || domains) AS prediction FROM d FULL JOIN g USING (group_id)""")
+@query(f"""WITH {_GOAL_CTES}, {_modes('kg_text')}, dc AS (SELECT group_id, domain, count(*) AS n FROM kg_entity WHERE domain IS NOT NULL GROUP BY 1, 2), dr AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, domain) AS k FROM dc),
+gs AS (SELECT group_id, array_to_string(list_sort(list_distinct(list(goal)))[1:10], ',') AS goals FROM goals_ GROUP BY 1), d AS (SELECT group_id, string_agg(domain, ',' ORDER BY k) AS domains FROM dr WHERE k <= 5 GROUP BY 1)
+SELECT group_id, concat_ws(' | ', 'goals: ' || goals, 'domains: ' || domains, 'mode: ' || label) AS prediction FROM d FULL JOIN gs USING (group_id) FULL JOIN modes USING (group_id)""")
 def cg_prediction(g):
-    goals = g.spark.createDataFrame([("u1", "run_far"), ("u1", "learn_rust"), ("u9", "sail")], "group_id string, goal string")
-    none = g.spark.createDataFrame([], "group_id string, uuid string, label string")
-    return C.prediction(goals, g.entity.where("domain is not null").select("group_id", "domain"), none)
+    """Goals and interaction modes of the texts, domains of the entities."""
+    said = texts(g)
+    goals = C.goals(said, "id").join(said.select("id", "group_id"), "id").select("group_id", "goal")
+    return C.prediction(goals, g.entity.where("domain is not null").select("group_id", "domain"), C.interaction_labels(said.withColumnRenamed("id", "uuid")))
 
 
-_SELF = [
-    ("s1", "g1", '{"type":"trait","name":"Patient listener","confidence":0.8}'),
-    ("s2", "g1", '{"type":"belief","name":"Tests matter","confidence":0.4}'),
-    ("s3", "g1", '{"type":"belief","name":"Small steps win","confidence":0.9}'),
-    ("s4", "g2", '{"type":"pattern","name":"asks first","confidence":0.7}'),
-    ("s5", "g2", "free text without structure"),
-    ("s6", "g1", '{"type":"trait","name":"patient LISTENER","confidence":0.6}'),
-]
+_SLUG = "left(CASE WHEN {0} = '' THEN 'self_model' ELSE {0} END, 80)"
 
 
-@query()
+@query(f"""WITH j AS (SELECT group_id, json_extract_string(content, '$.type') AS type, json_extract_string(content, '$.name') AS name, json_extract_string(content, '$.confidence')::DOUBLE AS confidence FROM kg_self WHERE starts_with(content, '{{')),
+s AS (SELECT *, trim(regexp_replace(replace(lower(name), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_') AS v FROM j WHERE type <> 'belief' OR confidence >= 0.5), k AS (SELECT group_id, type, {_SLUG.format('v')} AS slug, max(confidence) AS confidence, count(*) AS n_sources FROM s GROUP BY 1, 2, 3),
+u AS (SELECT *, trim(regexp_replace(replace(lower(slug), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_') AS w FROM k)
+SELECT group_id, type, 'self_' || {_SLUG.format('w')} || '_' || substr(sha1(group_id || chr(0) || slug), 1, 12) AS uuid, confidence, n_sources FROM u""")
 def cg_self_awareness(g):
     """Structured self-episodes become traits, beliefs (confidence of 0.5 at least) and patterns with stable ids."""
-    from kairograph.functions.keys import slug, stable_uuid
-
-    rows = g.spark.createDataFrame(_SELF, "uuid string, group_id string, content string")
-    got = rows.select("uuid", "group_id", *[F.get_json_object("content", f"$.{k}").alias(k) for k in ("type", "name")], F.get_json_object("content", "$.confidence").cast("double").alias("confidence"))
-    kept = got.where("type is not null and (type <> 'belief' or confidence >= 0.5)")
-    best = kept.groupBy("group_id", "type", slug(F.col("name")).alias("slug")).agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_sources"))
-    return best.select("group_id", "type", stable_uuid("self", F.col("group_id"), F.col("slug")).alias("uuid"), "confidence", "n_sources")
+    return C.self_model(g.table("kg_self"))
 
 
-@query("""SELECT * FROM (VALUES ('s1', 'trait: Patient listener (0.8)'), ('s2', 'belief: Tests matter (0.4)'), ('s3', 'belief: Small steps win (0.9)'), ('s4', 'pattern: asks first (0.7)'), ('s5', 'free text without structure'), ('s6', 'trait: patient LISTENER (0.6)')) t(uuid, text)""")
+@query("""SELECT uuid, CASE WHEN starts_with(content, '{') THEN json_extract_string(content, '$.type') || ': ' || json_extract_string(content, '$.name') || ' (' || json_extract_string(content, '$.confidence') || ')' ELSE content END AS text FROM kg_self""")
 def cg_render_self(g):
-    rows = g.spark.createDataFrame(_SELF, "uuid string, group_id string, content string").select("uuid", "content", F.from_json("content", "type string, name string, confidence string").alias("j"))
+    rows = g.table("kg_self").select("uuid", "content", F.from_json("content", "type string, name string, confidence string").alias("j"))
     shown = F.concat("j.type", F.lit(": "), "j.name", F.lit(" ("), "j.confidence", F.lit(")"))
     return rows.select("uuid", F.coalesce(shown, "content").alias("text"))
 
@@ -162,28 +164,18 @@ def cg_synth_upsert(g):
     return rows.select(key.alias("fact_key"), "confidence")
 
 
-@query()
+_STEPS = ("affect", "beliefs", "reinforce", "weights", "traits", "goals", "procedural", "consolidate", "stagnant", "domains", "prediction", "self_awareness")
+_PENDING = "SELECT uuid FROM kg_episode WHERE cognition_processed_at IS NULL"
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS step, '{n}' AS name, (SELECT count(*) FROM ({SQL['cg_' + n]})) AS n, NULL::VARCHAR AS error" for k, n in enumerate(_STEPS)) + f" UNION ALL SELECT {len(_STEPS)}, 'processed', (SELECT count(*) FROM ({_PENDING})), NULL")
 def cg_run_pass(g):
-    """One pass over all tenants: each step isolated, with its row count; the episodes it read are marked."""
-    pending = g.episode.where("cognition_processed_at is null")
-    steps = {
-        "affect": lambda: C.affect(pending),
-        "reinforcement": lambda: C.reinforcement(g.fact, g.source_episode),
-        "weights": lambda: C.weights(g.fact, ntz(NOW)),
-        "traits": lambda: C.traits(C.trait_candidates(g.fact, ("error",))),
-        "goals": lambda: C.goals(pending),
-        "procedural": lambda: C.interaction_mode(C.interaction_labels(pending)),
-        "stagnant": lambda: C.stagnant(g.fact, ntz(NOW)),
-        "processed": lambda: pending.select("uuid"),
-    }
-    out = None
-    for k, (name, step) in enumerate(steps.items()):
-        try:
-            part = step().agg(F.count("*").alias("n")).select(F.lit(k).alias("step"), F.lit(name).alias("name"), "n", F.lit(None).cast("string").alias("error"))
-        except Exception as e:  # a failing step must not end the pass
-            part = g.spark.createDataFrame([(k, name, 0, str(e)[:200])], "step int, name string, n long, error string")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """One pass over all tenants: every step's rows written, each failure isolated, the episodes it read marked."""
+    from kairograph.operators.graph import _shared_dir
+
+    steps = {n: (lambda n=n: PLANS[f"cg_{n}"](g)) for n in _STEPS}
+    steps["processed"] = lambda: g.episode.where("cognition_processed_at is null").select("uuid", ntz(NOW).alias("cognition_processed_at"))
+    return C.run_pass(g.spark, steps, f"{_shared_dir(g.spark)}/pass-{uuid.uuid4().hex}")
 
 
 # -- read API ---------------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from kairograph.streaming import ingest, passes
 
 from .registry import query
 from .scalars import texts
+from .windows import slots_sql
 
 
 def _tables(g, group: str = "u1"):
@@ -154,22 +155,20 @@ def snk_pack_export_zip(g):
     return pack.validate_pack(g.spark, back)["entities"].select("uuid", "name", "summary")
 
 
-_TRIPLETS = [("ann", "Lives_In", "Paris", 1), ("ann", "resides_in", "Rome", 2), ("bob", "married_to", "ann", 3), ("ann", "wife_of", "bob", 4), ("bob", "likes", "tea", 5), ("bob", "likes", "tea", 6)]
+_TRIPLES = """SELECT f.*, 'assert' AS op, coalesce(r.canonical, lower(f.relation)) AS pred, coalesce(r.cardinality = 'one_current', false) AS one,
+CASE WHEN r.direction = 'symmetric' THEN least(source_node_uuid, target_node_uuid) ELSE source_node_uuid END AS s, CASE WHEN r.direction = 'symmetric' THEN greatest(source_node_uuid, target_node_uuid) ELSE target_node_uuid END AS o FROM kg_fact f LEFT JOIN kg_frame r ON r.alias = lower(f.relation)"""
 
 
-@query("""SELECT * FROM (VALUES ('ann', 'lives_in', 'Paris', 'superseded'), ('ann', 'lives_in', 'Rome', 'active'), ('ann', 'spouse_of', 'bob', 'active'), ('bob', 'likes', 'tea', 'active')) t(subject, predicate, object, status)""")
+@query(f"""WITH t AS ({_TRIPLES}), {slots_sql("SELECT uuid, seq, group_id, valid_at, op, pred AS name, s AS source_node_uuid, o AS target_node_uuid FROM t WHERE one")}
+SELECT group_id, source_node_uuid AS subject, name AS predicate, target_node_uuid AS object, status, n_asserts AS n FROM slots UNION ALL SELECT group_id, s, pred, o, 'active', count(*) FROM t WHERE NOT one GROUP BY group_id, s, pred, o""")
 def tf_add_triplet(g):
-    """Direct triples: aliases resolve, symmetric ends are ordered, a one_current slot keeps the newcomer."""
-    from kairograph.operators import temporal
+    """Direct triples: aliases resolve, symmetric ends are ordered, a one_current slot keeps the newcomer, equal ones merge."""
+    from kairograph.operators import write
 
-    rows = g.spark.createDataFrame(_TRIPLETS, "source_node_uuid string, relation string, target_node_uuid string, seq long")
-    rows = temporal.resolve_frames(rows, g.frame)
-    s, o = temporal.symmetric()
-    rows = rows.withColumns({"source_node_uuid": s, "target_node_uuid": o, "name": F.col("canonical"), "group_id": F.lit("g"), "uuid": F.concat(F.lit("t"), "seq"), "valid_at": F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(cast(seq as int))")})
-    one = F.coalesce(F.col("cardinality") == "one_current", F.lit(False))
-    closed = temporal.close_slots(rows.where(one)).select("source_node_uuid", "name", "target_node_uuid", "status")
-    rest = rows.where(~one).select("source_node_uuid", "name", "target_node_uuid", F.lit("active").alias("status")).distinct()
-    return closed.union(rest).toDF("subject", "predicate", "object", "status")
+    rows = g.fact.select("uuid", "seq", "group_id", "source_node_uuid", "relation", "target_node_uuid", "valid_at")
+    out = write.close(write.claims(rows, g.frame))
+    status = F.when(F.col("closed_seq").isNull(), "active").otherwise("superseded")
+    return out.select("group_id", F.col("source_node_uuid").alias("subject"), F.col("name").alias("predicate"), F.col("target_node_uuid").alias("object"), status.alias("status"), F.col("n_claims").alias("n"))
 
 
 @query()
@@ -194,12 +193,13 @@ def tf_self_episode(g):
     return g.episode.where(F.col("source").startswith("self_")).groupBy(F.concat(F.lit("assistant:"), "group_id").alias("subject"), predicate.alias("predicate")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES (0, 0, 'Ann', 'likes', 'tea', 'assert', 'objective', 1.0::DOUBLE), (0, 0, 'Ann', 'likes', 'milk', 'assert', 'objective', 1.0::DOUBLE), (0, 1, 'Bob', 'related_to', 'Cy', 'terminate', 'goal', 0.5::DOUBLE)) t(id, pos, subject, predicate, object, operation, memory_class, confidence)""")
+@query("""WITH e AS (SELECT event_id AS id, user_id, event_type, unnest(CASE WHEN event_id % 2 = 0 THEN ['tea', 'milk'] ELSE ['tea'] END) AS object FROM events)
+SELECT id, 0 AS pos, 'user ' || user_id AS subject, CASE WHEN id % 7 = 0 THEN 'related_to' ELSE event_type END AS predicate, object, CASE id % 4 WHEN 0 THEN 'terminate' WHEN 3 THEN 'noop' ELSE 'assert' END AS operation, CASE WHEN id % 3 = 0 THEN 'goal' ELSE 'objective' END AS memory_class, CASE WHEN id % 5 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence FROM e""")
 def udtf_parse_extraction(g):
+    """A model's JSON answer per event as fact rows."""
     from kairograph.sources.hooks import parse_extraction
 
-    answer = '{"facts":[{"subject":"Ann","predicate":"likes","objects":["tea","milk"],"operation":"frobnicate","memory_class":"odd","confidence":"high"},{"subject":"Bob","predicate":" ","object":"Cy","operation":"Terminate","memory_class":"Goal","confidence":"0.5"}]}'
-    return parse_extraction(g.spark.createDataFrame([(0, answer)], "id int, json string"), "id").drop("fact")
+    return parse_extraction(g.table("kg_answer"), "id").drop("fact")
 
 
 @query(r"""WITH t AS (SELECT uuid AS id, unnest(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '')) AS tok FROM kg_text),

@@ -16,7 +16,6 @@ from .windows import SLOT_COLUMNS, closed, slots_sql
 
 KEY_SQL = "trim(group_id) || '::' || trim(source_node_uuid) || '::' || lower(name) || '::' || trim(target_node_uuid)"
 _ASOF = "TIMESTAMP '2024-01-20 00:00:00'"
-_JUDGE = "has_cue AND (lower(new_subject) = lower(subject) OR lower(new_object) = lower(object) OR shared >= 1)"
 
 
 @query(f"WITH {slots_sql()} SELECT group_id, source_node_uuid, name, target_node_uuid, uuid, valid_at, invalid_at FROM slots WHERE valid_at <= {_ASOF} AND (invalid_at IS NULL OR invalid_at > {_ASOF})")
@@ -188,13 +187,16 @@ def tf_L3_contradiction(g):
     return T.contradicted(said, O.active()).where("closed_by_seq is not null")
 
 
-@query(r"""WITH p(id, new_fact, fact, new_subject, subject, new_object, object) AS (VALUES (1, 'Ann moved to Rome', 'Ann lives in Paris', 'Ann', 'ann', 'Rome', 'Paris'), (2, 'Ann likes Rome', 'Ann lives in Paris', 'Ann', 'Ann', 'Rome', 'Paris'), (3, 'Bob no longer works', 'Cy sings', 'Bob', 'Cy', 'w', 's'), (4, 'He stopped singing songs', 'She is singing', 'He', 'She', 'x', 'y')),
-w AS (SELECT *, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(new_fact), '[^a-z0-9_]+'), lambda x: length(x) > 2)), list_distinct(list_filter(regexp_split_to_array(lower(fact), '[^a-z0-9_]+'), lambda x: length(x) > 2)))) AS shared, regexp_matches(lower(new_fact), 'not |no longer|moved|changed|stopped|former') AS has_cue FROM p)
-SELECT id, """ + _JUDGE + " AS contradicts FROM w")
+@query(r"""WITH p AS (SELECT uuid AS id, content AS new_fact, lag(content) OVER w AS fact, source AS new_subject, lag(source) OVER w AS subject, '' AS new_object, '' AS object FROM kg_text WINDOW w AS (PARTITION BY group_id ORDER BY seq)),
+w AS (SELECT *, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(new_fact), '[^\p{L}\p{N}_]+'), lambda x: length(x) > 2)), list_distinct(list_filter(regexp_split_to_array(lower(fact), '[^\p{L}\p{N}_]+'), lambda x: length(x) > 2)))) AS shared, regexp_matches(lower(new_fact), 'not |no longer|moved|changed|stopped|former') AS has_cue FROM p WHERE fact IS NOT NULL)
+SELECT id, has_cue AND (lower(new_subject) = lower(subject) OR shared >= 1) AS contradicts FROM w""")
 def tf_judge_stub(g):
-    rows = [(1, "Ann moved to Rome", "Ann lives in Paris", "Ann", "ann", "Rome", "Paris"), (2, "Ann likes Rome", "Ann lives in Paris", "Ann", "Ann", "Rome", "Paris"), (3, "Bob no longer works", "Cy sings", "Bob", "Cy", "w", "s"), (4, "He stopped singing songs", "She is singing", "He", "She", "x", "y")]
-    p = g.spark.createDataFrame(rows, "id int, new_fact string, fact string, new_subject string, subject string, new_object string, object string")
-    return p.select("id", T.judge(p).alias("contradicts"))
+    """Each text against the one before it in its tenant."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("group_id").orderBy("seq")
+    p = g.text.select(F.col("uuid").alias("id"), F.col("content").alias("new_fact"), F.lag("content").over(w).alias("fact"), F.col("source").alias("new_subject"), F.lag("source").over(w).alias("subject"), F.lit("").alias("new_object"), F.lit("").alias("object"))
+    return p.where("fact is not null").select("id", T.judge(p).alias("contradicts"))
 
 
 @query("SELECT a.uuid, count(*) AS n_peers, min(b.seq) AS first_peer FROM kg_fact a JOIN kg_fact b ON a.group_id = b.group_id AND a.target_node_uuid = b.target_node_uuid AND a.source_node_uuid <> b.source_node_uuid AND b.seq < a.seq AND a.is_belief = b.is_belief GROUP BY a.uuid")

@@ -166,6 +166,17 @@ TEXT = {
     "content": f"{saying('conv_id * 7 + turn')} || ' ' || coalesce(text, '')",
     "reference_time": "TS'2024-01-01 00:00:00' + MINS(conv_id * 10 + turn)",
 }
+#: what the assistant says about itself: a record, or free text
+SELF = {
+    "uuid": "'s' || conv_id || ':' || turn",
+    "group_id": "'c' || (conv_id % 8)",
+    "content": """CASE WHEN conv_id % 9 = 4 THEN 'free text without structure' ELSE '{"type":"' || (CASE conv_id % 3 WHEN 0 THEN 'trait' WHEN 1 THEN 'belief' ELSE 'pattern' END) || '","name":"' || (CASE turn % 4 WHEN 0 THEN 'Patient listener' WHEN 1 THEN 'Small steps, win' WHEN 2 THEN 'patient  LISTENER' ELSE 'Asks first' END) || '","confidence":0.' || (conv_id % 9 + 1) || '}' END""",
+}
+#: a model's answer per event
+ANSWER = {
+    "id": "event_id",
+    "json": """'{"facts":[{"subject":"user ' || user_id || '","predicate":"' || (CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END) || '",' || (CASE WHEN event_id % 2 = 0 THEN '"objects":["tea","milk"]' ELSE '"object":"tea"' END) || ',"operation":"' || (CASE event_id % 4 WHEN 0 THEN 'Terminate' WHEN 1 THEN 'frobnicate' WHEN 2 THEN 'assert' ELSE 'noop' END) || '","memory_class":"' || (CASE event_id % 3 WHEN 0 THEN 'Goal' WHEN 1 THEN 'odd' ELSE '' END) || '","confidence":"' || (CASE WHEN event_id % 5 = 0 THEN 'high' ELSE '0.5' END) || '"}]}'""",
+}
 #: graph table -> parts of (driver table, condition, columns)
 TABLES = {
     "kg_fact": [("events", "true", FACT)],
@@ -177,6 +188,8 @@ TABLES = {
     "kg_vec": [("embeddings LEFT JOIN documents ON vec_id = doc_id", "true", VEC)],
     "kg_node": [("embeddings JOIN customer ON vec_id = c_custkey", "true", NODE)],
     "kg_text": [("conversations", "true", TEXT)],
+    "kg_self": [("conversations", "role = 'assistant'", SELF)],
+    "kg_answer": [("events", "true", ANSWER)],
 }
 _FRAMES_SQL = "kg_frame"
 NOW = "2024-02-10 00:00:00"
