@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from kairograph.functions.keys import fact_key
-from kairograph.functions.text import BAD_GOAL_PREFIXES, GOALS, NO_GOALS
+from kairograph.functions.text import GOALS
 from kairograph.operators import cognition as C
 from kairograph.operators.filters import active, ntz
 from kairograph.sources.testgraph import NOW
 
 from .registry import PLANS, SQL, query
-from .scalars import EFFECTIVE_SQL, VITALITY_SQL, affect_sql, texts
+from .scalars import EFFECTIVE_SQL, GOAL_CLEAN, VITALITY_SQL, affect_sql, texts
 
 LIVE = "status = 'active' AND invalid_at IS NULL"
 KEY_SQL = "group_id || '::' || source_node_uuid || '::' || lower(name) || '::' || target_node_uuid"
@@ -73,12 +73,11 @@ def cg_traits(g):
 
 
 _PHRASES = " || ".join("regexp_extract_all(content, '{}', 1)".format(p.replace("'", "''")) for p in GOALS)
-_CLEAN = " AND ".join(["length(x) >= 4", "x NOT IN ({})".format(", ".join(f"'{n}'" for n in NO_GOALS)), *[f"x <> '{p.rstrip('_')}' AND NOT starts_with(x, '{p}')" for p in BAD_GOAL_PREFIXES]])
 
 
 _GOAL_CTES = rf"""f AS (SELECT uuid AS id, group_id, {_PHRASES} AS p FROM kg_text),
 c AS (SELECT id, group_id, list_filter(list_transform(p, lambda x: trim(regexp_replace(trim(x), '\s+', ' ', 'g'), ' ,.;:')), lambda x: length(x) BETWEEN 8 AND 200) AS p FROM f),
-n AS (SELECT id, group_id, list_transform(p, lambda x: coalesce(nullif(lower(trim(regexp_replace(x, '[^0-9A-Za-z]+', '_', 'g'), '_')), ''), 'unknown')) AS n FROM c), goals_ AS (SELECT id, group_id, n[1] AS goal FROM (SELECT id, group_id, list_filter(n, lambda x: {_CLEAN}) AS n FROM n) WHERE len(n) > 0)"""
+n AS (SELECT id, group_id, list_transform(p, lambda x: coalesce(nullif(lower(trim(regexp_replace(x, '[^0-9A-Za-z]+', '_', 'g'), '_')), ''), 'unknown')) AS n FROM c), goals_ AS (SELECT id, group_id, n[1] AS goal FROM (SELECT id, group_id, list_filter(n, lambda x: {GOAL_CLEAN}) AS n FROM n) WHERE len(n) > 0)"""
 
 
 @query(f"WITH {_GOAL_CTES} SELECT id, goal, 0.55::DOUBLE AS confidence FROM goals_")

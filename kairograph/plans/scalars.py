@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from kairograph.functions import decay, keys, text, vectors
@@ -13,12 +11,11 @@ from kairograph.sources.testgraph import NOW
 
 from .registry import query
 
-NAMES = ["  Müller & Söhne ", "O'Brien-Smith", "STRASSE  Straße", "the Big  Cat!", "", "A.B.C.", "snake_case name", "i want to win", "日本 Tokyo"]
-NAMES_SQL = ", ".join("({}, '{}')".format(i, n.replace("'", "''")) for i, n in enumerate(NAMES))
+NAMES_SQL = "SELECT id, name FROM kg_name"
 
 
 def _names(g):
-    return g.spark.createDataFrame(list(enumerate(NAMES)), "id int, name string")
+    return g.table("kg_name")
 
 
 @query("""WITH a AS (SELECT uuid, fact_embedding AS v FROM kg_vec), q AS (SELECT v AS qv FROM a WHERE uuid = 'vec:7') SELECT uuid, round(list_cosine_similarity(v, qv), 6) AS similarity FROM a, q""")
@@ -37,17 +34,17 @@ def sc_hash_embed(g):
     return g.fact.select("uuid", F.array_join(F.transform(v, lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias("vector"))
 
 
-@query(rf"""WITH n(id, name) AS (VALUES {NAMES_SQL}) SELECT id, trim(regexp_replace(replace(lower(regexp_replace(name, '[^\p{{L}}\p{{N}}_\s''\-]', ' ', 'g')), 'ß', 'ss'), '\s+', ' ', 'g')) AS norm FROM n""")
+@query(rf"""WITH n AS ({NAMES_SQL}) SELECT id, trim(regexp_replace(replace(lower(regexp_replace(name, '[^\p{{L}}\p{{N}}_\s''\-]', ' ', 'g')), 'ß', 'ss'), '\s+', ' ', 'g')) AS norm FROM n""")
 def sc_normalize_alias(g):
     return _names(g).select("id", keys.normalize_alias(F.col("name")).alias("norm"))
 
 
-@query(rf"""WITH n(id, name) AS (VALUES {NAMES_SQL}) SELECT id, trim(regexp_replace(replace(lower(name), 'ß', 'ss'), '\s+', ' ', 'g')) AS norm FROM n""")
+@query(rf"""WITH n AS ({NAMES_SQL}) SELECT id, trim(regexp_replace(replace(lower(name), 'ß', 'ss'), '\s+', ' ', 'g')) AS norm FROM n""")
 def sc_name_key(g):
     return _names(g).select("id", keys.name_key(F.col("name")).alias("norm"))
 
 
-@query(f"""WITH n(id, name) AS (VALUES {NAMES_SQL}) SELECT id, trim(regexp_replace(regexp_replace(lower(trim(name)), '^the ', ''), '[^a-z0-9]+', ' ', 'g')) AS norm FROM n""")
+@query(f"""WITH n AS ({NAMES_SQL}) SELECT id, trim(regexp_replace(regexp_replace(lower(trim(name)), '^the ', ''), '[^a-z0-9]+', ' ', 'g')) AS norm FROM n""")
 def sc_normalize_name_js(g):
     return _names(g).select("id", keys.normalize_label(F.col("name")).alias("norm"))
 
@@ -63,61 +60,62 @@ def sc_alias_groups(g):
     return graph.alias_groups(names)
 
 
-_QUAL = [(1, {"season": "winter", "by": "x"}), (2, {"by": "x", "season": "winter"}), (3, {}), (4, None), (5, {"season": "summer"})]
-_QJSON = {1: '{"by":"x","season":"winter"}', 2: '{"by":"x","season":"winter"}', 3: "{}", 4: None, 5: '{"season":"summer"}'}
-_QSQL = ", ".join("({}, {})".format(i, "NULL" if j is None else f"'{j}'") for i, j in _QJSON.items())
+_QSQL = """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '{"by":"' || event_type || '","season":"' || (user_id % 4) || '"}' WHEN 1 THEN '{}' WHEN 2 THEN NULL ELSE '{"season":"' || (user_id % 4) || '"}' END AS j FROM events"""
 
 
 def _qualified(g):
-    rows = g.spark.createDataFrame(_QUAL, "id int, q map<string,string>")
-    return rows.withColumn("qhash", keys.qualifier_hash(keys.canonical_qualifiers(F.col("q"))))
+    """Qualifiers of every event: two in either order, none, null, one."""
+    season, by = F.struct(F.lit("season").alias("k"), (F.col("user_id") % 4).cast("string").alias("v")), F.struct(F.lit("by").alias("k"), F.col("event_type").alias("v"))
+    two = F.map_from_entries(F.when(F.col("event_id") % 8 == 0, F.array(season, by)).otherwise(F.array(by, season)))
+    m = F.col("event_id") % 4
+    q = F.when(m == 0, two).when(m == 1, F.create_map().cast("map<string,string>")).when(m == 3, F.map_from_entries(F.array(season)))
+    return g.raw("events").select(F.col("event_id").alias("id"), q.alias("q")).withColumn("qhash", keys.qualifier_hash(keys.canonical_qualifiers(F.col("q"))))
 
 
-@query(f"WITH q(id, j) AS (VALUES {_QSQL}) SELECT id, CASE WHEN coalesce(j, '') IN ('', '{{}}') THEN '' ELSE substr(sha256(j), 1, 16) END AS qhash FROM q")
+@query(f"WITH q AS ({_QSQL}) SELECT id, CASE WHEN coalesce(j, '') IN ('', '{{}}') THEN '' ELSE substr(sha256(j), 1, 16) END AS qhash FROM q")
 def sc_qhash(g):
     return _qualified(g).select("id", "qhash")
 
 
-@query(f"WITH q(id, j) AS (VALUES {_QSQL}), h AS (SELECT id, CASE WHEN coalesce(j, '') IN ('', '{{}}') THEN '' ELSE substr(sha256(j), 1, 16) END AS h FROM q) SELECT id, 'g::Ann::lives_in::Paris' || CASE WHEN h = '' THEN '' ELSE '::' || h END AS fact_key FROM h")
+@query(f"WITH q AS ({_QSQL}), h AS (SELECT id, CASE WHEN coalesce(j, '') IN ('', '{{}}') THEN '' ELSE substr(sha256(j), 1, 16) END AS h FROM q) SELECT id, 'g::Ann::lives_in::Paris' || CASE WHEN h = '' THEN '' ELSE '::' || h END AS fact_key FROM h")
 def sc_fact_key(g):
     return _qualified(g).select("id", keys.fact_key(F.lit(" g"), F.lit("Ann "), F.lit("Lives_In"), F.lit("Paris"), F.col("qhash")).alias("fact_key"))
 
 
-@query(f"WITH q(id, j) AS (VALUES {_QSQL}), h AS (SELECT id, CASE WHEN coalesce(j, '') IN ('', '{{}}') THEN '' ELSE substr(sha256(j), 1, 16) END AS h FROM q) SELECT id, 'g::Ann::lives_in::' || h AS slot_key FROM h")
+@query(f"WITH q AS ({_QSQL}), h AS (SELECT id, CASE WHEN coalesce(j, '') IN ('', '{{}}') THEN '' ELSE substr(sha256(j), 1, 16) END AS h FROM q) SELECT id, 'g::Ann::lives_in::' || h AS slot_key FROM h")
 def sc_slot_key(g):
     return _qualified(g).select("id", keys.slot_key(F.lit("g"), F.lit("Ann"), F.lit("LIVES_IN"), F.col("qhash")).alias("slot_key"))
 
 
-@query(f"""WITH n(id, name) AS (VALUES {NAMES_SQL}), s AS (SELECT id, lower(trim(regexp_replace(name, '[^0-9A-Za-z]+', '_', 'g'), '_')) AS v FROM n) SELECT id, CASE WHEN v = '' THEN 'unknown' ELSE v END AS snake FROM s""")
+@query(f"""WITH n AS ({NAMES_SQL}), s AS (SELECT id, lower(trim(regexp_replace(name, '[^0-9A-Za-z]+', '_', 'g'), '_')) AS v FROM n) SELECT id, CASE WHEN v = '' THEN 'unknown' ELSE v END AS snake FROM s""")
 def sc_snake_case(g):
     return _names(g).select("id", keys.snake_case(F.col("name")).alias("snake"))
 
 
-@query(f"""WITH n(id, name) AS (VALUES {NAMES_SQL}), s AS (SELECT id, trim(regexp_replace(replace(lower(name), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_') AS v FROM n) SELECT id, left(CASE WHEN v = '' THEN 'self_model' ELSE v END, 80) AS slug FROM s""")
+@query(f"""WITH n AS ({NAMES_SQL}), s AS (SELECT id, trim(regexp_replace(replace(lower(name), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_') AS v FROM n) SELECT id, left(CASE WHEN v = '' THEN 'self_model' ELSE v END, 80) AS slug FROM s""")
 def sc_slug(g):
     return _names(g).select("id", keys.slug(F.col("name")).alias("slug"))
 
 
-@query(f"""WITH n(id, name) AS (VALUES {NAMES_SQL}), s AS (SELECT id, name, trim(regexp_replace(replace(lower(name), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_') AS v FROM n)
+@query(f"""WITH n AS ({NAMES_SQL}), s AS (SELECT id, name, trim(regexp_replace(replace(lower(name), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_') AS v FROM n)
 SELECT id, 'trait_' || left(CASE WHEN v = '' THEN 'self_model' ELSE v END, 80) || '_' || substr(sha1('grp' || chr(0) || name), 1, 12) AS uuid FROM s""")
 def sc_stable_uuid(g):
     return _names(g).select("id", keys.stable_uuid("trait", F.lit("grp"), F.col("name")).alias("uuid"))
 
 
-_UUIDS = ", ".join(f"({i}, '{uuid.uuid5(uuid.NAMESPACE_URL, 'pack:g:entity:' + n)}')" for i, n in enumerate(NAMES))
-
-
-@query(f"SELECT * FROM (VALUES {_UUIDS}) t(id, uuid)")
+@query("""WITH h AS (SELECT id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('pack:g:entity:' || name)) AS h FROM kg_name)
+SELECT id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', ('0x' || substr(h, 17, 1))::INTEGER % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS uuid FROM h""")
 def sc_uuid5(g):
     return _names(g).select("id", keys.uuid5_url(F.concat(F.lit("pack:g:entity:"), "name")).alias("uuid"))
 
 
-_TIMES = ["2024-01-05T10:20:30Z", "2024-01-05 10:20:30", "2024-02-30", "soon", "2024-03-01T00:00:00+02:00", ""]
-
-
-@query("""SELECT * FROM (VALUES (0, TIMESTAMP '2024-01-05 10:20:30'), (1, TIMESTAMP '2024-01-05 10:20:30'), (2, NULL), (3, NULL), (4, TIMESTAMP '2024-02-29 22:00:00'), (5, NULL)) t(id, parsed)""")
+@query("""SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) WHEN 4 THEN date_trunc('second', ts) - INTERVAL 2 HOUR END AS parsed FROM events""")
 def sc_parse_iso(g):
-    rows = g.spark.createDataFrame(list(enumerate(_TIMES)), "id int, s string")
+    """Every event's time as one of six spellings: zoned, naive, impossible, words, with an offset, empty."""
+    plain = lambda sep: F.date_format("ts", f"yyyy-MM-dd{sep}HH:mm:ss")
+    m = F.col("event_id") % 6
+    s = F.when(m == 0, F.concat(plain("'T'"), F.lit("Z"))).when(m == 1, plain(" ")).when(m == 2, "2024-02-30").when(m == 3, "soon").when(m == 4, F.concat(plain("'T'"), F.lit("+02:00"))).otherwise("")
+    rows = g.raw("events").select(F.col("event_id").alias("id"), s.alias("s"))
     zoned = F.when(F.col("s").rlike(r"(Z|[+-]\d\d:\d\d)$"), F.col("s")).otherwise(F.concat("s", F.lit("Z")))  # naive means UTC
     return rows.select("id", F.convert_timezone(F.expr("current_timezone()"), F.lit("UTC"), zoned.try_cast("timestamp").cast("timestamp_ntz")).alias("parsed"))
 
@@ -216,22 +214,25 @@ def sc_goal_phrases(g):
     return texts(g).select("id", F.explode(text.goal_phrases(F.col("content"))).alias("phrase"))
 
 
-_GOAL_NAMES = ["i_m_working", "learn_rust", "my_goal", "na", "null", "the_user_x", "user", "run", "run_far", "we_are_one", "western", None, "  Ice_Cream "]
+GOAL_CLEAN = " AND ".join(["length(x) >= 4", "x NOT IN ({})".format(", ".join(f"'{n}'" for n in text.NO_GOALS)), *[f"x <> '{p.rstrip('_')}' AND NOT starts_with(x, '{p}')" for p in text.BAD_GOAL_PREFIXES]])
 
 
-@query("SELECT * FROM (VALUES (0, false), (1, true), (2, false), (3, false), (4, false), (5, false), (6, false), (7, false), (8, true), (9, false), (10, true), (11, false), (12, true)) t(id, clean)")
+@query(f"SELECT id, {GOAL_CLEAN} AS clean FROM (SELECT id, lower(trim(name)) AS x FROM kg_goal_name)")
 def sc_clean_goal_name(g):
-    return g.spark.createDataFrame(list(enumerate(_GOAL_NAMES)), "id int, name string").select("id", text.clean_goal_name(F.col("name")).alias("clean"))
-
-
-_JSONISH = ['```json\n{"a": 1}\n```', 'noise {"a": 2} tail', "[1, 2]", "none", 'x [{"a": 3}] y']
+    return g.table("kg_goal_name").select("id", text.clean_goal_name(F.col("name")).alias("clean"))
 
 
-@query("""SELECT * FROM (VALUES (0, '{"a": 1}'), (1, '{"a": 2}'), (2, '[1, 2]'), (3, NULL), (4, '[{"a": 3}]')) t(id, json)""")
+@query("""SELECT event_id AS id, CASE event_id % 5 WHEN 3 THEN NULL WHEN 2 THEN '[' || event_id || ', 2]' WHEN 4 THEN '[{"a": ' || event_id || '}]' ELSE '{"a": ' || event_id || '}' END AS json FROM events""")
 def sc_parse_json_loose(g):
-    rows = g.spark.createDataFrame(list(enumerate(_JSONISH)), "id int, s string")
+    """JSON in a fence, within noise, as a list, missing, and as a list within noise."""
+    m, n = F.col("event_id") % 5, F.col("event_id").cast("string")
+    s = F.when(m == 0, F.concat(F.lit('```json\n{"a": '), n, F.lit("}\n```"))).when(m == 1, F.concat(F.lit('noise {"a": '), n, F.lit("} tail"))).when(m == 2, F.concat(F.lit("["), n, F.lit(", 2]"))).when(m == 3, "none").otherwise(F.concat(F.lit('x [{"a": '), n, F.lit("}] y")))
+    rows = g.raw("events").select(F.col("event_id").alias("id"), s.alias("s"))
     bare = F.regexp_replace("s", r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", "")
     cut = F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1), F.lit(""))
+    # a list that holds records is found by its own bracket
+    listed = F.nullif(F.regexp_extract(bare, r"(?s)(\[.*\])", 1), F.lit(""))
+    cut = F.when(F.get_json_object(cut, "$").isNotNull(), cut).otherwise(listed)
     ok = F.get_json_object(cut, "$").isNotNull()
     return rows.select("id", F.when(ok, cut).alias("json"))
 

@@ -45,10 +45,14 @@ SAYINGS = [
 ]
 
 
+def _one_of(values: list[str], n: str) -> str:
+    cases = " ".join("WHEN {} THEN '{}'".format(k, v.replace("'", "''")) for k, v in enumerate(values))
+    return f"(CASE ({n}) % {len(values)} {cases} END)"
+
+
 def saying(n: str) -> str:
     """One of the sayings by a number, in both engines."""
-    cases = " ".join("WHEN {} THEN '{}'".format(k, s.replace("'", "''")) for k, s in enumerate(SAYINGS))
-    return f"(CASE ({n}) % {len(SAYINGS)} {cases} END)"
+    return _one_of(SAYINGS, n)
 
 
 _K = "cast(JSON(props, '$.k') as bigint)"
@@ -166,6 +170,14 @@ TEXT = {
     "content": f"{saying('conv_id * 7 + turn')} || ' ' || coalesce(text, '')",
     "reference_time": "TS'2024-01-01 00:00:00' + MINS(conv_id * 10 + turn)",
 }
+#: spellings that lead the names of parts
+SPELLINGS = ["  Müller & Söhne ", "O'Brien-Smith", "STRASSE  Straße", "the Big  Cat!", "", "A.B.C.", "snake_case name", "i want to win", "日本 Tokyo"]
+#: names of goals, followed by a number in every other round
+GOAL_NAMES = ["i_m_working", "learn_rust", "my_goal", "na", "null", "the_user_x", "user", "run", "run_far", "we_are_one", "western", "", "  Ice_Cream "]
+
+
+NAME = {"id": "p_partkey", "name": f"{_one_of(SPELLINGS, 'p_partkey')} || (CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_name END)"}
+GOAL_NAME = {"id": "event_id", "name": f"{_one_of(GOAL_NAMES, 'event_id')} || (CASE WHEN event_id % 4 < 2 THEN '' ELSE '_' || user_id END)"}
 #: what the assistant says about itself: a record, or free text
 SELF = {
     "uuid": "'s' || conv_id || ':' || turn",
@@ -188,6 +200,8 @@ TABLES = {
     "kg_vec": [("embeddings LEFT JOIN documents ON vec_id = doc_id", "true", VEC)],
     "kg_node": [("embeddings JOIN customer ON vec_id = c_custkey", "true", NODE)],
     "kg_text": [("conversations", "true", TEXT)],
+    "kg_name": [("part", "true", NAME)],
+    "kg_goal_name": [("events", "true", GOAL_NAME)],
     "kg_self": [("conversations", "role = 'assistant'", SELF)],
     "kg_answer": [("events", "true", ANSWER)],
 }
