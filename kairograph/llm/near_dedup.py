@@ -164,12 +164,24 @@ def _smallest(names: list[bytes], root: np.ndarray) -> list[bytes]:
     return [least[r] for r in root.tolist()]
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key without those whose key no neighbour has; the ends of a batch may lie next to more."""
+    for batch in batches:
+        if batch.num_rows > 2:
+            key = batch.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            keep = np.ones(batch.num_rows, bool)
+            keep[1:-1] = same[1:] | same[:-1]
+            batch = batch.take(pa.array(np.flatnonzero(keep)))
+        yield batch
+
+
 def _bucket_edges(percent: int, block: int):
     """Rows sorted by (key, n); emits stars over the components of each bucket's pairs within DISTANCE and with sizes near enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
-        for _, parts in runs(batches, ["key"]):
+        for _, parts in runs(_shared(batches), ["key"]):
             sids: list[bytes] = []
             sigs, sizes, label = np.empty((0, SYMBOLS), np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
             seen = 0
@@ -341,14 +353,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release_shuffles(spark)
 
     linked = _links(read, classes, groups, width, percent, block, scratch)
-    spans = known.groupBy("id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z")
-    shared = known.join(spans.select("id", "a"), "id").select("a", F.col("sid").alias("b"))
-    label = components(linked.union(shared), scratch)
-
-    labelled = sketch.join(label.select(F.col("vertex").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    least = labelled.where(F.col("label").isNotNull() & F.col("id").isNotNull()).groupBy("label").agg(F.min("id").alias("least"))
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("least", "id"))
-    return labelled.join(least, "label", "left").select(
+    # from here a class goes by its smallest id, so the smallest id reachable is a component's own label
+    of = classes.select("sid", F.col("id").alias("cid"))
+    edges = linked.join(of.withColumnRenamed("sid", "a"), "a").withColumnRenamed("cid", "ca").join(of.withColumnRenamed("sid", "b"), "b").select(F.col("ca").alias("a"), F.col("cid").alias("b"))
+    spans = known.groupBy("id").agg(F.min("sid").alias("s"), F.max("sid").alias("z")).where("s <> z").select("id")
+    shared = known.join(spans, "id").select("id", "sid").distinct().join(of, "sid").select(F.col("cid").alias("a"), F.col("id").alias("b"))
+    label = components(edges.union(shared), scratch)
+    found = of.join(label.withColumnRenamed("vertex", "cid"), "cid", "left").select("sid", F.coalesce("label", "cid").alias("found"))
+    out = sketch.join(found, "sid", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
+    return out.select(
         F.col("id").alias(id_col),
         "n_shingles",
         component.alias("component_id"),
