@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import temporal
+from .graph import written
 
 SLOT = ("group_id", "source_node_uuid", "name", "qhash", "memory_class")
 CLAIM = {
@@ -138,8 +139,8 @@ def write_facts(rows: DataFrame, frames: DataFrame, replaced: DataFrame | None =
 
     ``replaced`` (uuid, closed_seq, closed_at, closed_by) names edges that claims declare replaced (L0).
     """
-    told = claims(rows, frames)
-    out = close(told).withColumn("merged_to", F.col("closed_seq"))
+    told = written(claims(rows, frames))  # every layer reads it again
+    out = written(close(told)).withColumn("merged_to", F.col("closed_seq"))
     if replaced is not None:
         first = replaced.groupBy("uuid").agg(F.min(F.struct("closed_seq", "closed_at", "closed_by")).alias("__r"))
         out = out.join(first, "uuid", "left")

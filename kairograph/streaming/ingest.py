@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kairograph.functions.keys import normalize_alias
 from kairograph.functions.text import IDENTITY_PREDICATES
 from kairograph.operators import temporal, write
-from kairograph.operators.graph import _shared_dir
+from kairograph.operators.graph import _shared_dir, written
 from kairograph.sources.hooks import extract
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -44,7 +44,7 @@ def add_episodes(episodes: DataFrame, entities: DataFrame, aliases: DataFrame, f
     order of (time, episode, sentence, claim); equal open ones merge their
     episodes.  Self-loops stay only for identity predicates.
     """
-    told = claims_of(episodes)
+    told = written(claims_of(episodes))  # texts are read once
     names = told.select("group_id", "episode_uuid", F.explode(F.array("subject", "object")).alias("name")).withColumn("key", normalize_alias(F.col("name")))
     known = aliases.groupBy("group_id", F.col("normalized_alias").alias("key")).agg(F.min("entity_uuid").alias("by_alias"))
     own = entities.groupBy("group_id", normalize_alias(F.col("name")).alias("key")).agg(F.min("uuid").alias("by_name"))
@@ -59,7 +59,8 @@ def add_episodes(episodes: DataFrame, entities: DataFrame, aliases: DataFrame, f
     rows = rows.select("group_id", "source_node_uuid", F.col("predicate").alias("relation"), "target_node_uuid", "fact", "valid_at", "episode_uuid", order.alias("order"), F.concat_ws(":", "episode_uuid", "pos", "seq").alias("uuid"))
     # only the order within a tenant matters
     rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("group_id").orderBy("order")).cast("long")).drop("order")
-    edges = write.write_facts(rows.drop("episode_uuid"), frames)
+    rows = written(rows)
+    edges = written(write.write_facts(rows.drop("episode_uuid"), frames))
     told_by = write.claims(rows.drop("episode_uuid"), frames).select("uuid", *write.SLOT, "target_node_uuid", "seq").join(rows.select("uuid", "episode_uuid", "fact"), "uuid")
     # a claim belongs to the edge of its slot and object that was open when it came
     same = [*write.SLOT, "target_node_uuid"]
