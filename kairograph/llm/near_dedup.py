@@ -155,9 +155,9 @@ def connected(linked, label: np.ndarray, new: int = 0) -> np.ndarray:
     return out
 
 
-def _smallest(names: list[bytes], root: np.ndarray) -> list[bytes]:
+def _smallest(names: list, root: np.ndarray) -> list:
     """Of each row's component the smallest name."""
-    least: dict[int, bytes] = {}
+    least: dict = {}
     for name, r in zip(names, root.tolist()):
         if r not in least or name < least[r]:
             least[r] = name
@@ -232,29 +232,30 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _confirm(width: int, percent: int):
-    """Rows sorted by (grp, i, j); sid and label: the smallest class that confirmed links or the given labels connect it with."""
+def _confirm(width: int, percent: int, kind: pa.DataType):
+    """Rows sorted by (grp, i, j); sid, id and label: the smallest label among all that confirmed links or equal labels connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in runs(batches, ["grp", "i", "j"]):
-            sids, sets, labels = [], [], []
+            sids, sets, labels, ids = [], [], [], []
             seen = set()
             for part in parts(512):
-                rows = pa.StructArray.from_arrays([part.column(c).combine_chunks() for c in ("sid", "label")], ["sid", "label"])
+                rows = pa.StructArray.from_arrays([part.column(c).combine_chunks() for c in ("sid", "label", "id")], ["sid", "label", "id"])
                 for got, data, starts in doc_bytes(pa.table({"id": rows, "text": part.column("text")}).combine_chunks().to_batches()[0]):
                     hashes, offsets = shingles(data, starts, width)
-                    for sid, label, a, b in zip(got.field(0).to_pylist(), got.field(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                    for sid, label, ident, a, b in zip(*(got.field(k).to_pylist() for k in range(3)), offsets[:-1].tolist(), offsets[1:].tolist()):
                         distinct = np.unique(hashes[a:b])
                         if sid not in seen and len(distinct) and digest(distinct) == sid:  # two texts may have one id and hash
                             seen.add(sid)
                             sids.append(sid)
                             sets.append(distinct)
                             labels.append(label)
+                            ids.append(ident)
             if not sids:
                 continue
             of = {x: k for k, x in enumerate(dict.fromkeys(labels))}
             root = confirmed(sets, percent, np.array([of[x] for x in labels]))
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(_smallest([min(s, x) for s, x in zip(sids, labels)], root), pa.binary())], ["sid", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(ids, kind), pa.array(_smallest(labels, root), kind)], ["sid", "id", "label"])
         give_back()
 
     return run
@@ -288,7 +289,14 @@ def confirmed(sets: list[np.ndarray], percent: int, label: np.ndarray) -> np.nda
 
 
 def _links(read: DataFrame, classes: DataFrame, groups: DataFrame, width: int, percent: int, block: int, scratch: Scratch) -> DataFrame:
-    """a, b: stars over what confirmed links connect in every candidate group (sid, grp)."""
+    """a, b: stars over what confirmed links connect in every candidate group (sid, grp).
+
+    Labels and the stars' ends are the classes' smallest ids; classes of one
+    document may share theirs, and are linked by that document anyway.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, ddl = to_arrow_type(read.schema["id"].dataType), read.schema["id"].dataType.simpleString()
     half = max(1, block // 2)
     tasks = max(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * read.sparkSession.sparkContext.defaultParallelism)
     dealt = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
@@ -301,26 +309,26 @@ def _links(read: DataFrame, classes: DataFrame, groups: DataFrame, width: int, p
         size when it joins the texts, which travel to their id and to their place.
         """
         asked = scratch.keep(classes.select("sid", "id", "hash").join(members, "sid"))
-        texts = read.join(asked, ["id", "hash"]).select("grp", "i", "j", "sid", "label", "text").mapInArrow(_once, _PLACED)
+        texts = read.join(asked, ["id", "hash"]).select("grp", "i", "j", "sid", "id", "label", "text").mapInArrow(_once, _PLACED.format(id=ddl))
         rows = texts.repartition(tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-        return scratch.keep(rows.mapInArrow(_confirm(width, percent), "sid binary, label binary"))
+        return scratch.keep(rows.mapInArrow(_confirm(width, percent, kind), f"sid binary, id {ddl}, label {ddl}"))
 
     def stars(labels: DataFrame) -> DataFrame:
-        return labels.where("sid <> label").select(F.col("label").alias("a"), F.col("sid").alias("b"))
+        return labels.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
 
-    own = groups.join(blocks(groups, "n"), "grp").withColumn("own", dealt("n"))
-    first = met(own.select("sid", F.col("sid").alias("label"), "grp", F.col("own").alias("i"), F.col("own").alias("j")))
+    own = groups.join(blocks(groups, "n"), "grp").withColumn("own", dealt("n")).join(classes.select("sid", F.col("id").alias("cid")), "sid")
+    first = met(own.select("sid", F.col("cid").alias("label"), "grp", F.col("own").alias("i"), F.col("own").alias("j")))
     links = stars(first)
     large = scratch.keep(own.where("n > 1"))
     if large.isEmpty():
         return links
-    known = large.join(first, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    known = large.join(first.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "cid"))
     # one class of each component that a block has connected
-    heads = known.where("label = sid").drop("n")
+    heads = known.where("label = cid").drop("n")
     heads = heads.join(blocks(heads, "n"), "grp").withColumn("own", dealt("n"))
     second = met(heads.select("sid", "label", "grp", F.col("own").alias("i"), F.col("own").alias("j")))
     links = links.union(stars(second))
-    known = known.join(second.select(F.col("sid").alias("label"), F.col("label").alias("further")), "label", "left")
+    known = known.join(second.groupBy(F.col("id").alias("label")).agg(F.min("label").alias("further")), "label", "left")
     known = scratch.keep(known.withColumn("label", F.coalesce("further", "label")).drop("further"))
     # classes outside the largest component of a group meet every block of it
     largest = known.groupBy("grp", "label").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("parts"))
@@ -334,7 +342,7 @@ def _links(read: DataFrame, classes: DataFrame, groups: DataFrame, width: int, p
     return links.union(stars(met(a.select(*columns).union(b.select(*columns)).distinct())))
 
 
-_PLACED = "grp binary, i int, j int, sid binary, label binary, text string"
+_PLACED = "grp binary, i int, j int, sid binary, id {id}, label {id}, text string"
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -353,12 +361,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release_shuffles(spark)
 
     linked = _links(read, classes, groups, width, percent, block, scratch)
-    # from here a class goes by its smallest id, so the smallest id reachable is a component's own label
+    # a class goes by its smallest id, so the smallest id reachable is a component's own label
     of = classes.select("sid", F.col("id").alias("cid"))
-    edges = linked.join(of.withColumnRenamed("sid", "a"), "a").withColumnRenamed("cid", "ca").join(of.withColumnRenamed("sid", "b"), "b").select(F.col("ca").alias("a"), F.col("cid").alias("b"))
     spans = known.groupBy("id").agg(F.min("sid").alias("s"), F.max("sid").alias("z")).where("s <> z").select("id")
     shared = known.join(spans, "id").select("id", "sid").distinct().join(of, "sid").select(F.col("cid").alias("a"), F.col("id").alias("b"))
-    label = components(edges.union(shared), scratch)
+    label = components(linked.union(shared), scratch)
     found = of.join(label.withColumnRenamed("vertex", "cid"), "cid", "left").select("sid", F.coalesce("label", "cid").alias("found"))
     out = sketch.join(found, "sid", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
