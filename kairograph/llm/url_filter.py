@@ -8,7 +8,7 @@ the rules in an equi-join on a short hash prefix; the full digest confirms the
 match and the longest rule wins.
 
 Defined results: a null url, or one without ``://``, has empty host and path;
-rows keep their multiplicity; an empty table gives an empty result; columns of
+rows keep their multiplicity; a url of any length is expanded whole; an empty table gives an empty result; columns of
 the input other than the id and the url are not read, so they cannot clash.
 Rules of equal length: the smallest rule string wins, ``allow`` before ``block``.
 """

@@ -430,6 +430,40 @@ def test_pipeline(spark, tiny):
     assert corpus_pipeline.run(spark, tiny).count() == seen["byte_bpe"]
 
 
+def test_pipeline_equals_brute_force(spark, tiny):
+    """Every stage recomputed in plain Python on what the one before kept; the rows of run() at the end."""
+    import corpus_pipeline
+    import tiktoken
+    from test_dedup import brute_exact, brute_near
+
+    docs, labels = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/labels.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    model = quality.train(docs, labels)
+    y = {r.id: r.y for r in model.labels.collect()}
+    e = model.log_odds(np.array([quality.features(r["text"] or "") for r in rows])).tolist()
+    scored = brute_posteriors([(r["source"], r["lang"], x, y.get(r["doc_id"], 1 / (1 + math.exp(-x)))) for r, x in zip(rows, e)])
+    rows = [r for r, (_, _, score) in zip(rows, scored, strict=True) if score >= 0.5]
+    keep = {i for i, _, _, kept, _ in brute_exact([(r["doc_id"], r["text"]) for r in rows]) if kept}
+    rows = [r for r in rows if r["doc_id"] in keep]
+    keep = {i for i, _, _, kept in brute_near([(r["doc_id"], r["text"]) for r in rows], 5, 80) if kept}
+    rows = [r for r in rows if r["doc_id"] in keep]
+    weights = queries.SOURCE_WEIGHTS
+    sizes = {s: float(sum(r["n_chars"] for r in rows if r["source"] == s)) for s in weights}
+    total, whole = math.fsum(sizes.values()), math.fsum(weights.values())
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    known = tiktoken.Encoding("own", pat_str=queries.tokenizer_pattern(), mergeable_ranks=bpe.read_ranks(queries.tokenizer_file()), special_tokens={})
+    want = []
+    for r in rows:  # ids are unique in this table, so every rank is 0
+        rate = total * weights[r["source"]] / whole / sizes[r["source"]] if r["source"] in weights else 1.0
+        mark = md5(f"{queries.MIX_SEED}:{r['doc_id']}:={r['source']}:{md5(r['text'] or '')}")
+        u = int(md5(f"{mark}:0")[:13], 16) / 16**13
+        ids = known.encode_ordinary(r["text"] or "")
+        one = (r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
+        want += [one] * sum(u >= c for c in mixing.poisson_cdf(rate))
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, tiny).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 50
+
+
 def test_pipeline_stages_on_odd_rows(spark, tiny):
     import corpus_pipeline
 
