@@ -5,8 +5,8 @@ and read again, so a lost executor costs at most one stage's tasks.
 
 Defined results: null texts are empty; a null id is an id of its own that sorts
 last in exact dedup and is never dropped as a near copy; rows repeated with one
-id and text are exact copies, so one stays; an empty table gives an empty
-result in every stage; extra columns, whatever their names, are carried through
+id and text are exact copies, so one stays; a text of any length is one row and
+read whole in every stage; an empty table gives an empty result in every stage; extra columns, whatever their names, are carried through
 all stages but the last.
 """
 
