@@ -302,13 +302,16 @@ def _links(read: DataFrame, classes: DataFrame, groups: DataFrame, width: int, p
     dealt = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     blocks = lambda rows, n: rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(half)).cast("int").alias(n))
 
-    def met(members: DataFrame) -> DataFrame:
+    def met(members: DataFrame, most: bool = False) -> DataFrame:
         """``members`` has sid, label, grp, i, j; gains the label of what is connected where they meet.
 
         The narrow rows meet first and are written, so the planner knows their
-        size when it joins the texts, which travel to their id and to their place.
+        size when it joins the texts, which travel to their id and to their
+        place.  ``most`` of the classes grow with the input, so they are joined
+        the same way at every size; later rounds ask for few.
         """
         asked = scratch.keep(classes.select("sid", "id", "hash").join(members, "sid"))
+        asked = asked.hint("merge") if most else asked
         texts = read.join(asked, ["id", "hash"]).select("grp", "i", "j", "sid", "id", "label", "text").mapInArrow(_once, _PLACED.format(id=ddl))
         rows = texts.repartition(tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
         return scratch.keep(rows.mapInArrow(_confirm(width, percent, kind), f"sid binary, id {ddl}, label {ddl}"))
@@ -317,7 +320,7 @@ def _links(read: DataFrame, classes: DataFrame, groups: DataFrame, width: int, p
         return labels.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
 
     own = groups.join(blocks(groups, "n"), "grp").withColumn("own", dealt("n")).join(classes.select("sid", F.col("id").alias("cid")), "sid")
-    first = met(own.select("sid", F.col("cid").alias("label"), "grp", F.col("own").alias("i"), F.col("own").alias("j")))
+    first = met(own.select("sid", F.col("cid").alias("label"), "grp", F.col("own").alias("i"), F.col("own").alias("j")), most=True)
     links = stars(first)
     large = scratch.keep(own.where("n > 1"))
     if large.isEmpty():
