@@ -78,3 +78,16 @@ def test_mmr(spark):
         chosen.append(best)
     got = {r.uuid: r.score for r in catalog.queries()["hs_rr_mmr"](spark, SF).collect()}
     assert got == {u: round(s, 9) for u, s, _ in chosen}
+
+
+def test_tie_breaker_settles_what_the_margin_leaves(spark):
+    from kairograph.operators import resolve
+    from kairograph.sources.offline import OverlapTieBreaker
+
+    entities = spark.createDataFrame([("e1", "g", "Ann Lee", [1.0, 0.0]), ("e2", "g", "Ann Ray", [1.0, 0.01]), ("e3", "h", "Ann Ray", [1.0, 0.0])], "uuid string, group_id string, name string, embedding array<double>")
+    aliases = spark.createDataFrame([("g", "annie", "e1")], "group_id string, normalized_alias string, entity_uuid string")
+    mentions = spark.createDataFrame([(1, "g", "Ray", [1.0, 0.005]), (2, "g", "Annie", [0.0, 1.0]), (3, "g", "someone", [1.0, 0.0]), (4, "g", "Zed", [0.0, 1.0]), (5, "h", "Ray", [1.0, 0.0])], "mention_id int, group_id string, name string, mention_embedding array<double>")
+    plain = {r.mention_id: (r.canonical_uuid, r.resolution) for r in resolve.resolve(mentions, entities, aliases).collect()}
+    assert plain == {1: (None, "new"), 2: ("e1", "alias_hit"), 3: (None, "new"), 4: (None, "new"), 5: ("e3", "semantic_match")}
+    asked = {r.mention_id: (r.canonical_uuid, r.resolution) for r in resolve.resolve(mentions, entities, aliases, tie_breaker=OverlapTieBreaker).collect()}
+    assert asked == plain | {1: ("e2", "tie_break")}
