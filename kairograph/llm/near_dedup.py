@@ -383,4 +383,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stays: one document of each group, with every row it has."""
     gone = near_groups(docs, id_col, text_col, width, percent).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
+    gone = Scratch(docs.sparkSession, "near_dedup").keep(gone)  # written, so the planner knows its size when it joins whole rows
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
