@@ -226,7 +226,8 @@ def contradicted(facts: DataFrame, live: Column) -> DataFrame:
     rows = facts.withColumns({"__live": live, "__cue": F.when(has_cue(F.col("fact")), F.col("seq"))})
     later = []
     for k, column in enumerate(("source_node_uuid", "target_node_uuid")):
-        w = Window.partitionBy("group_id", "is_belief", column).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+        # from the last row backwards: a frame that grows is summed up once, one that shrinks anew for every row
+        w = Window.partitionBy("group_id", "is_belief", column).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn(f"__c{k}", F.min("__cue").over(w))
         later.append(f"__c{k}")
     return rows.where("__live").select("uuid", F.least(*later).alias("closed_by_seq"))
