@@ -17,15 +17,17 @@ came before.  The layers, in the order in which they decide:
   slot needs resolution and shares a conflict group.
 
 Slots of singleton claims only are closed by windows, slots without any by
-windows per object; a slot that mixes both is worked through in order by one
-task per slot, so work grows with the largest such slot.  L3 sees the state that
+windows per object; slots that mix both are worked through in order, slot after
+slot in a task, so work grows with the largest such slot.  L3 sees the state that
 L0 to L2 leave: an edge that both would close goes to the earlier closer, and an
 equal claim that comes after a closure by L3 still counts for the closed edge.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ CLAIM = {
     "is_belief": False,
     "fact": "",
 }
-_EDGE = "uuid string, seq long, {0}, target_node_uuid string, valid_at timestamp, closed_seq long, invalid_at timestamp, superseded_by string, n_claims long, closed_any boolean".format(", ".join(f"{c} string" for c in SLOT))
+_EDGE = "uuid string, seq long, {0}, target_node_uuid string, valid_at long, closed_seq long, invalid_at long, superseded_by string, n_claims long, closed_any boolean".format(", ".join(f"{c} string" for c in SLOT))
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 
 
 def claims(rows: DataFrame, frames: DataFrame) -> DataFrame:
@@ -68,31 +71,47 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.where("operation <> 'terminate'").unionByName(ends.select(*rows.columns))
 
 
-def _in_order(frame: pd.DataFrame) -> pd.DataFrame:
-    """One mixed slot, claim by claim."""
-    edges: list[dict] = []
-    held: dict[str, dict] = {}
-    for r in frame.sort_values("seq").itertuples(index=False):
-        if r.operation == "terminate":
-            if r.target_node_uuid in held:
-                held.pop(r.target_node_uuid).update(closed_seq=r.seq, invalid_at=r.valid_at)
-            continue
-        if r.target_node_uuid in held:
-            held[r.target_node_uuid]["n_claims"] += 1
-            continue
-        edge = {c: getattr(r, c) for c in ("uuid", "seq", *SLOT, "target_node_uuid", "valid_at")} | {"closed_seq": None, "invalid_at": None, "superseded_by": None, "n_claims": 1, "closed_any": False}
-        if r.single:
-            for old in held.values():
-                old.update(closed_seq=r.seq, invalid_at=r.valid_at, superseded_by=r.uuid)
-            edge["closed_any"] = bool(held)
-            held = {}
-        held[r.target_node_uuid] = edge
-        edges.append(edge)
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mixed slots, one after the other, claim by claim: rows come sorted by slot and ``seq``, only a slot's open edges are held."""
     names = [f.split()[0] for f in _EDGE.split(", ")]
-    out = pd.DataFrame(edges, columns=names)
-    out["closed_seq"] = out["closed_seq"].astype("Int64")
-    out["invalid_at"] = pd.to_datetime(out["invalid_at"])
-    return out
+    kinds = [_ARROW[f.split()[1]] for f in _EDGE.split(", ")]
+    done: list[tuple] = []
+    slot, held = None, {}
+
+    def shut(edge: list, *closer) -> None:
+        uuid, seq, obj, at, n, any_ = edge
+        done.append((uuid, seq, *slot, obj, at, *closer, n, any_))
+
+    def packed() -> pa.RecordBatch:
+        columns = zip(*done) if done else [()] * len(names)
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        done.clear()
+        return out
+
+    for batch in batches:
+        for *key, uuid, seq, obj, at, operation, single in zip(*[c.to_pylist() for c in batch.columns]):
+            if key != slot:
+                for edge in held.values():
+                    shut(edge, None, None, None)
+                slot, held = key, {}
+            if operation == "terminate":
+                if obj in held:
+                    shut(held.pop(obj), seq, at, None)
+                continue
+            if obj in held:
+                held[obj][4] += 1
+                continue
+            edge = [uuid, seq, obj, at, 1, False]
+            if single:
+                for old in held.values():
+                    shut(old, seq, at, uuid)
+                edge[5] = bool(held)
+                held = {}
+            held[obj] = edge
+        yield packed()
+    for edge in held.values():
+        shut(edge, None, None, None)
+    yield packed()
 
 
 def _by_windows(rows: DataFrame, slot: tuple[str, ...]) -> DataFrame:
@@ -106,13 +125,14 @@ def close(rows: DataFrame) -> DataFrame:
     """Edges after dedupe, L1 and L2: their claim, slot, object, validity, closer, number of claims, and whether they closed a peer."""
     rows = _spread(rows).select("uuid", "seq", *SLOT, "target_node_uuid", "valid_at", "operation", "single")
     made = F.col("operation") != "terminate"
-    kinds = rows.groupBy(*SLOT).agg(F.bool_and(F.when(made, F.col("single"))).alias("every"), F.bool_or(F.when(made, F.col("single"))).alias("some"))
-    known = rows.join(kinds, list(SLOT))
+    whole = Window.partitionBy(*SLOT)
+    known = rows.withColumns({"every": F.bool_and(F.when(made, F.col("single"))).over(whole), "some": F.bool_or(F.when(made, F.col("single"))).over(whole)})
+    known = written(known)  # read by each of the three
     single = _by_windows(known.where("every").drop("every", "some"), SLOT)
     plain = _by_windows(known.where("not some").drop("every", "some"), (*SLOT, "target_node_uuid")).withColumns({"superseded_by": F.lit(None).cast("string"), "closed_any": F.lit(False)})
-    mixed = known.where("some and not every").withColumn("valid_at", F.col("valid_at").cast("timestamp"))
-    mixed = mixed.groupBy(*SLOT).applyInPandas(_in_order, _EDGE)
-    back = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    mixed = known.where("some and not every").select(*SLOT, "uuid", "seq", "target_node_uuid", F.unix_micros(F.col("valid_at").cast("timestamp")).alias("valid_at"), "operation", "single")
+    mixed = mixed.repartition(*SLOT).sortWithinPartitions(*SLOT, "seq").mapInArrow(_in_order, _EDGE)
+    back = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
     mixed = mixed.select("uuid", "seq", *SLOT, "target_node_uuid", back("valid_at"), "closed_seq", back("invalid_at"), "superseded_by", "n_claims", "closed_any")
     return single.unionByName(plain).unionByName(mixed)
 
@@ -126,7 +146,8 @@ def judged(edges: DataFrame, rows: DataFrame, cue: Column | None = None) -> Data
     out = edges.join(told, "uuid").withColumn("__cue", (temporal.has_cue(F.col("fact")) if cue is None else cue) & ~F.col("closed_any") & (F.coalesce("policy", F.lit("")) != "coexist"))
     closer = F.when(F.col("__cue"), F.struct("seq", "valid_at", "uuid"))
     for k, column in enumerate(("source_node_uuid", "target_node_uuid")):
-        w = Window.partitionBy("group_id", "is_belief", column).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+        # from the last row backwards: a frame that grows is summed up once, one that shrinks anew for every row
+        w = Window.partitionBy("group_id", "is_belief", column).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn(f"__c{k}", F.min(closer).over(w))
     out = out.withColumn("__c", F.least("__c0", "__c1"))
     hit = F.col("__c").isNotNull() & (F.col("closed_seq").isNull() | (F.col("__c.seq") < F.col("closed_seq")))
