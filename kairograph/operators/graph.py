@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,36 +115,80 @@ def unordered(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
 
 
+def _within(names: np.ndarray, name: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of equally long ``names`` (a row per position, a column per name) lie within ``most`` edits of ``name``: the band of the edit table, all names at once."""
+    m, n = len(name), len(names)
+    far = np.int16(most + 1)
+    row = [np.full(names.shape[1], min(j, most + 1), np.int16) for j in range(n + 1)]
+    for i in range(1, m + 1):
+        low, high = max(1, i - most), min(n, i + most)
+        new = [np.full(names.shape[1], far, np.int16)] * (n + 1)
+        if i <= most:
+            new[0] = np.full(names.shape[1], i, np.int16)
+        for j in range(low, high + 1):
+            cell = np.minimum(row[j], new[j - 1]) + np.int16(1)
+            new[j] = np.minimum(np.minimum(cell, row[j - 1] + (names[j - 1] != name[i - 1])), far)
+        row = new
+    return row[n] <= most
+
+
+def _anchors(norms: list[str]) -> list[int]:
+    """For distinct names in order, the place of the first anchor near each; a name near none is an anchor itself.
+
+    Each anchor sweeps over the names that are still free, so a name goes to the
+    earliest anchor near it, as it would if names came one by one.
+    """
+    anchor = [-1] * len(norms)
+    at = {n: k for k, n in enumerate(norms)}
+    free = np.ones(len(norms), bool)
+    by_length: dict[int, list[int]] = {}
+    for k, n in enumerate(norms):
+        by_length.setdefault(len(n), []).append(k)
+    lists = {size: np.array(ks) for size, ks in by_length.items()}
+    codes = {size: np.array([[ord(c) for c in norms[k]] for k in ks], np.int32).reshape(len(ks), size).T.copy() for size, ks in by_length.items()}
+    rest, texts = np.arange(len(norms)), pa.array(norms, pa.large_string())
+    for k, name in enumerate(norms):
+        if not free[k]:
+            continue
+        near = [np.array([k])]
+        if name:
+            near.append(rest[pc.match_substring(texts, name).to_numpy(zero_copy_only=False)])
+            inside = {name[i:j] for i in range(len(name)) for j in range(i + 1, len(name) + 1)}
+            near.append(np.array([at[x] for x in inside if x in at], int))
+        code = np.array([ord(c) for c in name], np.int32)
+        for size, ks in lists.items():
+            most = max(1, int(0.22 * min(len(name), size)))
+            if abs(len(name) - size) <= most and len(ks):
+                near.append(ks[_within(codes[size], code, most)])
+        hit = np.unique(np.concatenate(near))
+        hit = hit[free[hit]]
+        free[hit] = False
+        for h in hit.tolist():
+            anchor[h] = k
+        # names that found their anchor go once they are a tenth of what is swept over
+        if free[rest].sum() < 0.9 * len(rest):
+            live = free[rest]
+            rest, texts = rest[live], texts.filter(pa.array(live))
+            for size, ks in lists.items():
+                live = free[ks]
+                lists[size], codes[size] = ks[live], codes[size][:, live].copy()
+    return anchor
+
+
 def alias_groups(names: DataFrame, key: str = "uuid") -> DataFrame:
     """Greedy grouping of near-equal normalised names per group: equal, contained, or within an edit distance.
 
     A group of names is one tenant's display list; greedy order needs its rows together.
     """
-    import pandas as pd
-
-    def lev(a: str, b: str) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        return row[-1]
-
-    def near(a: str, b: str) -> bool:
-        if a == b or (a and b and (a in b or b in a)):
-            return True
-        most = max(1, int(0.22 * min(len(a), len(b))))
-        return abs(len(a) - len(b)) <= most and lev(a, b) <= most
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
-        anchors: list[tuple[str, str]] = []
-        out = []
-        for u, n in frame.sort_values(key)[[key, "norm"]].itertuples(index=False):
-            anchor = next((a for a, m in anchors if near(n, m)), None)
-            if anchor is None:
-                anchors.append((u, n))
-                anchor = u
-            out.append((u, n, anchor))
-        return pd.DataFrame(out, columns=[key, "norm", "anchor"])
+        frame = frame.sort_values(key)
+        ids, norms = frame[key].tolist(), frame["norm"].tolist()
+        first: dict = {}  # equal names, null included, share their first one's anchor
+        for k, n in enumerate(norms):
+            first.setdefault(n, k)
+        known = [n for n in first if n is not None]
+        found = dict(zip(known, (first[known[a]] for a in _anchors(known))))
+        return pd.DataFrame({key: ids, "norm": norms, "anchor": [ids[found.get(n, first[n])] for n in norms]})
 
     return names.select("group_id", key, "norm").groupBy("group_id").applyInPandas(group, f"{key} string, norm string, anchor string")
