@@ -273,8 +273,8 @@ def _resolved(g):
 
     m = g.raw("supplier").selectExpr(*[f"{e} AS {c}" for c, e in _MENTION.items()])
     vecs = g.raw("embeddings").select(F.col("vec_id").alias("vec"), F.col("embedding").cast("array<double>").alias("mention_embedding"))
-    entities = g.entity.select("uuid", "group_id", "name").join(g.node.select("uuid", F.col("name_embedding").alias("embedding")), "uuid", "left")
-    return resolve.resolve(m.join(vecs, "vec", "left").drop("vec"), entities, g.alias)
+    vectors = g.node.select("uuid", F.col("name_embedding").alias("embedding"))
+    return resolve.resolve(m.join(vecs, "vec", "left").drop("vec"), g.entity.select("uuid", "group_id", "name"), g.alias, vectors=vectors)
 
 
 @query(f"{_RESOLVE_SQL} SELECT group_id, name AS alias, key AS normalized_alias, canonical_uuid AS entity_uuid, score AS confidence FROM resolved WHERE resolution = 'semantic_match' AND (group_id, key) NOT IN (SELECT (group_id, normalized_alias) FROM kg_alias)")
