@@ -6,16 +6,21 @@ Arrow code; the offline extractor is plain columns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.functions.text import entity_names, sentences
 
 
+_CAPITAL = re.compile("[A-Z]")
+
+
 class Embedder(Protocol):
     dim: int
 
@@ -134,19 +139,66 @@ def summarize_column(make: Callable[[], Summarizer], name: Column, facts: Column
     return _hooked(make, "string", lambda model, n, x: model.summarize(n or "", _texts(x)), name, facts)
 
 
-def extract(rows: DataFrame, key: str, text: str = "content") -> DataFrame:
-    """key, pos, seq, subject, predicate, object, fact: the offline extractor.
+def extract(rows: DataFrame, key: str, text: str = "content", carried: tuple[str, ...] = ()) -> DataFrame:
+    """key, pos, seq, subject, predicate, object, fact: the offline extractor; ``carried`` columns go along behind the key.
 
     Names are capitalised runs; the names that a sentence holds give
     ``related_to`` facts between neighbours, a lone name a self-fact.
     """
-    named = rows.select(key, entity_names(F.col(text)).alias("names"), F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
-    present = named.select(key, "pos", "sentence", F.expr("filter(names, n -> contains(sentence, n))").alias("present"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("present") - 1), lambda i: F.struct(F.element_at("present", i).alias("subject"), F.lit("related_to").alias("predicate"), F.element_at("present", i + 1).alias("object")))
-    alone = F.array(F.struct(F.element_at("present", 1).alias("subject"), F.lit("MENTIONS_WITH").alias("predicate"), F.element_at("present", 1).alias("object")))
-    facts = present.where("size(present) > 0").withColumn("facts", F.when(F.size("present") == 1, alone).otherwise(F.when(F.size("present") > 1, pairs)))
-    fact = F.when(F.col("sentence").endswith("."), F.col("sentence")).otherwise(F.concat("sentence", F.lit(".")))
-    return facts.select(key, "pos", fact.alias("fact"), F.posexplode("facts").alias("seq", "f")).select(key, "pos", "seq", "f.subject", "f.predicate", "f.object", "fact")
+    own = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *carried))
+    found = rows.select(key, *carried, entity_names(F.col(text)).alias("names"), sentences(F.col(text)).alias("sentences"))
+    return found.mapInArrow(_told, f"{own}, pos int, seq int, subject string, predicate string, object string, fact string")
+
+
+def _held(names: list[str]) -> Callable[[str], list[str]]:
+    """The names that a sentence holds, in their order.
+
+    A name begins with a capital and has two characters at least: at each capital
+    of the sentence the names of the same beginning are looked up by length.
+    """
+    places = {n: k for k, n in enumerate(names)}
+    lengths: dict[str, list[int]] = {}
+    for lead, n in sorted({(n[:2], len(n)) for n in names}):
+        lengths.setdefault(lead, []).append(n)
+
+    def held(sentence: str) -> list[str]:
+        hits = set()
+        for m in _CAPITAL.finditer(sentence):
+            at = m.start()
+            for n in lengths.get(sentence[at : at + 2], ()):
+                if at + n > len(sentence):
+                    break
+                if (k := places.get(sentence[at : at + n])) is not None:
+                    hits.add(k)
+        return [names[k] for k in sorted(hits)]
+
+    return held
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts of whole texts: own columns, names, sentences.  Each name is looked for where it can begin, not in every sentence."""
+    for batch in batches:
+        *own, names, texts = batch.columns
+        rows: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            at, *facts = zip(*rows)
+            out = [c.take(pa.array(at)) for c in own] + [pa.array(c, k) for c, k in zip(facts, (pa.int32(), pa.int32(), *[pa.string()] * 4))]  # noqa: B023
+            rows.clear()  # noqa: B023
+            return pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[: len(own)], "pos", "seq", "subject", "predicate", "object", "fact"])  # noqa: B023
+
+        for k in range(batch.num_rows):  # one text at a time as Python objects
+            held = _held(names[k].as_py())
+            for pos, sentence in enumerate(texts[k].as_py() or ()):
+                if here := held(sentence):
+                    fact = sentence if sentence.endswith(".") else sentence + "."
+                    if len(here) == 1:
+                        rows.append((k, pos, 0, here[0], "MENTIONS_WITH", here[0], fact))
+                    rows += [(k, pos, seq, a, "related_to", b, fact) for seq, (a, b) in enumerate(zip(here, here[1:]))]
+                    if len(rows) >= 20_000:
+                        yield packed()
+        if rows:
+            yield packed()
 
 
 def parse_extraction(rows: DataFrame, key: str, json_col: str = "json") -> DataFrame:

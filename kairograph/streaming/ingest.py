@@ -31,9 +31,8 @@ class Written:
 
 def claims_of(episodes: DataFrame) -> DataFrame:
     """Repaired claims of raw texts with their episode's tenant and time: group_id, episode_uuid, pos, seq, subject, predicate, object, fact, valid_at."""
-    raw = extract(episodes.select(F.col("uuid").alias("episode_uuid"), "content"), "episode_uuid")
-    times = episodes.select(F.col("uuid").alias("episode_uuid"), "group_id", F.col("reference_time").alias("valid_at"))
-    return temporal.repair(raw).where("keep").drop("keep").join(times, "episode_uuid")
+    texts = episodes.select(F.col("uuid").alias("episode_uuid"), "content", "group_id", F.col("reference_time").alias("valid_at"))
+    return temporal.repair(extract(texts, "episode_uuid", carried=("group_id", "valid_at"))).where("keep").drop("keep")
 
 
 def add_episodes(episodes: DataFrame, entities: DataFrame, aliases: DataFrame, frames: DataFrame) -> Written:
@@ -45,20 +44,27 @@ def add_episodes(episodes: DataFrame, entities: DataFrame, aliases: DataFrame, f
     episodes.  Self-loops stay only for identity predicates.
     """
     told = written(claims_of(episodes))  # texts are read once
-    names = told.select("group_id", "episode_uuid", F.explode(F.array("subject", "object")).alias("name")).withColumn("key", normalize_alias(F.col("name")))
+    names = told.select("group_id", "episode_uuid", F.explode(F.array("subject", "object")).alias("name")).where("group_id is not null").distinct()
+    names = written(names.withColumn("key", normalize_alias(F.col("name"))))
     known = aliases.groupBy("group_id", F.col("normalized_alias").alias("key")).agg(F.min("entity_uuid").alias("by_alias"))
     own = entities.groupBy("group_id", normalize_alias(F.col("name")).alias("key")).agg(F.min("uuid").alias("by_name"))
-    keys = names.groupBy("group_id", "key").agg(F.min("name").alias("name")).join(known, ["group_id", "key"], "left").join(own, ["group_id", "key"], "left")
-    fresh = F.concat(F.lit("n:"), "group_id", F.lit(":"), "key")
-    ids = keys.select("group_id", "key", "name", F.coalesce("by_alias", "by_name", fresh).alias("uuid"), F.coalesce("by_alias", "by_name").isNull().alias("created"))
-    rows = told.withColumns({"ks": normalize_alias(F.col("subject")), "ko": normalize_alias(F.col("object"))})
-    rows = rows.join(ids.select("group_id", F.col("key").alias("ks"), F.col("uuid").alias("source_node_uuid")), ["group_id", "ks"])
-    rows = rows.join(ids.select("group_id", F.col("key").alias("ko"), F.col("uuid").alias("target_node_uuid")), ["group_id", "ko"])
+    keys = names.select("group_id", "key", "name").distinct().groupBy("group_id", "key").agg(F.min("name").alias("name")).join(known, ["group_id", "key"], "left").join(own, ["group_id", "key"], "left")
+    fresh = lambda key: F.concat(F.lit("n:"), "group_id", F.lit(":"), key)
+    ids = written(keys.select("group_id", "key", "name", F.coalesce("by_alias", "by_name", fresh("key")).alias("uuid"), F.coalesce("by_alias", "by_name").isNull().alias("created")))
+    # what a claim makes anew follows from its key; only ids that were there before are joined
+    before = written(ids.where("not created").select("group_id", "key", "uuid"))
+    rows = told.where("group_id is not null").withColumns({"ks": normalize_alias(F.col("subject")), "ko": normalize_alias(F.col("object"))})
+    for key, end in (("ks", "source_node_uuid"), ("ko", "target_node_uuid")):
+        rows = rows.join(before.select("group_id", F.col("key").alias(key), F.col("uuid").alias(end)), ["group_id", key], "left").withColumn(end, F.coalesce(end, fresh(key)))
     rows = rows.where((F.col("source_node_uuid") != F.col("target_node_uuid")) | F.col("predicate").isin(*IDENTITY_PREDICATES))
-    order = F.struct("valid_at", "episode_uuid", "pos", "seq")
-    rows = rows.select("group_id", "source_node_uuid", F.col("predicate").alias("relation"), "target_node_uuid", "fact", "valid_at", "episode_uuid", order.alias("order"), F.concat_ws(":", "episode_uuid", "pos", "seq").alias("uuid"))
-    # only the order within a tenant matters
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("group_id").orderBy("order")).cast("long")).drop("order")
+    # only the order within a tenant matters: texts are put in order, each takes as many numbers as its claims can need
+    text = ["group_id", "valid_at", "episode_uuid"]
+    spans = told.groupBy(*text).agg((F.max("pos") + 1).cast("long").alias("n"), (F.max("seq") + 1).cast("long").alias("width"))
+    earlier = Window.partitionBy("group_id").orderBy("valid_at", "episode_uuid").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("first", F.coalesce(F.sum(F.col("n") * F.col("width")).over(earlier), F.lit(0))).select(*text, "first", "width")
+    rows = rows.join(spans.hint("shuffle_hash"), text)
+    place = (F.col("first") + F.col("pos") * F.col("width") + F.col("seq")).cast("long")
+    rows = rows.select("group_id", "source_node_uuid", F.col("predicate").alias("relation"), "target_node_uuid", "fact", "valid_at", "episode_uuid", F.concat_ws(":", "episode_uuid", "pos", "seq").alias("uuid"), place.alias("seq"))
     rows = written(rows)
     edges = written(write.write_facts(rows.drop("episode_uuid"), frames))
     told_by = write.claims(rows.drop("episode_uuid"), frames).select("uuid", *write.SLOT, "target_node_uuid", "seq").join(rows.select("uuid", "episode_uuid", "fact"), "uuid")
@@ -67,7 +73,7 @@ def add_episodes(episodes: DataFrame, entities: DataFrame, aliases: DataFrame, f
     spans = edges.select(F.col("uuid").alias("edge"), *same, F.col("seq").alias("from"), F.col("merged_to").alias("to"))
     cited = told_by.join(spans, same).where("seq >= `from` and (`to` is null or seq <= `to`)")
     first = cited.groupBy("edge").agg(F.array_join(F.array_sort(F.collect_set("episode_uuid")), ",").alias("episodes"), F.min_by("fact", "seq").alias("fact"))
-    edges = edges.join(first, edges["uuid"] == first["edge"]).drop("edge")
+    edges = edges.join(first, edges["uuid"] == first["edge"], "left").drop("edge")  # each has its own claim; who doesn't ask for texts reads none
     mentions = names.join(ids.select("group_id", "key", "uuid"), ["group_id", "key"]).select("episode_uuid", F.col("uuid").alias("entity_uuid")).distinct()
     made = ids.groupBy("uuid").agg(F.min("group_id").alias("group_id"), F.min("name").alias("name"), F.first("created").alias("created"))
     return Written(made, mentions, edges)
